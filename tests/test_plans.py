@@ -91,3 +91,21 @@ def test_projection_pruned_at_scan(spark):
     df = tables.read_table(spark, SF, "customer")
     plan = plan_of(query.page(df, "c_custkey", ["c_custkey", "c_name"], 10, 0))
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan
+
+
+def test_forward_merge_buckets_touches_only_staged_buckets(spark):
+    from tidesync.plans import bucketed
+    root = scratch_path(spark, "t-fwdb")
+    name = "t_fwdb_" + uuid.uuid4().hex[:8]
+    lake = tables.lake_orders(spark, SF)
+    staged = fixtures.staging(lake)
+    table = bucketed.create(spark, name, lake, KEY, 16, root)
+    small = staged.where("o_orderkey % 70 = 0")
+    before = {r["partition"]: None for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    run = forward.forward_merge_buckets(spark, small, table)
+    assert run.status == "merged" and 0 < run.metrics["touched_buckets"] <= 16
+    got = sorted(map(tuple, table.read(spark).collect()))
+    want = sorted(map(tuple, changes.merge(lake, small, KEY).result.collect()))
+    assert got == want
+    assert run.metrics["num_affected_rows"] == small.count()
+    assert len(before) == 16

@@ -24,7 +24,7 @@ from tidesync.operators.dedupe import (
     require_unique,
 )
 from tidesync.operators.keys import KeyJoin
-from tidesync.operators.sizing import Size, fits_broadcast, hinted, measure
+from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure
 
 HIT = "__src_hit"
 SRC = "__src_"
@@ -159,7 +159,7 @@ def insert_strict(target: DataFrame, batch: DataFrame, key: Sequence[str], *,
     dups = duplicate_keys(batch, key).select(*key)
     spark = batch.sparkSession
     size = measure(batch.select(*key))
-    small = fits_broadcast(spark, Size(size.rows, size.rows * (16 + 8 * len(key))))
+    small = fits_broadcast(spark, key_size(size, len(key)))
     unique_rows = batch.join(hinted(dups, small), key, "left_anti")
     kj = KeyJoin(target, unique_rows, key, batch_size=size)
     exists = kj.present()
@@ -203,18 +203,16 @@ def patch_update(target: DataFrame, patches: DataFrame, key: Sequence[str], *,
         dups = given.limit(0).select(*key)
     else:
         dups = duplicate_keys(given, key).select(*key)
-        given = given.drop(order_by) if order_by else given
     spark = patches.sparkSession
-    size = measure(given.select(*key))
-    small = fits_broadcast(spark, Size(size.rows, size.rows * (16 + 8 * len(key))))
+    size = measure(given)                              # one pass decides both joins below
+    small = fits_broadcast(spark, key_size(size, len(key)))
     given = given.join(hinted(dups, small), key, "left_anti")
-    # keys patched empty and also with fields count as patched; their empty patch is still reported
     kj = KeyJoin(target, given, key, batch_size=size)
     found = kj.present()
     not_found = kj.missing_keys()
 
     pflag = given.select(*key, *[F.col(c).alias(SRC + c) for c in fields], F.lit(True).alias(HIT))
-    pflag_small = fits_broadcast(spark, measure(pflag)) if small else False
+    pflag_small = fits_broadcast(spark, size)
 
     def patched(c: str) -> Column:
         dtype = target.schema[c].dataType

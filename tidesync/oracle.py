@@ -229,6 +229,7 @@ FROM classes"""),
         "merge_twice": _with(MERGED, "SELECT * FROM merged"),
         "merge_shuffle": _with(MERGED, "SELECT * FROM merged"),
         "forward_merge": _with(MERGED, "SELECT * FROM merged"),
+        "forward_merge_buckets": _with(MERGED, "SELECT * FROM merged"),
         "insert_strict": _with(INSERT_BATCH, "SELECT * FROM staging UNION ALL SELECT * FROM inserted"),
         "insert_conflicts": _with(INSERT_BATCH, """
 SELECT o_orderkey, 'exists' AS reason FROM present
@@ -258,4 +259,5 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
             f"SELECT '{c}' AS column_name, {n} AS max_length, count(*) FILTER (WHERE length({c}) > {n}) AS n_violations FROM records"
             for c, n in ORDERS.lengths.items())),
         "sync_final_state": _with(MERGED, "SELECT * FROM merged"),
+        "sync_final_state_buckets": _with(MERGED, "SELECT * FROM merged"),
     }

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidesync.contracts import ORDERS, TableContract
 from tidesync.operators.changes import merge
+from tidesync.operators.dedupe import require_unique
 from tidesync.operators.load import typed
+from tidesync.operators.sizing import measure
+from tidesync.plans import bucketed
 from tidesync.plans.publish import publish_swap
 
 
@@ -36,3 +39,24 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     metrics = m.metrics().first().asDict()
     path = publish_swap(m.result, target_table, root)
     return ForwardRun("merged", metrics, path, m.strategy)
+
+
+def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucketed.BucketedTable,
+                          contract: TableContract = ORDERS) -> ForwardRun:
+    """The forward job on a key-bucketed lake table: only the buckets holding staged keys are
+    read, merged and rewritten; the rest of the table is not touched."""
+    if staging.isEmpty():
+        return ForwardRun("no_rows")
+    source = typed(staging, contract)
+    require_unique(source, contract.key, "staging")
+    size = measure(source)
+    key = list(contract.key)
+    metrics: dict = {}
+
+    def change(current: DataFrame, changes: DataFrame) -> DataFrame:
+        m = merge(current, changes, key, on_duplicate="trust", source_size=size)
+        metrics.update(m.metrics().first().asDict())
+        return m.result
+
+    touched = bucketed.apply(spark, table, source, change)
+    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched)}, table.root, "buckets")

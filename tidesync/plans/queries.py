@@ -17,7 +17,7 @@ from tidesync.functions.values import with_defaults
 from tidesync.operators import changes, checks, query
 from tidesync.operators.keys import KeyJoin
 from tidesync.operators.load import typed
-from tidesync.plans import clone, forward, publish
+from tidesync.plans import bucketed, clone, forward, publish
 from tidesync.session import scratch_path
 from tidesync.sources import fixtures, ingest, tables
 from tidesync.streaming import sync
@@ -34,18 +34,38 @@ SEARCH_PAGE_OFFSET = 50
 CUSTOMER_LIMIT, CUSTOMER_OFFSET = 100, 200
 KEYSET_AFTER = 149
 SEED_SIZE = 100
+BUCKETS = 16
 
 
 def _lake(spark, d):
     return tables.lake_orders(spark, d)
 
 
+class _Inputs:
+    """The lake orders of one data set and the change batches derived from them."""
+
+    def __init__(self, spark, d):
+        self.lake = _lake(spark, d)
+        self.span = fixtures.key_span(self.lake)
+        self.staging = fixtures.staging(self.lake, self.span)
+
+    def patches(self):
+        return fixtures.patches(self.staging, self.lake, self.span)
+
+    def delete_keys(self):
+        return fixtures.delete_keys(self.staging, self.lake, self.span)
+
+    def insert_batch(self):
+        return fixtures.insert_batch(self.lake, self.span)
+
+
 def _staging(spark, d):
-    return fixtures.staging(_lake(spark, d))
+    return _Inputs(spark, d).staging
 
 
 def _merge(spark, d) -> changes.MergeResult:
-    return changes.merge(_lake(spark, d), _staging(spark, d), KEY)
+    i = _Inputs(spark, d)
+    return changes.merge(i.lake, i.staging, KEY)
 
 
 # ---- sources --------------------------------------------------------------------------------
@@ -56,8 +76,9 @@ def snapshot_clone(spark: SparkSession, d: str) -> DataFrame:
     schema = "tidesync_clone_" + root.rsplit("-", 1)[-1]
     publish.create_schema(spark, schema, f"{root}/db")
     target = f"{schema}.orders"
-    clone.snapshot_clone(spark, _lake(spark, d), target)
-    clone.snapshot_clone(spark, _staging(spark, d), target)      # exists: left untouched
+    i = _Inputs(spark, d)
+    clone.snapshot_clone(spark, i.lake, target)
+    clone.snapshot_clone(spark, i.staging, target)               # exists: left untouched
     return spark.table(target)
 
 
@@ -111,13 +132,13 @@ def get_by_key(spark, d):
 
 
 def get_by_keys(spark, d):
-    staged = _staging(spark, d)
-    return KeyJoin(staged, fixtures.delete_keys(staged, _lake(spark, d)), KEY).table_rows()
+    i = _Inputs(spark, d)
+    return KeyJoin(i.staging, i.delete_keys(), KEY).table_rows()
 
 
 def missing_keys(spark, d):
-    staged = _staging(spark, d)
-    return KeyJoin(staged, fixtures.delete_keys(staged, _lake(spark, d)), KEY).missing_keys()
+    i = _Inputs(spark, d)
+    return KeyJoin(i.staging, i.delete_keys(), KEY).missing_keys()
 
 
 def count_all(spark, d):
@@ -164,14 +185,15 @@ def merge_metrics(spark, d):
 
 
 def merge_twice(spark, d):
-    staged = _staging(spark, d)
-    once = changes.merge(_lake(spark, d), staged, KEY).result
-    return changes.merge(once, staged, KEY).result
+    i = _Inputs(spark, d)
+    once = changes.merge(i.lake, i.staging, KEY).result
+    return changes.merge(once, i.staging, KEY).result
 
 
 def merge_shuffle(spark, d):
     """The same MERGE planned as one full outer sort-merge join (the plan for large sources)."""
-    return changes.merge(_lake(spark, d), _staging(spark, d), KEY, strategy="shuffle").result
+    i = _Inputs(spark, d)
+    return changes.merge(i.lake, i.staging, KEY, strategy="shuffle").result
 
 
 def forward_merge(spark, d):
@@ -179,42 +201,58 @@ def forward_merge(spark, d):
     it and the new version published; returns the table as published."""
     root = scratch_path(spark, "forward")
     name = "tidesync_forward_" + root.rsplit("-", 1)[-1]
-    publish.publish_swap(_lake(spark, d), name, root)
-    run = forward.forward_merge(spark, _staging(spark, d), name, root)
+    i = _Inputs(spark, d)
+    publish.publish_swap(i.lake, name, root)
+    run = forward.forward_merge(spark, i.staging, name, root)
     assert run.status == "merged"
     return spark.table(name)
 
 
+def forward_merge_buckets(spark, d):
+    """The forward job on a key-bucketed lake table: only buckets holding staged keys are
+    rewritten; returns the whole table afterwards."""
+    root = scratch_path(spark, "forwardb")
+    name = "tidesync_forwardb_" + root.rsplit("-", 1)[-1]
+    i = _Inputs(spark, d)
+    table = bucketed.create(spark, name, i.lake, KEY, BUCKETS, root)
+    run = forward.forward_merge_buckets(spark, i.staging, table)
+    assert run.status == "merged"
+    return table.read(spark)
+
+
 def insert_strict(spark, d):
-    return changes.insert_strict(_staging(spark, d), fixtures.insert_batch(_lake(spark, d)), KEY).result
+    i = _Inputs(spark, d)
+    return changes.insert_strict(i.staging, i.insert_batch(), KEY).result
 
 
 def insert_conflicts(spark, d):
-    return changes.insert_strict(_staging(spark, d), fixtures.insert_batch(_lake(spark, d)), KEY).conflicts
+    i = _Inputs(spark, d)
+    return changes.insert_strict(i.staging, i.insert_batch(), KEY).conflicts
 
 
 def patch_update(spark, d):
-    staged = _staging(spark, d)
-    return changes.patch_update(staged, fixtures.patches(staged, _lake(spark, d)), KEY).result
+    i = _Inputs(spark, d)
+    return changes.patch_update(i.staging, i.patches(), KEY).result
 
 
 def patch_outcomes(spark, d):
-    staged = _staging(spark, d)
-    return changes.patch_update(staged, fixtures.patches(staged, _lake(spark, d)), KEY).outcomes
+    i = _Inputs(spark, d)
+    return changes.patch_update(i.staging, i.patches(), KEY).outcomes
 
 
 def delete_by_key(spark, d):
-    staged = _staging(spark, d)
-    return changes.delete_by_keys(staged, fixtures.delete_keys(staged, _lake(spark, d)), KEY).result
+    i = _Inputs(spark, d)
+    return changes.delete_by_keys(i.staging, i.delete_keys(), KEY).result
 
 
 def delete_outcomes(spark, d):
-    staged = _staging(spark, d)
-    return changes.delete_by_keys(staged, fixtures.delete_keys(staged, _lake(spark, d)), KEY).outcomes
+    i = _Inputs(spark, d)
+    return changes.delete_by_keys(i.staging, i.delete_keys(), KEY).outcomes
 
 
 def _seed(spark, d) -> changes.SeedResult:
-    return changes.insert_if_absent(_staging(spark, d), tables.seed_scan(_lake(spark, d), SEED_SIZE), KEY)
+    i = _Inputs(spark, d)
+    return changes.insert_if_absent(i.staging, tables.seed_scan(i.lake, SEED_SIZE), KEY)
 
 
 def seed_new_rows(spark, d):
@@ -247,8 +285,7 @@ def key_violation_summary(spark, d):
 
 
 def length_violations(spark, d):
-    recs = fixtures.json_records(_staging(spark, d))
-    flat = recs.select(F.from_json("value", ingest.text_schema(ORDERS)).alias("r")).select("r.*")
+    flat = ingest.flatten_records(fixtures.json_records(_staging(spark, d)), ORDERS)
     return checks.length_violations(flat, ORDERS)
 
 
@@ -258,18 +295,27 @@ def sync_final_state(spark, d):
     """Lake snapshot (seq 0) then the staging as four change files (seq 1-4, the seq-1 file
     arriving last with stale copies of later keys) streamed one file per micro-batch into a
     keyed copy; returns the live rows of the copy."""
+    return _sync(spark, d, "swap")
+
+
+def sync_final_state_buckets(spark, d):
+    """The same sync into a key-bucketed copy (each micro-batch rewrites only its buckets)."""
+    return _sync(spark, d, "buckets")
+
+
+def _sync(spark, d, layout: str):
     root = scratch_path(spark, "sync")
     feed = f"{root}/feed"
-    lake = _lake(spark, d)
+    i = _Inputs(spark, d)
     schema_cols = ORDERS.columns + ["seq"]
-    lake.withColumn("seq", F.lit(0).cast("long")).select(*schema_cols).write.mode("append").parquet(feed)
-    parts = fixtures.change_feed_parts(_staging(spark, d), 4)
+    i.lake.withColumn("seq", F.lit(0).cast("long")).select(*schema_cols).write.mode("append").parquet(feed)
+    parts = fixtures.change_feed_parts(i.staging, 4)
     for part in parts[1:] + parts[:1]:
         part.select(*schema_cols).coalesce(1).write.mode("append").parquet(feed)
     name = "tidesync_sync_" + root.rsplit("-", 1)[-1]
     schema = spark.read.parquet(feed).schema
     q = sync.sync_files(spark, feed, schema, name, f"{root}/table", KEY, f"{root}/checkpoint",
-                        max_files_per_trigger=1)
+                        max_files_per_trigger=1, layout=layout, buckets=BUCKETS)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -302,6 +348,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_twice": merge_twice,
     "merge_shuffle": merge_shuffle,
     "forward_merge": forward_merge,
+    "forward_merge_buckets": forward_merge_buckets,
     "insert_strict": insert_strict,
     "insert_conflicts": insert_conflicts,
     "patch_update": patch_update,
@@ -316,4 +363,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "key_violation_summary": key_violation_summary,
     "length_violations": length_violations,
     "sync_final_state": sync_final_state,
+    "sync_final_state_buckets": sync_final_state_buckets,
 }

@@ -4,8 +4,10 @@ The data set has no staging table, no patches and no JSON records, so they are d
 ``orders`` deterministically; ``tidesync.oracle`` derives the same inputs in SQL. The rules pick
 which rows a batch touches; every operator still runs over the whole target table.
 
-New keys are made by adding multiples of ``span = max(o_orderkey) + 1`` (a scalar subquery),
-so they cannot collide with existing keys at any scale.
+New keys are made by adding multiples of ``span = max(o_orderkey) + 1``, so they cannot collide
+with existing keys at any scale. The span is one number, computed once by an aggregate over the
+key column and used as a literal: as a scalar subquery it would be copied into every expression
+that reads the shifted key.
 """
 
 from __future__ import annotations
@@ -25,15 +27,20 @@ def _k() -> Column:
     return F.col(KEY)
 
 
-def key_span(lake: DataFrame) -> Column:
-    """``max(o_orderkey) + 1`` of the lake orders, as a scalar subquery column."""
-    return lake.agg((F.max(KEY) + 1).alias("span")).scalar()
+def key_span(lake: DataFrame) -> int:
+    """``max(o_orderkey) + 1`` of the lake orders (one aggregate over the key column)."""
+    value = lake.agg((F.max(KEY) + 1).alias("span")).first()["span"]
+    return int(value) if value is not None else 1
 
 
-def staging(lake: DataFrame) -> DataFrame:
+def _span(lake: DataFrame, span: int | None) -> Column:
+    return F.lit(span if span is not None else key_span(lake)).cast("long")
+
+
+def staging(lake: DataFrame, span: int | None = None) -> DataFrame:
     """Staged orders: updates of every 10th key (price + 1.00; every 100th key has a NULL clerk)
     and inserts copied from every 50th key, shifted to new keys."""
-    span = key_span(lake)
+    span = _span(lake, span)
     updates = lake.where(_k() % 10 == 0).select(*[
         (F.col(c) + F.lit(1).cast("decimal(15,2)")).cast("decimal(15,2)").alias(c) if c == "o_totalprice"
         else F.when(_k() % 100 == 0, F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) if c == "o_clerk"
@@ -49,14 +56,14 @@ def staging_dup(staged: DataFrame) -> DataFrame:
     return staged.unionByName(staged.where(_k() % 500 == 0))
 
 
-def patches(staged: DataFrame, lake: DataFrame) -> DataFrame:
+def patches(staged: DataFrame, lake: DataFrame, span: int | None = None) -> DataFrame:
     """Partial updates of the staging table.
 
     * every 20th staged key: status 'P', price 0.00 for every 40th, other fields NULL;
     * staged keys = 35 mod 70: no field at all (rejected as ``no_fields``);
     * every 45th staged key shifted by 2 * span: unknown key (``not_found``).
     """
-    span = key_span(lake)
+    span = _span(lake, span)
     schema = ORDERS.patch_schema()
 
     def shaped(df: DataFrame, given: dict[str, Column]) -> DataFrame:
@@ -74,17 +81,17 @@ def patches(staged: DataFrame, lake: DataFrame) -> DataFrame:
     return ok.unionByName(empty).unionByName(unknown)
 
 
-def delete_keys(staged: DataFrame, lake: DataFrame) -> DataFrame:
+def delete_keys(staged: DataFrame, lake: DataFrame, span: int | None = None) -> DataFrame:
     """Every 30th staged key, plus every 45th shifted to an unknown key."""
-    span = key_span(lake)
+    span = _span(lake, span)
     return (staged.where(_k() % 30 == 0).select(KEY)
             .unionByName(staged.where(_k() % 45 == 0).select((_k() + 2 * span).alias(KEY))))
 
 
-def insert_batch(lake: DataFrame) -> DataFrame:
+def insert_batch(lake: DataFrame, span: int | None = None) -> DataFrame:
     """Every 25th lake order: keys = 0 mod 50 keep their key (already staged), keys = 25 mod 50
     move to new keys (3 * span); those = 25 mod 1000 come twice (second copy re-commented)."""
-    span = key_span(lake)
+    span = _span(lake, span)
     base = lake.where(_k() % 25 == 0).select(*[
         F.when(_k() % 50 == 25, _k() + 3 * span).otherwise(_k()).alias(c) if c == KEY else F.col(c)
         for c in ORDERS.columns])

@@ -21,10 +21,20 @@ def parse_records(records: DataFrame, contract: TableContract, value_col: str =
     Numbers and strings both arrive as text; the contract's casts decide. The raw record is kept
     on rejected rows for inspection.
     """
-    parsed = records.select(F.from_json(F.col(value_col), text_schema(contract)).alias("__r"),
-                            F.col(value_col).alias("record"))
-    flat = parsed.select(*[F.col(f"__r.{c}").alias(c) for c in contract.columns], "record")
-    return validate(flat, contract)
+    return validate(flatten_records(records, contract, value_col), contract)
+
+
+def flatten_records(records: DataFrame, contract: TableContract, value_col: str = "value") -> DataFrame:
+    """JSON text → one text column per contract field plus the raw ``record``.
+
+    One parse per record: ``inline`` over a one-element array is a Generate node, which stops
+    Catalyst from substituting ``from_json`` into every later field access and filter (it would
+    otherwise parse the text again for each referenced field).
+    """
+    parsed = F.struct(*[F.col(f"__r.{c}").alias(c) for c in contract.columns],
+                      F.col(value_col).alias("record"))
+    return (records.select(F.from_json(F.col(value_col), text_schema(contract)).alias("__r"), F.col(value_col))
+            .select(F.inline(F.array(parsed))))
 
 
 def read_json_records(spark, path: str, contract: TableContract) -> Split:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidesync.operators.changes import merge
 from tidesync.operators.dedupe import latest_per_key
 from tidesync.operators.sizing import fits_broadcast, hinted, key_size, measure
+from tidesync.plans import bucketed
 from tidesync.plans.publish import publish_swap, table_location
 
 DELETE_OP = "D"
@@ -36,10 +38,12 @@ def newer_changes(target: DataFrame, changes: DataFrame, key: Sequence[str], seq
     return changes.join(hinted(stale, small), key, "left_anti")
 
 
-def apply_changes(target: DataFrame, batch: DataFrame, key: Sequence[str], seq_col: str) -> DataFrame:
-    """New state of the copy after one batch of changes (the copy stores ``seq`` and ``op``)."""
+def apply_changes(target: DataFrame | None, latest: DataFrame, key: Sequence[str], seq_col: str) -> DataFrame:
+    """New state of the copy after one batch of changes, already reduced to one row per key
+    (the copy stores ``seq`` and ``op``). ``target=None``: the first batch, i.e. the backfill."""
     key = list(key)
-    latest = latest_per_key(batch, key, [seq_col])
+    if target is None:
+        return latest
     size = measure(latest)
     small = fits_broadcast(latest.sparkSession, key_size(size, len(key) + 1))
     fresh = newer_changes(target, latest, key, seq_col, small)
@@ -48,12 +52,21 @@ def apply_changes(target: DataFrame, batch: DataFrame, key: Sequence[str], seq_c
 
 def live_rows(copy: DataFrame, seq_col: str = "seq", op_col: str = "op") -> DataFrame:
     """The read-only view: tombstones hidden, bookkeeping columns dropped."""
-    return copy.where(F.col(op_col).isNull() | (F.col(op_col) != DELETE_OP)).drop(seq_col, op_col)
+    return copy.where(F.col(op_col).isNull() | (F.col(op_col) != DELETE_OP)).drop(seq_col, op_col, bucketed.BUCKET)
 
 
 def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col: str = "seq",
-                      op_col: str = "op"):
-    """The ``foreachBatch`` function of the sync."""
+                      op_col: str = "op", layout: str = "swap", buckets: int = 64):
+    """The ``foreachBatch`` function of the sync.
+
+    ``layout="swap"`` rewrites the copy per batch and swaps the table location (a snapshot per
+    batch); ``layout="buckets"`` keeps the copy partitioned by key bucket and rewrites only the
+    buckets the batch touches (``tidesync.plans.bucketed``), the layout for large copies.
+    """
+    if layout == "buckets":
+        return _bucketed_writer(target_table, root, key, seq_col, op_col, buckets)
+    if layout != "swap":
+        raise ValueError(f"layout must be 'swap' or 'buckets', not {layout!r}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -63,21 +76,50 @@ def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col:
             return                                          # replay of a published batch
         if op_col not in batch.columns:
             batch = batch.withColumn(op_col, F.lit(None).cast("string"))
-        if batch.isEmpty():
-            return
-        if loc is None:
-            target = batch.limit(0)
-        else:
-            target = spark.table(target_table)
-        new_state = apply_changes(target, batch.select(*target.columns), key, seq_col)
-        publish_swap(new_state, target_table, root, version)
+        target = spark.table(target_table) if loc is not None else None
+        cols = target.columns if target is not None else batch.columns
+        # reduced once, reused by the size check, the seq filter and the merge of this batch
+        latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if latest.isEmpty():
+                return
+            publish_swap(apply_changes(target, latest, key, seq_col), target_table, root, version)
+        finally:
+            latest.unpersist()
+
+    return write
+
+
+def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col: str, op_col: str, buckets: int):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        exists = spark.catalog.tableExists(target_table)
+        if exists:
+            done = bucketed.last_batch(spark, target_table)
+            if done is not None and done >= batch_id:
+                return                                      # replay of an applied batch
+        if op_col not in batch.columns:
+            batch = batch.withColumn(op_col, F.lit(None).cast("string"))
+        cols = bucketed.open_table(spark, target_table, root).read(spark).columns if exists else batch.columns
+        latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if latest.isEmpty():
+                return
+            if not exists:
+                bucketed.create(spark, target_table, latest, key, buckets, root, batch_id)
+                return
+            table = bucketed.open_table(spark, target_table, root)
+            bucketed.apply(spark, table, latest,
+                           lambda current, changes: apply_changes(current, changes, key, seq_col), batch_id)
+        finally:
+            latest.unpersist()
 
     return write
 
 
 def sync_table(feed: DataFrame, target_table: str, root: str, key: Sequence[str], checkpoint: str,
                seq_col: str = "seq", op_col: str = "op", trigger: dict | None = None,
-               query_name: str | None = None) -> StreamingQuery:
+               query_name: str | None = None, layout: str = "swap", buckets: int = 64) -> StreamingQuery:
     """Start the sync of the streaming DataFrame ``feed`` into ``target_table``.
 
     ``trigger`` is passed to ``DataStreamWriter.trigger``; the default processes what is
@@ -85,7 +127,7 @@ def sync_table(feed: DataFrame, target_table: str, root: str, key: Sequence[str]
     ``{"processingTime": "15 minutes"}`` for a continuously running copy.
     """
     writer = (feed.writeStream
-              .foreachBatch(sync_batch_writer(target_table, root, key, seq_col, op_col))
+              .foreachBatch(sync_batch_writer(target_table, root, key, seq_col, op_col, layout, buckets))
               .option("checkpointLocation", checkpoint)
               .trigger(**(trigger or {"availableNow": True})))
     if query_name:
