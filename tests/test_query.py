@@ -92,3 +92,31 @@ def test_table_or_empty(spark):
     from tidesync.contracts import ORDERS
     df = tables.table_or_empty(spark, "no_such_table_here", ORDERS.schema)
     assert df.count() == 0 and df.columns == ORDERS.columns
+
+
+@pytest.mark.parametrize("offset", [0, 7, 499, 1234, 1499, 1500, 5000])
+def test_deep_page_equals_top_k(spark, offset):
+    lake = tables.lake_orders(spark, SF)
+    want = lake.orderBy("o_orderkey").offset(offset).limit(25).collect()
+    assert query.deep_page(lake, "o_orderkey", 25, offset, max_rest=10, bins=4).collect() == want
+
+
+def test_deep_page_with_gaps_and_repeats(spark):
+    li = tables.read_table(spark, SF, "lineitem", ["l_orderkey", "l_linenumber"])
+    keys = [r["l_orderkey"] for r in li.orderBy("l_orderkey").select("l_orderkey").collect()]
+    for offset in (0, 333, 4000, len(keys) - 1):
+        got = [r["l_orderkey"] for r in query.deep_page(li, "l_orderkey", 40, offset, max_rest=50, bins=8)
+               .select("l_orderkey").collect()]
+        assert got == keys[offset:offset + 40]
+
+
+def test_page_switches_to_deep_path(spark):
+    lake = tables.lake_orders(spark, SF)
+    spark.conf.set("tidesync.page.maxTopK", "100")
+    try:
+        got = query.page(lake, "o_orderkey", None, 50, 1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "limit=150" not in plan and "limit=1050" not in plan
+        assert got.collect() == lake.orderBy("o_orderkey").offset(1000).limit(50).collect()
+    finally:
+        spark.conf.unset("tidesync.page.maxTopK")

@@ -1,8 +1,12 @@
 """Reads of a keyed table: optional text search, counts, ordered pages, keyset pages, page stats.
 
-Ordered pages become ``TakeOrderedAndProject``: every task keeps at most ``offset + limit`` rows,
-a bound set by the request, not by the data. Deep pages should use ``keyset_page``, whose key
-predicate reaches the Parquet scan (row-group pruning) and keeps only ``limit`` rows per task.
+Ordered pages become ``TakeOrderedAndProject``: every task keeps at most ``offset + limit`` rows.
+That bound is set by the request, so a deep offset on a huge table would hold a huge heap per
+task; beyond ``tidesync.page.maxTopK`` rows (default 100,000) a numeric key switches to
+``deep_page``, which first narrows the key range holding rank ``offset`` with exact histograms
+(one aggregate each, at most ``bins`` rows to the driver) and then takes a small top-k from that
+range. ``keyset_page`` is the cheapest form for sequential paging: its key predicate reaches the
+Parquet scan (row-group pruning) and keeps only ``limit`` rows per task.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidesync.functions.text import search_predicate
 
 DEFAULT_ORDER_PAGE = 50
 DEFAULT_CUSTOMER_PAGE = 100
+CONF_MAX_TOPK = "tidesync.page.maxTopK"
+DEFAULT_MAX_TOPK = 100_000
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -42,10 +50,55 @@ def page(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None
         raise ValueError("limit and offset must be >= 0")
     keys = _keys(key)
     base = df.select(*columns) if columns else df
+    max_topk = int(df.sparkSession.conf.get(CONF_MAX_TOPK, None) or DEFAULT_MAX_TOPK)
+    if (offset + limit > max_topk and len(keys) == 1
+            and isinstance(base.schema[keys[0]].dataType, _INTEGRAL)):
+        return deep_page(base, keys[0], limit, offset, max_topk)
     ordered = base.orderBy(*[F.col(k).asc() for k in keys])
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def rank_boundary(df: DataFrame, key: str, offset: int, max_rest: int, bins: int = 4096) -> tuple[int, int] | None:
+    """Exact ``(lo, rest)``: rows with ``key < lo`` number ``offset - rest`` and ``rest <= max_rest``
+    (or the range is one key value). ``None`` when the table has at most ``offset`` rows.
+
+    Each round is one aggregate over the key column of the current range: an equal-width
+    histogram of at most ``bins`` buckets, collected to the driver (bounded by ``bins``).
+    """
+    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    if stats["n"] is None or stats["n"] <= offset:
+        return None
+    lo, hi, below = int(stats["lo"]), int(stats["hi"]), 0
+    while True:
+        width = max(1, -(-(hi - lo + 1) // bins))
+        bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
+        hist = (df.where((F.col(key) >= lo) & (F.col(key) <= hi)).groupBy(bucket.alias("b"))
+                .agg(F.count(F.lit(1)).alias("n")).collect())
+        cum = below
+        for row in sorted(hist, key=lambda r: r["b"]):
+            if cum + row["n"] > offset:
+                lo, hi = lo + row["b"] * width, min(hi, lo + (row["b"] + 1) * width - 1)
+                below = cum
+                break
+            cum += row["n"]
+        else:
+            return None                                     # rows vanished between passes
+        if offset - below <= max_rest or width == 1:
+            return lo, offset - below
+
+
+def deep_page(df: DataFrame, key: str, limit: int, offset: int, max_rest: int = DEFAULT_MAX_TOPK,
+              bins: int = 4096) -> DataFrame:
+    """``ORDER BY key LIMIT limit OFFSET offset`` for a deep offset on an integral key, exact,
+    with a top-k heap of at most ``max_rest + limit`` rows per task."""
+    found = rank_boundary(df, key, offset, max_rest, bins)
+    if found is None:
+        return df.limit(0)
+    lo, rest = found
+    ordered = df.where(F.col(key) >= F.lit(lo)).orderBy(F.col(key).asc())
+    return ordered.offset(rest).limit(limit) if rest else ordered.limit(limit)
+
+
 def search_page(df: DataFrame, key: str | Sequence[str], text_col: str, term: str | None = "",
                 limit: int = DEFAULT_ORDER_PAGE, offset: int = 0, literal: bool = False) -> DataFrame:
     return page(search(df, text_col, term, literal), key, None, limit, offset)

@@ -214,6 +214,7 @@ FROM (SELECT count(*) AS total_rows FROM lake WHERE {_ilike('o_comment', Q.STATS
         "page_search": _with(LAKE, f"""
 SELECT * FROM lake WHERE {_ilike('o_comment', Q.WILDCARD_TERM)}
 ORDER BY o_orderkey LIMIT {Q.PAGE_LIMIT} OFFSET {Q.SEARCH_PAGE_OFFSET}"""),
+        "page_deep": _with(LAKE, f"SELECT * FROM lake ORDER BY o_orderkey LIMIT {Q.PAGE_LIMIT} OFFSET {Q.DEEP_OFFSET}"),
         "page_customers": f"""
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
 ORDER BY c_custkey LIMIT {Q.CUSTOMER_LIMIT} OFFSET {Q.CUSTOMER_OFFSET}""",

@@ -33,6 +33,7 @@ PAGE_LIMIT, PAGE_OFFSET = 50, 100
 SEARCH_PAGE_OFFSET = 50
 CUSTOMER_LIMIT, CUSTOMER_OFFSET = 100, 200
 KEYSET_AFTER = 149
+DEEP_OFFSET, DEEP_MAX_REST = 12_345, 1_000
 SEED_SIZE = 100
 BUCKETS = 16
 
@@ -161,6 +162,11 @@ def page_search(spark, d):
     return query.search_page(_lake(spark, d), "o_orderkey", "o_comment", WILDCARD_TERM, PAGE_LIMIT, SEARCH_PAGE_OFFSET)
 
 
+def page_deep(spark, d):
+    """A deep page taken by histogram narrowing (top-k heap bounded by DEEP_MAX_REST + limit)."""
+    return query.deep_page(_lake(spark, d), "o_orderkey", PAGE_LIMIT, DEEP_OFFSET, max_rest=DEEP_MAX_REST)
+
+
 def page_customers(spark, d):
     cust = tables.read_table(spark, d, "customer")
     return query.page(cust, "c_custkey", CUSTOMER_VIEW_COLUMNS, CUSTOMER_LIMIT, CUSTOMER_OFFSET)
@@ -340,6 +346,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_stats": page_stats,
     "page_orders": page_orders,
     "page_search": page_search,
+    "page_deep": page_deep,
     "page_customers": page_customers,
     "page_keyset": page_keyset,
     "merge_orders": merge_orders,
