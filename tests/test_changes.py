@@ -165,3 +165,27 @@ def test_seed_empty_staging_then_merge_is_noop(spark, target):
     assert seeded.counts.first().asDict() == {"seeded": 0, "attempted": 0}
     merged = changes.merge(target, seeded.result, KEY).result
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, target.collect()))
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_merge_newer_than(spark, strategy):
+    ts = lambda d: dt.datetime(2024, 1, d)
+    tgt = spark.createDataFrame([order(1) + (ts(5),), order(2) + (ts(5),), order(3) + (None,)], STAGING_SCHEMA)
+    src = spark.createDataFrame([order(1, status="F") + (ts(9),), order(2, status="F") + (ts(1),),
+                                 order(3, status="F") + (ts(1),), order(4) + (ts(1),)], STAGING_SCHEMA)
+    m = changes.merge(tgt, src, KEY, newer_than="last_modified", strategy=strategy)
+    got = {k: v["o_orderstatus"] for k, v in by_key(m.result).items()}
+    assert got == {1: "F", 2: "O", 3: "F", 4: "O"}
+    classes = {r["o_orderkey"]: r["match_class"] for r in m.classes.collect()}
+    assert classes == {1: "update", 2: "stale", 3: "update", 4: "insert"}
+    assert m.metrics().first().asDict() == {"num_affected_rows": 3, "num_updated_rows": 2,
+                                            "num_deleted_rows": 0, "num_inserted_rows": 1}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_merge_delete_missing(spark, target, strategy):
+    src = orders_df(spark, [order(2, status="F"), order(9)])
+    m = changes.merge(target, src, KEY, delete_missing=True, strategy=strategy)
+    assert {k: v["o_orderstatus"] for k, v in by_key(m.result).items()} == {2: "F", 9: "O"}
+    assert m.metrics().first().asDict() == {"num_affected_rows": 4, "num_updated_rows": 1,
+                                            "num_deleted_rows": 2, "num_inserted_rows": 1}

@@ -109,3 +109,13 @@ def test_forward_merge_buckets_touches_only_staged_buckets(spark):
     assert got == want
     assert run.metrics["num_affected_rows"] == small.count()
     assert len(before) == 16
+
+
+def test_catalog_merge_falls_back_on_parquet(spark):
+    root = scratch_path(spark, "t-fwdc")
+    name = "t_fwdc_" + uuid.uuid4().hex[:8]
+    publish.publish_swap(orders_df(spark, [order(1), order(2)]), name, root)
+    run = forward.forward_merge(spark, orders_df(spark, [order(2, status="F"), order(3)]), name, root,
+                                use_catalog_merge=True)
+    assert run.strategy in ("broadcast", "shuffle")        # Parquet has no MERGE: join plan used
+    assert {r["o_orderkey"]: r["o_orderstatus"] for r in spark.table(name).collect()} == {1: "O", 2: "F", 3: "O"}

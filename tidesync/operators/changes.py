@@ -30,7 +30,7 @@ HIT = "__src_hit"
 SRC = "__src_"
 
 # Outcome labels (the HTTP codes of a row-at-a-time service become labels of a batch).
-UPDATE, INSERT = "update", "insert"
+UPDATE, INSERT, STALE = "update", "insert", "stale"
 APPLIED, NO_FIELDS, NOT_FOUND, CONFLICT_EXISTS, CONFLICT_DUP = (
     "applied", "no_fields", "not_found", "exists", "duplicate_in_batch")
 DELETED, INSERTED = "deleted", "inserted"
@@ -57,12 +57,13 @@ def _align(df: DataFrame, target: DataFrame, fill: dict[str, Column] | None = No
 @dataclass
 class MergeResult:
     result: DataFrame        # new state of the target
-    classes: DataFrame       # one row per source key: key..., match_class ('update' | 'insert')
+    classes: DataFrame       # one row per source key: key..., match_class ('update' | 'insert' | 'stale')
     strategy: str            # 'broadcast' or 'shuffle'
     source_size: Size
+    deleted: DataFrame | None = None   # target keys removed (only with delete_missing)
 
     def metrics(self) -> DataFrame:
-        return merge_metrics(self.classes)
+        return merge_metrics(self.classes, self.deleted)
 
 
 def prepare_source(source: DataFrame, key: Sequence[str], on_duplicate: str = "error",
@@ -80,12 +81,19 @@ def prepare_source(source: DataFrame, key: Sequence[str], on_duplicate: str = "e
 
 def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplicate: str = "error",
           order_by: Sequence[str] = (), source_size: Size | None = None,
-          strategy: str | None = None) -> MergeResult:
+          strategy: str | None = None, newer_than: str | None = None,
+          delete_missing: bool = False) -> MergeResult:
     """Upsert ``source`` into ``target`` by ``key``.
 
     Matched: every source column overwrites the target's (NULL included). Not matched: the source
     row is inserted. Target rows without a source row are kept. Target columns the source lacks
-    keep their value on update and are NULL on insert.
+    keep their value on update and are NULL on insert. These are the defaults; two options differ
+    on purpose:
+
+    * ``newer_than=c``: a matched row is updated only when the source's ``c`` is greater than the
+      target's (or the target's is NULL); otherwise it is kept and classed ``stale``.
+    * ``delete_missing=True``: target rows whose key is not in the source are removed (the source
+      is a complete snapshot).
 
     Plans: when the source passes the broadcast size check the target is streamed once through a
     broadcast left join (no shuffle of the target) and scanned once more for its key column only
@@ -95,6 +103,8 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     extra = [c for c in source.columns if c not in target.columns]
     if extra:
         raise ValueError(f"source columns not in target: {extra}")
+    if newer_than is not None and newer_than not in source.columns:
+        raise ValueError(f"newer_than column {newer_than!r} not in source")
     source = prepare_source(source, key, on_duplicate, order_by)
     spark = source.sparkSession
     size = source_size if source_size is not None else measure(source)
@@ -103,40 +113,61 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
 
     value_cols = [c for c in target.columns if c not in key and c in source.columns]
     flagged = source.select(*key, *[F.col(c).alias(SRC + c) for c in value_cols], F.lit(True).alias(HIT))
+    apply = F.col(HIT).isNotNull()
+    if newer_than is not None:
+        apply = apply & (F.col(newer_than).isNull() | (F.col(SRC + newer_than) > F.col(newer_than)))
 
     def merged_value(c: str) -> Column:
         if c in key:
             return F.col(c)
         dtype = target.schema[c].dataType
         if c in value_cols:
-            return F.when(F.col(HIT), F.col(SRC + c).cast(dtype)).otherwise(F.col(c)).alias(c)
+            return F.when(apply, F.col(SRC + c).cast(dtype)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
-    src_keys = source.select(*key)
-    if strategy == "broadcast":
-        updated = target.join(F.broadcast(flagged), key, "left").select(*[merged_value(c) for c in target.columns])
-        hits = target.select(*key).join(F.broadcast(src_keys), key, "left_semi")   # <= |source| rows
-        inserts = _align(source.join(F.broadcast(hits), key, "left_anti"), target)
+    src_keys = source.select(*key, *([F.col(newer_than).alias("__s_stamp")] if newer_than else []))
+    tgt_keys = target.select(*key, *([F.col(newer_than).alias("__t_stamp")] if newer_than else []))
+    small = strategy == "broadcast"
+    if small:
+        joined = target.join(F.broadcast(flagged), key, "left")
+        kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
+        updated = kept.select(*[merged_value(c) for c in target.columns])
+        hits = tgt_keys.join(F.broadcast(src_keys.select(*key)), key, "left_semi")   # <= |source| rows
+        inserts = _align(source.join(F.broadcast(hits.select(*key)), key, "left_anti"), target)
         result = updated.unionByName(inserts)
-        classes = src_keys.join(F.broadcast(hits.withColumn("__t", F.lit(True))), key, "left")
     else:
-        tgt = target.withColumn("__t", F.lit(True))
-        joined = tgt.join(flagged, key, "full_outer")
-        result = joined.select(*[merged_value(c) for c in target.columns])
-        hits = target.select(*key).join(src_keys, key, "left_semi")
-        classes = src_keys.join(hits.withColumn("__t", F.lit(True)), key, "left")
-    classes = classes.select(*key, F.when(F.col("__t"), F.lit(UPDATE)).otherwise(F.lit(INSERT)).alias("match_class"))
-    return MergeResult(result, classes, strategy, size)
-
-
-def merge_metrics(classes: DataFrame) -> DataFrame:
-    """One row: affected, updated, deleted (always 0: no delete clause) and inserted rows."""
-    return classes.agg(
-        F.count(F.lit(1)).alias("num_affected_rows"),
+        joined = target.withColumn("__t", F.lit(True)).join(flagged, key, "full_outer")
+        kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
+        result = kept.select(*[merged_value(c) for c in target.columns])
+        hits = tgt_keys.join(src_keys.select(*key), key, "left_semi")
+    classes = src_keys.join(hinted(hits.withColumn("__t", F.lit(True)), small), key, "left")
+    matched_class = F.lit(UPDATE)
+    if newer_than is not None:
+        matched_class = F.when(F.col("__t_stamp").isNull() | (F.col("__s_stamp") > F.col("__t_stamp")),
+                               F.lit(UPDATE)).otherwise(F.lit(STALE))
+    classes = classes.select(*key, F.when(F.col("__t"), matched_class).otherwise(F.lit(INSERT)).alias("match_class"))
+    deleted = None
+    if delete_missing:
+        deleted = target.select(*key).join(hinted(source.select(*key), small), key, "left_anti")
+    return MergeResult(result, classes, strategy, size, deleted)
+
+
+def merge_metrics(classes: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """One row: affected, updated, deleted and inserted rows (deleted is 0 without delete_missing)."""
+    counts = classes.agg(
         F.count(F.when(F.col("match_class") == UPDATE, 1)).alias("num_updated_rows"),
-        F.lit(0).cast("long").alias("num_deleted_rows"),
         F.count(F.when(F.col("match_class") == INSERT, 1)).alias("num_inserted_rows"),
     )
+    if deleted is None:
+        n_deleted = F.lit(0).cast("long")
+    else:
+        n_deleted = deleted.agg(F.count(F.lit(1))).scalar()
+    return counts.select(
+        (F.col("num_updated_rows") + F.col("num_inserted_rows") + n_deleted).alias("num_affected_rows"),
+        "num_updated_rows",
+        n_deleted.alias("num_deleted_rows"),
+        "num_inserted_rows",
+    )
 
 
 # --------------------------------------------------------------------------------------------

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, TableContract
 from tidesync.operators.changes import merge
@@ -28,12 +30,37 @@ class ForwardRun:
     strategy: str | None = None
 
 
+def merge_into_catalog(spark: SparkSession, source: DataFrame, target_table: str,
+                       contract: TableContract = ORDERS) -> bool:
+    """``MERGE INTO`` through the catalog when the table format supports it (Delta, Iceberg, ...):
+    matched → update all columns, not matched → insert. Returns False when the table's format has
+    no MERGE (plain Parquet), so the caller falls back to the join plan and a location swap."""
+    cond = " AND ".join(f"t.{k} = s.{k}" for k in contract.key)
+    try:
+        (source.alias("s").mergeInto(target_table, F.expr(cond.replace("t.", f"{target_table}.")))
+         .whenMatched().updateAll().whenNotMatched().insertAll().merge())
+        return True
+    except PySparkException as e:
+        if (e.getCondition() or "").startswith("UNSUPPORTED_FEATURE"):
+            return False
+        raise
+
+
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
                   contract: TableContract = ORDERS, on_duplicate: str = "error",
-                  order_by: Sequence[str] = ()) -> ForwardRun:
+                  order_by: Sequence[str] = (), use_catalog_merge: bool = False) -> ForwardRun:
+    """Merge the whole staging table into ``target_table`` and publish the new version.
+
+    ``use_catalog_merge=True`` first tries the table format's own MERGE (row-level rewrite of the
+    touched files only); plain Parquet tables fall back to the join plan of ``merge``.
+    """
     if staging.isEmpty():                                   # nothing staged: no merge, no write
         return ForwardRun("no_rows")
     source = typed(staging, contract)
+    if use_catalog_merge:
+        require_unique(source, contract.key, "staging")
+        if merge_into_catalog(spark, source, target_table, contract):
+            return ForwardRun("merged", None, None, "catalog")
     target = spark.table(target_table)
     m = merge(target, source, contract.key, on_duplicate=on_duplicate, order_by=order_by)
     metrics = m.metrics().first().asDict()
