@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesync.operators.dedupe import (
+    DuplicateKeyError,
     duplicate_keys,
     last_non_null_per_key,
     latest_per_key,
     require_unique,
 )
 from tidesync.operators.keys import KeyJoin
-from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure
+from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure, measure_keyed
 
 HIT = "__src_hit"
 SRC = "__src_"
@@ -105,9 +106,14 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
         raise ValueError(f"source columns not in target: {extra}")
     if newer_than is not None and newer_than not in source.columns:
         raise ValueError(f"newer_than column {newer_than!r} not in source")
-    source = prepare_source(source, key, on_duplicate, order_by)
+    if on_duplicate == "error" and source_size is None:
+        size, top = measure_keyed(source, key)           # size check and key check in one pass
+        if top > 1:
+            raise DuplicateKeyError(f"merge source repeats keys {key}; pass on_duplicate='latest' with order_by")
+    else:
+        source = prepare_source(source, key, on_duplicate, order_by)
+        size = source_size if source_size is not None else measure(source)
     spark = source.sparkSession
-    size = source_size if source_size is not None else measure(source)
     if strategy is None:
         strategy = "broadcast" if fits_broadcast(spark, size) else "shuffle"
 

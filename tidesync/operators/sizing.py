@@ -41,6 +41,16 @@ def measure(df: DataFrame) -> Size:
     return Size(int(row["rows"]), int(row["bytes"] or 0))
 
 
+def measure_keyed(df: DataFrame, key) -> tuple[Size, int]:
+    """Size of ``df`` and the largest number of rows sharing one key, in one aggregate job.
+
+    The per-key partial aggregate runs map-side, so a hot key is reduced before the shuffle.
+    """
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df.schema)).alias("b"))
+    row = per_key.agg(F.sum("n").alias("rows"), F.sum("b").alias("bytes"), F.max("n").alias("top")).first()
+    return Size(int(row["rows"] or 0), int(row["bytes"] or 0)), int(row["top"] or 0)
+
+
 def key_size(size: Size, n_key_columns: int) -> Size:
     """Bound for a key-only projection of a measured side: one word per key column per row."""
     return Size(size.rows, size.rows * (16 + 8 * n_key_columns))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, TableContract
 from tidesync.operators.changes import merge
-from tidesync.operators.dedupe import require_unique
+from tidesync.operators.dedupe import DuplicateKeyError, require_unique
 from tidesync.operators.load import typed
-from tidesync.operators.sizing import measure
+from tidesync.operators.sizing import measure_keyed
 from tidesync.plans import bucketed
 from tidesync.plans.publish import publish_swap
 
@@ -63,7 +63,7 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
             return ForwardRun("merged", None, None, "catalog")
     target = spark.table(target_table)
     m = merge(target, source, contract.key, on_duplicate=on_duplicate, order_by=order_by)
-    metrics = m.metrics().first().asDict()
+    metrics = {**m.metrics().first().asDict(), "fetched_rows": m.source_size.rows}
     path = publish_swap(m.result, target_table, root)
     return ForwardRun("merged", metrics, path, m.strategy)
 
@@ -75,8 +75,9 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
     if staging.isEmpty():
         return ForwardRun("no_rows")
     source = typed(staging, contract)
-    require_unique(source, contract.key, "staging")
-    size = measure(source)
+    size, top = measure_keyed(source, contract.key)
+    if top > 1:
+        raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}")
     key = list(contract.key)
     metrics: dict = {}
 
@@ -86,4 +87,5 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
         return m.result
 
     touched = bucketed.apply(spark, table, source, change)
-    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched)}, table.root, "buckets")
+    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": size.rows},
+                      table.root, "buckets")

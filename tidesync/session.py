@@ -40,7 +40,13 @@ def shared_root(spark: SparkSession) -> str:
 
     Only when the session has none (tests, local runs) is a local folder created and set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                                   # e.g. Spark Connect: no SparkContext here
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return root.rstrip("/")
     root = sc.getCheckpointDir()
     if not root:
         conf_dir = sc.getConf().get("spark.checkpoint.dir")
