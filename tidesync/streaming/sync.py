@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidesync.operators.changes import merge
 from tidesync.operators.dedupe import latest_per_key
-from tidesync.operators.sizing import fits_broadcast, hinted, key_size, measure
+from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure
 from tidesync.plans import bucketed
 from tidesync.plans.publish import publish_swap, table_location
 
@@ -38,13 +38,14 @@ def newer_changes(target: DataFrame, changes: DataFrame, key: Sequence[str], seq
     return changes.join(hinted(stale, small), key, "left_anti")
 
 
-def apply_changes(target: DataFrame | None, latest: DataFrame, key: Sequence[str], seq_col: str) -> DataFrame:
+def apply_changes(target: DataFrame | None, latest: DataFrame, key: Sequence[str], seq_col: str,
+                  size: Size | None = None) -> DataFrame:
     """New state of the copy after one batch of changes, already reduced to one row per key
     (the copy stores ``seq`` and ``op``). ``target=None``: the first batch, i.e. the backfill."""
     key = list(key)
     if target is None:
         return latest
-    size = measure(latest)
+    size = size if size is not None else measure(latest)
     small = fits_broadcast(latest.sparkSession, key_size(size, len(key) + 1))
     fresh = newer_changes(target, latest, key, seq_col, small)
     return merge(target, fresh, key, on_duplicate="trust", source_size=size).result
@@ -81,9 +82,10 @@ def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col:
         # reduced once, reused by the size check, the seq filter and the merge of this batch
         latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if latest.isEmpty():
+            size = measure(latest)
+            if size.rows == 0:
                 return
-            publish_swap(apply_changes(target, latest, key, seq_col), target_table, root, version)
+            publish_swap(apply_changes(target, latest, key, seq_col, size), target_table, root, version)
         finally:
             latest.unpersist()
 
