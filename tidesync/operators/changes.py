@@ -131,22 +131,27 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
             return F.when(apply, F.col(SRC + c).cast(dtype)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
-    src_keys = source.select(*key, *([F.col(newer_than).alias("__s_stamp")] if newer_than else []))
+    src_stamp = [F.col(newer_than).alias("__s_stamp")] if newer_than else []
     tgt_keys = target.select(*key, *([F.col(newer_than).alias("__t_stamp")] if newer_than else []))
     small = strategy == "broadcast"
     if small:
         joined = target.join(F.broadcast(flagged), key, "left")
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         updated = kept.select(*[merged_value(c) for c in target.columns])
-        hits = tgt_keys.join(F.broadcast(src_keys.select(*key)), key, "left_semi")   # <= |source| rows
-        inserts = _align(source.join(F.broadcast(hits.select(*key)), key, "left_anti"), target)
+        hits = tgt_keys.join(F.broadcast(source.select(*key)), key, "left_semi")   # <= |source| rows
+        # One outer join of the source with the matched keys gives both the inserts and the match
+        # classes. (An anti join would be pushed through a Union in the source and repeat the
+        # key scan of the target once per branch.)
+        src_matched = source.join(F.broadcast(hits.withColumn("__t", F.lit(True))), key, "left")
+        inserts = _align(src_matched.where(F.col("__t").isNull()), target)
         result = updated.unionByName(inserts)
     else:
         joined = target.withColumn("__t", F.lit(True)).join(flagged, key, "full_outer")
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         result = kept.select(*[merged_value(c) for c in target.columns])
-        hits = tgt_keys.join(src_keys.select(*key), key, "left_semi")
-    classes = src_keys.join(hinted(hits.withColumn("__t", F.lit(True)), small), key, "left")
+        hits = tgt_keys.join(source.select(*key), key, "left_semi")
+        src_matched = source.join(hits.withColumn("__t", F.lit(True)), key, "left")
+    classes = src_matched.select(*key, "__t", *(["__t_stamp"] if newer_than else []), *src_stamp)
     matched_class = F.lit(UPDATE)
     if newer_than is not None:
         matched_class = F.when(F.col("__t_stamp").isNull() | (F.col("__s_stamp") > F.col("__t_stamp")),

@@ -90,7 +90,12 @@ def rank_boundary(df: DataFrame, key: str, offset: int, max_rest: int, bins: int
 def deep_page(df: DataFrame, key: str, limit: int, offset: int, max_rest: int = DEFAULT_MAX_TOPK,
               bins: int = 4096) -> DataFrame:
     """``ORDER BY key LIMIT limit OFFSET offset`` for a deep offset on an integral key, exact,
-    with a top-k heap of at most ``max_rest + limit`` rows per task."""
+    with a top-k heap of at most ``max_rest + limit`` rows per task.
+
+    Meant for unique keys (the primary key). When many rows share one key value the narrowing
+    stops at that value and the heap is bounded by the size of that tie group instead; the order
+    inside a tie group is not defined by ``ORDER BY key`` anyway.
+    """
     found = rank_boundary(df, key, offset, max_rest, bins)
     if found is None:
         return df.limit(0)

@@ -69,6 +69,22 @@ classes AS (
   FROM staging s
 )"""
 
+MERGED_LATEST = STAGING + f""",
+dedup AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus,
+         CASE WHEN o_orderkey % 500 = 0 THEN CAST(o_totalprice + 5 AS DECIMAL(15,2)) ELSE o_totalprice END AS o_totalprice,
+         o_orderdate, o_orderpriority, o_clerk, o_shippriority, o_comment
+  FROM staging
+),
+merged AS (
+  SELECT t.o_orderkey,
+         {", ".join(f"CASE WHEN s.o_orderkey IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in VALUE_COLS)}
+  FROM lake t LEFT JOIN dedup s ON t.o_orderkey = s.o_orderkey
+  UNION ALL
+  SELECT {_cols("s.")} FROM dedup s
+  WHERE NOT EXISTS (SELECT 1 FROM lake t WHERE t.o_orderkey = s.o_orderkey)
+)"""
+
 DELETE_KEYS = STAGING + """,
 delete_keys AS (
   SELECT o_orderkey FROM staging WHERE o_orderkey % 30 = 0
@@ -229,6 +245,9 @@ SELECT count(*) AS num_affected_rows,
 FROM classes"""),
         "merge_twice": _with(MERGED, "SELECT * FROM merged"),
         "merge_shuffle": _with(MERGED, "SELECT * FROM merged"),
+        "merge_latest": _with(MERGED_LATEST, "SELECT * FROM merged"),
+        "staging_key_violations": _with(STAGING, """
+SELECT o_orderkey, CAST(2 AS BIGINT) AS n_rows FROM staging WHERE o_orderkey % 500 = 0"""),
         "forward_merge": _with(MERGED, "SELECT * FROM merged"),
         "forward_merge_buckets": _with(MERGED, "SELECT * FROM merged"),
         "insert_strict": _with(INSERT_BATCH, "SELECT * FROM staging UNION ALL SELECT * FROM inserted"),

@@ -202,6 +202,17 @@ def merge_shuffle(spark, d):
     return changes.merge(i.lake, i.staging, KEY, strategy="shuffle").result
 
 
+def merge_latest(spark, d):
+    """MERGE of a staging batch that repeats keys, keeping the latest row per key (by price)."""
+    i = _Inputs(spark, d)
+    return changes.merge(i.lake, fixtures.staging_dup(i.staging), KEY, on_duplicate="latest",
+                         order_by=["o_totalprice"]).result
+
+
+def staging_key_violations(spark, d):
+    return checks.key_violations(fixtures.staging_dup(_staging(spark, d)), KEY)
+
+
 def forward_merge(spark, d):
     """The forward job end to end: the lake orders published as a table, the staging merged into
     it and the new version published; returns the table as published."""
@@ -354,6 +365,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_metrics": merge_metrics,
     "merge_twice": merge_twice,
     "merge_shuffle": merge_shuffle,
+    "merge_latest": merge_latest,
     "forward_merge": forward_merge,
     "forward_merge_buckets": forward_merge_buckets,
     "insert_strict": insert_strict,
@@ -368,6 +380,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fill_defaults": fill_defaults,
     "key_violations": key_violations,
     "key_violation_summary": key_violation_summary,
+    "staging_key_violations": staging_key_violations,
     "length_violations": length_violations,
     "sync_final_state": sync_final_state,
     "sync_final_state_buckets": sync_final_state_buckets,

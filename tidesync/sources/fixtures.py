@@ -52,8 +52,12 @@ def staging(lake: DataFrame, span: int | None = None) -> DataFrame:
 
 
 def staging_dup(staged: DataFrame) -> DataFrame:
-    """Staging plus its rows of every 500th key a second time (duplicate keys)."""
-    return staged.unionByName(staged.where(_k() % 500 == 0))
+    """Staging plus its rows of every 500th key a second time with price + 5.00 (repeated keys;
+    the later copy has the higher price)."""
+    again = staged.where(_k() % 500 == 0).select(*[
+        (F.col(c) + F.lit(5).cast("decimal(15,2)")).cast("decimal(15,2)").alias(c) if c == "o_totalprice"
+        else F.col(c) for c in ORDERS.columns])
+    return staged.unionByName(again)
 
 
 def patches(staged: DataFrame, lake: DataFrame, span: int | None = None) -> DataFrame:
