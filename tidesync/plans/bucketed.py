@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
-PROP_KEY, PROP_BUCKETS, PROP_BATCH = "tidesync.key", "tidesync.buckets", "tidesync.batch"
+PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_FILES = (
+    "tidesync.key", "tidesync.buckets", "tidesync.batch", "tidesync.filesPerBucket")
 
 
 def bucket_of(key: Sequence[str], buckets: int) -> Column:
@@ -41,6 +42,7 @@ class BucketedTable:
     key: tuple[str, ...]
     buckets: int
     root: str
+    files_per_bucket: int = 1
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table without the bucket column."""
@@ -51,25 +53,43 @@ def _props(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
 
 
+def _write_buckets(df: DataFrame, key: Sequence[str], buckets: int, n_buckets_written: int,
+                   files_per_bucket: int, path: str) -> None:
+    """Write ``df`` as ``path/__bucket=b/`` folders with about ``files_per_bucket`` files each.
+
+    Without the repartition every task would write one file per bucket it holds (tasks x buckets
+    small files). Rows go to ``n_buckets_written * files_per_bucket`` tasks by (bucket, salt); the
+    salt is a hash of the whole row, deterministic under task retries, and also spreads a bucket
+    that holds far more rows than the others. Rows are sorted by key inside each file so that
+    Parquet min/max statistics prune row groups for key lookups and key ranges.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_bucket))
+    out = (df.withColumn(BUCKET, bucket_of(key, buckets))
+           .repartition(max(1, n_buckets_written * files_per_bucket), F.col(BUCKET), salt)
+           .sortWithinPartitions(BUCKET, *key))
+    out.write.partitionBy(BUCKET).parquet(path)
+
+
 def create(spark: SparkSession, name: str, df: DataFrame, key: Sequence[str], buckets: int, root: str,
-           batch_id: int | None = None) -> BucketedTable:
+           batch_id: int | None = None, files_per_bucket: int = 1) -> BucketedTable:
     """Write ``df`` partitioned by key bucket and register it as ``name``."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    df.withColumn(BUCKET, bucket_of(key, buckets)).write.partitionBy(BUCKET).parquet(path)
+    _write_buckets(df, key, buckets, buckets, files_per_bucket, path)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets)}
+    props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets), PROP_FILES: str(files_per_bucket)}
     if batch_id is not None:
         props[PROP_BATCH] = str(batch_id)
     prop_sql = ", ".join(f"'{k}'='{v}'" for k, v in props.items())
     spark.sql(f"CREATE TABLE {name} ({cols}, {BUCKET} int) USING parquet PARTITIONED BY ({BUCKET}) "
               f"LOCATION '{path}' TBLPROPERTIES ({prop_sql})")
     spark.sql(f"MSCK REPAIR TABLE {name}")
-    return BucketedTable(name, tuple(key), buckets, root)
+    return BucketedTable(name, tuple(key), buckets, root, files_per_bucket)
 
 
 def open_table(spark: SparkSession, name: str, root: str) -> BucketedTable:
     p = _props(spark, name)
-    return BucketedTable(name, tuple(p[PROP_KEY].split(",")), int(p[PROP_BUCKETS]), root)
+    return BucketedTable(name, tuple(p[PROP_KEY].split(",")), int(p[PROP_BUCKETS]), root,
+                         int(p.get(PROP_FILES, "1")))
 
 
 def last_batch(spark: SparkSession, name: str) -> int | None:
@@ -96,8 +116,7 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
     current = spark.table(table.name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
     new_state = change_fn(current, changes)
     path = f"{table.root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    (new_state.withColumn(BUCKET, bucket_of(table.key, table.buckets))
-     .write.partitionBy(BUCKET).parquet(path))
+    _write_buckets(new_state, table.key, table.buckets, len(touched), table.files_per_bucket, path)
     existing = {int(r["partition"].split("=", 1)[1]) for r in spark.sql(f"SHOW PARTITIONS {table.name}").collect()}
     added = [b for b in touched if b not in existing]
     if added:
@@ -110,3 +129,14 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
         spark.sql(f"ALTER TABLE {table.name} SET TBLPROPERTIES ('{PROP_BATCH}'='{batch_id}')")
     spark.sql(f"REFRESH TABLE {table.name}")
     return touched
+
+
+def partition_locations(spark: SparkSession, name: str) -> dict[int, str]:
+    """Bucket id → folder, from the catalog (one call per partition, at most B)."""
+    out = {}
+    for r in spark.sql(f"SHOW PARTITIONS {name}").collect():
+        b = int(r["partition"].split("=", 1)[1])
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name} PARTITION ({BUCKET}={b})").collect()
+        # the partition's own Location comes first; the table's follows under "Storage Information"
+        out[b] = next(row["data_type"] for row in rows if row["col_name"] == "Location")
+    return out
