@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tidesync.operators.dedupe import (
     DuplicateKeyError,
     duplicate_keys,
-    last_non_null_per_key,
     latest_per_key,
     require_unique,
 )
@@ -227,9 +226,14 @@ class PatchResult:
 def patch_update(target: DataFrame, patches: DataFrame, key: Sequence[str], *,
                  stamp: tuple[str, Column] | None = None, order_by: str | None = None) -> PatchResult:
     """Apply partial updates: only non-NULL patch fields are set, so 0 and '' are applied and
-    NULL can never be set; the key itself cannot be patched. A patch with no field is rejected
-    (``no_fields``) before any lookup; an unknown key is ``not_found``. Several patches of one
-    key are folded field by field in ``order_by`` order, or rejected when no order is given."""
+    NULL can never be set; the key itself cannot be patched.
+
+    One aggregate over the batch gives, per key, the number of patches with and without fields
+    and the values to set. A key with no field in any patch is ``no_fields`` (rejected before
+    any lookup); several patches of one key are folded field by field in ``order_by`` order
+    (the latest non-NULL value wins), or rejected as ``duplicate_in_batch`` when no order is
+    given; an unknown key is ``not_found``. Each patched key gets exactly one outcome.
+    """
     key = list(key)
     fields = [c for c in patches.columns if c not in key and c != order_by]
     unknown = [c for c in fields if c not in target.columns]
@@ -238,23 +242,20 @@ def patch_update(target: DataFrame, patches: DataFrame, key: Sequence[str], *,
     any_given = F.lit(False)
     for c in fields:
         any_given = any_given | F.col(c).isNotNull()
-    empty = patches.where(~any_given).select(*key).distinct()
-    given = patches.where(any_given)
     if order_by:
-        given = last_non_null_per_key(given, key, order_by).drop(order_by)
-        dups = given.limit(0).select(*key)
+        values = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_by))).alias(SRC + c) for c in fields]
     else:
-        dups = duplicate_keys(given, key).select(*key)
+        # only read where exactly one patch has fields: its non-NULL values are the only candidates
+        values = [F.first(F.col(c), ignorenulls=True).alias(SRC + c) for c in fields]
+    per_key = patches.groupBy(*key).agg(F.count(F.when(any_given, 1)).alias("__n_given"), *values)
+    dup = (F.col("__n_given") > 1) if not order_by else F.lit(False)
+    usable = per_key.where((F.col("__n_given") > 0) & ~dup)
     spark = patches.sparkSession
-    size = measure(given)                              # one pass decides both joins below
-    small = fits_broadcast(spark, key_size(size, len(key)))
-    given = given.join(hinted(dups, small), key, "left_anti")
-    kj = KeyJoin(target, given, key, batch_size=size)
-    found = kj.present()
-    not_found = kj.missing_keys()
-
-    pflag = given.select(*key, *[F.col(c).alias(SRC + c) for c in fields], F.lit(True).alias(HIT))
-    pflag_small = fits_broadcast(spark, size)
+    size = measure(usable)                             # one pass decides both joins below
+    small = fits_broadcast(spark, size)
+    kj = KeyJoin(target, usable, key, batch_size=size)
+    found = kj.flagged_present("__found")
+    pflag = usable.select(*key, *[SRC + c for c in fields], F.lit(True).alias(HIT))
 
     def patched(c: str) -> Column:
         dtype = target.schema[c].dataType
@@ -264,12 +265,14 @@ def patch_update(target: DataFrame, patches: DataFrame, key: Sequence[str], *,
             return F.when(F.col(HIT), stamp[1].cast(dtype)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
-    result = target.join(hinted(pflag, pflag_small), key, "left").select(*[patched(c) for c in target.columns])
-    changed = target.join(hinted(pflag, pflag_small), key, "inner").select(*[patched(c) for c in target.columns])
-    outcomes = (found.select(*key, F.lit(APPLIED).alias("outcome"))
-                .unionByName(not_found.select(*key, F.lit(NOT_FOUND).alias("outcome")))
-                .unionByName(empty.select(*key, F.lit(NO_FIELDS).alias("outcome")))
-                .unionByName(dups.select(*key, F.lit(CONFLICT_DUP).alias("outcome"))))
+    result = target.join(hinted(pflag, small), key, "left").select(*[patched(c) for c in target.columns])
+    changed = target.join(hinted(pflag, small), key, "inner").select(*[patched(c) for c in target.columns])
+    outcome = (F.when(F.col("__n_given") == 0, F.lit(NO_FIELDS))
+               .when(dup, F.lit(CONFLICT_DUP))
+               .when(F.col("__found"), F.lit(APPLIED))
+               .otherwise(F.lit(NOT_FOUND)))
+    outcomes = (per_key.select(*key, "__n_given").join(hinted(found, kj.small), key, "left")
+                .select(*key, outcome.alias("outcome")))
     return PatchResult(result, changed, outcomes)
 
 
