@@ -23,7 +23,7 @@ from tidesync.operators.dedupe import (
     latest_per_key,
     require_unique,
 )
-from tidesync.operators.keys import KeyJoin
+from tidesync.operators.keys import KeyJoin, without_keys
 from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure, measure_keyed
 
 HIT = "__src_hit"
@@ -204,7 +204,7 @@ def insert_strict(target: DataFrame, batch: DataFrame, key: Sequence[str], *,
     unique_rows = batch.join(hinted(dups, small), key, "left_anti")
     kj = KeyJoin(target, unique_rows, key, batch_size=size)
     exists = kj.present()
-    inserted_raw = unique_rows.join(hinted(exists, small), key, "left_anti")
+    inserted_raw = without_keys(unique_rows, exists, key, small)
     fill = {stamp[0]: stamp[1]} if stamp else None
     inserted = _align(inserted_raw, target, fill)
     conflicts = (exists.select(*key, F.lit(CONFLICT_EXISTS).alias("reason"))

@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure
 
 
+def without_keys(df: DataFrame, keys: DataFrame, key: Sequence[str], small: bool) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``keys`` (keys must be unique).
+
+    Written as a left outer join plus ``IS NULL`` filter rather than a left anti join: Catalyst
+    pushes an anti join into every branch of a Union in ``df``, which would compute ``keys`` (a
+    scan of the target) once per branch; the outer join is not pushed.
+    """
+    key = list(key)
+    flag = "__kj_matched"
+    marked = keys.select(*key).withColumn(flag, F.lit(True))
+    return df.join(hinted(marked, small), key, "left").where(F.col(flag).isNull()).drop(flag)
+
+
 class KeyJoin:
     """Matches between ``table`` and a batch, computed once and reused by the DML operators."""
 
@@ -41,11 +54,11 @@ class KeyJoin:
     def absent_rows(self, rows: DataFrame | None = None) -> DataFrame:
         """Batch rows whose key is not in the table (``ON CONFLICT DO NOTHING`` selection)."""
         rows = self.batch if rows is None else rows
-        return rows.join(hinted(self.present(), self.small), self.key, "left_anti")
+        return without_keys(rows, self.present(), self.key, self.small)
 
     def missing_keys(self) -> DataFrame:
         """Requested keys not found in the table (the not-found outcome)."""
-        return self.batch_keys().join(hinted(self.present(), self.small), self.key, "left_anti")
+        return without_keys(self.batch_keys(), self.present(), self.key, self.small)
 
     def table_rows(self) -> DataFrame:
         """Rows of the table whose key is in the batch (point/batch lookup)."""
