@@ -78,6 +78,9 @@ ORDERS = TableContract(
     empty_as_null=("o_orderstatus",),
 )
 
+# A new-order record must carry every order field.
+ORDER_CREATE_REQUIRED = tuple(ORDERS.columns)
+
 # The staging copy carries a modification stamp set on insert and on every patch.
 STAMP_COLUMN = "last_modified"
 ORDERS_STAGING = TableContract(

@@ -25,14 +25,17 @@ def typed(df: DataFrame, contract: TableContract) -> DataFrame:
     return df.select(*[contract_column(F.col(c), c, contract) for c in contract.columns])
 
 
-MISSING_KEY, BAD_TYPE, TOO_LONG = "missing_key", "bad_type", "too_long"
+MISSING_KEY, MISSING_FIELD, BAD_TYPE, TOO_LONG = "missing_key", "missing_field", "bad_type", "too_long"
 
 
-def reject_reason(df: DataFrame, contract: TableContract) -> Column:
-    """First failed rule of a row, or NULL: missing key, then bad type, then too long."""
+def reject_reason(df: DataFrame, contract: TableContract, required: tuple[str, ...] = ()) -> Column:
+    """First failed rule of a row, or NULL: missing key, missing required field, bad type, too long."""
     checks: list[Column] = []
     for k in contract.key:
         checks.append(F.when(F.col(k).isNull() | (F.col(k).cast("string") == ""), F.lit(f"{MISSING_KEY}:{k}")))
+    for c in required:
+        if c not in contract.key:
+            checks.append(F.when(F.col(c).isNull(), F.lit(f"{MISSING_FIELD}:{c}")))
     for c in contract.columns:
         if c not in df.columns:
             continue
@@ -58,16 +61,18 @@ class Split:
         return self.rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def validate(df: DataFrame, contract: TableContract) -> Split:
+def validate(df: DataFrame, contract: TableContract, required: tuple[str, ...] = ()) -> Split:
     """Split raw rows into typed accepted rows and rejected rows with the first failed rule.
 
+    ``required`` lists fields that must be present (e.g. every field of a new-order record).
+
     Both outputs derive from one tagged projection; write them in one job with ``cache`` or a
     checkpoint upstream when the input is expensive to read twice.
     """
     missing = [c for c in contract.key if c not in df.columns]
     if missing:
         raise ValueError(f"input lacks key columns {missing}")
-    tagged = df.withColumn("reason", reject_reason(df, contract))
+    tagged = df.withColumn("reason", reject_reason(df, contract, tuple(required)))
     accepted = tagged.where(F.col("reason").isNull()).select(
         *[contract_column(F.col(c), c, contract, checked=True) if c in df.columns
           else F.lit(None).cast(contract.type_of(c)).alias(c) for c in contract.columns])

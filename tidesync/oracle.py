@@ -159,7 +159,14 @@ checked AS (
     {" ".join(f"WHEN {c} IS NOT NULL AND TRY_CAST({c} AS {SQL_TYPES[c]}) IS NULL THEN 'bad_type:{c}'"
               for c in COLS if SQL_TYPES[c] != "VARCHAR")}
     {" ".join(f"WHEN length({c}) > {n} THEN 'too_long:{c}'" for c, n in ORDERS.lengths.items())}
-  END AS reason
+  END AS reason,
+  CASE
+    WHEN o_orderkey IS NULL OR o_orderkey = '' THEN 'missing_key:o_orderkey'
+    {" ".join(f"WHEN {c} IS NULL THEN 'missing_field:{c}'" for c in COLS if c != "o_orderkey")}
+    {" ".join(f"WHEN {c} IS NOT NULL AND TRY_CAST({c} AS {SQL_TYPES[c]}) IS NULL THEN 'bad_type:{c}'"
+              for c in COLS if SQL_TYPES[c] != "VARCHAR")}
+    {" ".join(f"WHEN length({c}) > {n} THEN 'too_long:{c}'" for c, n in ORDERS.lengths.items())}
+  END AS strict_reason
   FROM records
 )"""
 
@@ -210,6 +217,8 @@ SELECT {", ".join("CASE WHEN o_orderkey % 90 = 0 THEN NULL ELSE o_orderstatus EN
         "ingest_accept": _with(RECORDS, f"""
 SELECT {", ".join(f"CAST({c} AS {SQL_TYPES[c]}) AS {c}" for c in COLS)} FROM checked WHERE reason IS NULL"""),
         "ingest_reject_counts": _with(RECORDS, "SELECT reason, count(*) AS n_rows FROM checked WHERE reason IS NOT NULL GROUP BY reason"),
+        "ingest_new_order_reject_counts": _with(RECORDS, """
+SELECT strict_reason AS reason, count(*) AS n_rows FROM checked WHERE strict_reason IS NOT NULL GROUP BY strict_reason"""),
         "search_text": _with(LAKE, f"SELECT * FROM lake WHERE {_ilike('o_comment', Q.SEARCH_TERM)}"),
         "search_empty_term": _with(LAKE, "SELECT * FROM lake"),
         "get_by_key": _with(LAKE, f"SELECT * FROM lake WHERE o_orderkey = {Q.LOOKUP_KEY}"),

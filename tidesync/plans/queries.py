@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesync.contracts import CLONE_TABLES, CUSTOMER_VIEW_COLUMNS, ORDERS, TPCH_KEYS
+from tidesync.contracts import CLONE_TABLES, CUSTOMER_VIEW_COLUMNS, ORDER_CREATE_REQUIRED, ORDERS, TPCH_KEYS
 from tidesync.functions.values import with_defaults
 from tidesync.operators import changes, checks, query
 from tidesync.operators.keys import KeyJoin
@@ -118,6 +118,12 @@ def ingest_reject_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.parse_records(fixtures.json_records(_staging(spark, d)), ORDERS).reject_counts()
 
 
+def ingest_new_order_reject_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same records read as new-order requests, where every field is required."""
+    return ingest.parse_records(fixtures.json_records(_staging(spark, d)), ORDERS,
+                                required=ORDER_CREATE_REQUIRED).reject_counts()
+
+
 # ---- search, lookups, counts, pages ------------------------------------------------------------
 
 def search_text(spark, d):
@@ -347,6 +353,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_candidates": seed_candidates,
     "ingest_accept": ingest_accept,
     "ingest_reject_counts": ingest_reject_counts,
+    "ingest_new_order_reject_counts": ingest_new_order_reject_counts,
     "search_text": search_text,
     "search_empty_term": search_empty_term,
     "get_by_key": get_by_key,

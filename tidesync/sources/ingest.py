@@ -15,13 +15,14 @@ def text_schema(contract: TableContract) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in contract.columns])
 
 
-def parse_records(records: DataFrame, contract: TableContract, value_col: str = "value") -> Split:
+def parse_records(records: DataFrame, contract: TableContract, value_col: str = "value",
+                  required: tuple[str, ...] = ()) -> Split:
     """Parse one JSON object per row and split into accepted / rejected under ``contract``.
 
     Numbers and strings both arrive as text; the contract's casts decide. The raw record is kept
     on rejected rows for inspection.
     """
-    return validate(flatten_records(records, contract, value_col), contract)
+    return validate(flatten_records(records, contract, value_col), contract, required)
 
 
 def flatten_records(records: DataFrame, contract: TableContract, value_col: str = "value") -> DataFrame:
