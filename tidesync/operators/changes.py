@@ -11,7 +11,7 @@ Two NULL rules live here and are never mixed:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,7 +82,8 @@ def prepare_source(source: DataFrame, key: Sequence[str], on_duplicate: str = "e
 def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplicate: str = "error",
           order_by: Sequence[str] = (), source_size: Size | None = None,
           strategy: str | None = None, newer_than: str | None = None,
-          delete_missing: bool = False) -> MergeResult:
+          delete_missing: bool = False,
+          pin: Callable[[DataFrame], DataFrame] | None = None) -> MergeResult:
     """Upsert ``source`` into ``target`` by ``key``.
 
     Matched: every source column overwrites the target's (NULL included). Not matched: the source
@@ -98,6 +99,11 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     Plans: when the source passes the broadcast size check the target is streamed once through a
     broadcast left join (no shuffle of the target) and scanned once more for its key column only
     to find the matched keys; otherwise one full outer sort-merge join shuffles both sides.
+
+    ``pin``: materialises the source rows flagged with their match (at most |source| rows), for
+    callers that read both the metrics and the new state: the key scan of the target then runs
+    once, and both read the same matches. It must return a DataFrame with the same rows, e.g. one
+    written to the shared folder and read back.
     """
     key = list(key)
     extra = [c for c in source.columns if c not in target.columns]
@@ -142,6 +148,8 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
         # classes. (An anti join would be pushed through a Union in the source and repeat the
         # key scan of the target once per branch.)
         src_matched = source.join(F.broadcast(hits.withColumn("__t", F.lit(True))), key, "left")
+        if pin is not None:
+            src_matched = pin(src_matched)
         inserts = _align(src_matched.where(F.col("__t").isNull()), target)
         result = updated.unionByName(inserts)
     else:
@@ -150,6 +158,8 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
         result = kept.select(*[merged_value(c) for c in target.columns])
         hits = tgt_keys.join(source.select(*key), key, "left_semi")
         src_matched = source.join(hits.withColumn("__t", F.lit(True)), key, "left")
+        if pin is not None:
+            src_matched = pin(src_matched)
     classes = src_matched.select(*key, "__t", *(["__t_stamp"] if newer_than else []), *src_stamp)
     matched_class = F.lit(UPDATE)
     if newer_than is not None:

@@ -1,11 +1,12 @@
 """The forward job: staged rows → contract types → checks → MERGE into the lake table → publish.
 
-Run it from any scheduler (e.g. every 15 minutes); each run reads the whole staging table, so
-a second run of the same staging leaves the target as it is (MERGE is idempotent).
+Run it from any scheduler (e.g. every 15 minutes); each run reads the whole staging table once,
+so a second run of the same staging leaves the target as it is (MERGE is idempotent).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, TableContract
-from tidesync.operators.changes import merge
-from tidesync.operators.dedupe import DuplicateKeyError, require_unique
+from tidesync.operators.changes import merge, prepare_source
+from tidesync.operators.dedupe import DuplicateKeyError
 from tidesync.operators.load import typed
-from tidesync.operators.sizing import measure_keyed
+from tidesync.operators.sizing import Size, measure, measure_keyed
 from tidesync.plans import bucketed
-from tidesync.plans.publish import publish_swap
+from tidesync.plans.publish import materialize, publish_swap
 
 
 @dataclass
@@ -46,43 +47,67 @@ def merge_into_catalog(spark: SparkSession, source: DataFrame, target_table: str
         raise
 
 
+def _staged_source(staging: DataFrame, root: str, contract: TableContract,
+                   on_duplicate: str, order_by: Sequence[str]) -> tuple[DataFrame, Size | None]:
+    """The staging under the contract types, read once into a snapshot below ``root``, with its
+    size and key check from one aggregate. Returns the source to merge (one row per key) and its
+    size, or size ``None`` when nothing is staged."""
+    source = materialize(typed(staging, contract), f"{root.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}")
+    size, top = measure_keyed(source, contract.key)
+    if size.rows == 0:
+        return source, None
+    if top > 1:
+        if on_duplicate == "error":
+            raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}; pass on_duplicate='latest'")
+        source = prepare_source(source, contract.key, on_duplicate, order_by)
+        size = measure(source)
+    return source, size
+
+
+def _pin_under(root: str):
+    """Materialise the bounded match set of a MERGE below ``root`` (see ``merge(pin=)``)."""
+    return lambda df: materialize(df, f"{root.rstrip('/')}/matches-{uuid.uuid4().hex[:12]}")
+
+
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
                   contract: TableContract = ORDERS, on_duplicate: str = "error",
                   order_by: Sequence[str] = (), use_catalog_merge: bool = False) -> ForwardRun:
     """Merge the whole staging table into ``target_table`` and publish the new version.
 
+    The staging is read once, into a snapshot below ``root``; the size check, the key check,
+    the empty-batch check, the metrics and the new state all read that snapshot. The matched
+    keys are written once too, so the key column of the target is scanned once for both the
+    metrics and the new state. Snapshots are ordinary folders below ``root`` and are removed by
+    ``tidesync.plans.retention.vacuum`` like old versions.
+
     ``use_catalog_merge=True`` first tries the table format's own MERGE (row-level rewrite of the
     touched files only); plain Parquet tables fall back to the join plan of ``merge``.
     """
-    if staging.isEmpty():                                   # nothing staged: no merge, no write
+    source, size = _staged_source(staging, root, contract, on_duplicate, order_by)
+    if size is None:                                         # nothing staged: no merge, no publish
         return ForwardRun("no_rows")
-    source = typed(staging, contract)
-    if use_catalog_merge:
-        require_unique(source, contract.key, "staging")
-        if merge_into_catalog(spark, source, target_table, contract):
-            return ForwardRun("merged", None, None, "catalog")
+    if use_catalog_merge and merge_into_catalog(spark, source, target_table, contract):
+        return ForwardRun("merged", None, None, "catalog")
     target = spark.table(target_table)
-    m = merge(target, source, contract.key, on_duplicate=on_duplicate, order_by=order_by)
-    metrics = {**m.metrics().first().asDict(), "fetched_rows": m.source_size.rows}
+    m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, pin=_pin_under(root))
+    metrics = {**m.metrics().first().asDict(), "fetched_rows": size.rows}
     path = publish_swap(m.result, target_table, root)
     return ForwardRun("merged", metrics, path, m.strategy)
 
 
 def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucketed.BucketedTable,
-                          contract: TableContract = ORDERS) -> ForwardRun:
+                          contract: TableContract = ORDERS, on_duplicate: str = "error",
+                          order_by: Sequence[str] = ()) -> ForwardRun:
     """The forward job on a key-bucketed lake table: only the buckets holding staged keys are
     read, merged and rewritten; the rest of the table is not touched."""
-    if staging.isEmpty():
+    source, size = _staged_source(staging, table.root, contract, on_duplicate, order_by)
+    if size is None:
         return ForwardRun("no_rows")
-    source = typed(staging, contract)
-    size, top = measure_keyed(source, contract.key)
-    if top > 1:
-        raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}")
     key = list(contract.key)
     metrics: dict = {}
 
     def change(current: DataFrame, changes: DataFrame) -> DataFrame:
-        m = merge(current, changes, key, on_duplicate="trust", source_size=size)
+        m = merge(current, changes, key, on_duplicate="trust", source_size=size, pin=_pin_under(table.root))
         metrics.update(m.metrics().first().asDict())
         return m.result
 

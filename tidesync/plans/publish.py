@@ -50,6 +50,17 @@ def publish_swap(df: DataFrame, table: str, root: str, version: str | None = Non
     return path
 
 
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once to ``path`` (a folder below the shared root) and read it back.
+
+    For inputs a job reads more than once: a serving table scanned over JDBC is then read once,
+    every later step sees the same rows (the table may change while the job runs), and the
+    lineage is cut, so a lost executor re-reads files instead of re-running the source query.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Rows out as JSON lines."""
     df.write.mode("overwrite").json(path)

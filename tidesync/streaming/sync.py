@@ -1,7 +1,7 @@
 """Continuous keyed sync of a change feed into a read-only keyed copy (Structured Streaming).
 
-Each micro-batch is reduced to the latest change per key (highest ``seq``), changes not newer
-than what the copy already holds are dropped, and the rest is upserted with the MERGE operator;
+Each micro-batch is reduced to the latest change per key (highest ``seq``) and upserted with the
+MERGE operator, which keeps a stored row whose ``seq`` is not lower than the change's;
 rows flagged as deletes leave a tombstone so that an older change arriving late cannot revive
 them. The new state is published by a location swap into a version folder named after the
 batch id: a replayed batch (``foreachBatch`` is at-least-once) finds its version already
@@ -20,35 +20,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidesync.operators.changes import merge
 from tidesync.operators.dedupe import latest_per_key
-from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, measure
+from tidesync.operators.sizing import Size, measure
 from tidesync.plans import bucketed
 from tidesync.plans.publish import publish_swap, table_location
 
 DELETE_OP = "D"
 
 
-def newer_changes(target: DataFrame, changes: DataFrame, key: Sequence[str], seq_col: str,
-                  small: bool) -> DataFrame:
-    """Changes whose ``seq`` is above the stored one (or whose key is new)."""
-    key = list(key)
-    stored = target.select(*key, F.col(seq_col).alias("__stored_seq"))
-    probe = changes.select(*key, F.col(seq_col).alias("__new_seq"))
-    stale = (stored.join(hinted(probe, small), key, "inner")
-             .where(F.col("__stored_seq") >= F.col("__new_seq")).select(*key))
-    return changes.join(hinted(stale, small), key, "left_anti")
-
-
 def apply_changes(target: DataFrame | None, latest: DataFrame, key: Sequence[str], seq_col: str,
                   size: Size | None = None) -> DataFrame:
     """New state of the copy after one batch of changes, already reduced to one row per key
-    (the copy stores ``seq`` and ``op``). ``target=None``: the first batch, i.e. the backfill."""
+    (the copy stores ``seq`` and ``op``). ``target=None``: the first batch, i.e. the backfill.
+
+    One MERGE with ``newer_than=seq``: a stored key is replaced only by a change with a higher
+    ``seq`` (a change without ``seq`` never replaces one that has it); new keys are inserted.
+    The copy's key and ``seq`` columns are scanned once, inside the MERGE.
+    """
     key = list(key)
     if target is None:
         return latest
     size = size if size is not None else measure(latest)
-    small = fits_broadcast(latest.sparkSession, key_size(size, len(key) + 1))
-    fresh = newer_changes(target, latest, key, seq_col, small)
-    return merge(target, fresh, key, on_duplicate="trust", source_size=size).result
+    return merge(target, latest, key, on_duplicate="trust", source_size=size, newer_than=seq_col).result
 
 
 def live_rows(copy: DataFrame, seq_col: str = "seq", op_col: str = "op") -> DataFrame:
