@@ -189,3 +189,26 @@ def test_merge_delete_missing(spark, target, strategy):
     assert {k: v["o_orderstatus"] for k, v in by_key(m.result).items()} == {2: "F", 9: "O"}
     assert m.metrics().first().asDict() == {"num_affected_rows": 4, "num_updated_rows": 1,
                                             "num_deleted_rows": 2, "num_inserted_rows": 1}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_merge_pin_gives_same_result_and_classes_read_only_the_pin(spark, target, strategy):
+    from tidesync.plans.publish import materialize
+    from tidesync.session import scratch_path
+    src = orders_df(spark, [order(2, status="F"), order(9)])
+    pinned = []
+
+    def pin(df):
+        out = materialize(df, scratch_path(spark, "t-pin"))
+        pinned.append(out)
+        return out
+
+    plain = changes.merge(target, src, KEY, strategy=strategy)
+    m = changes.merge(target, src, KEY, strategy=strategy, pin=pin)
+    assert len(pinned) == 1
+    assert sorted(map(tuple, m.result.collect())) == sorted(map(tuple, plain.result.collect()))
+    assert sorted(map(tuple, m.classes.collect())) == [(2, "update"), (9, "insert")]
+    assert m.metrics().first()["num_affected_rows"] == 2
+    # the classes come from the written match set alone: no scan of the target or the source
+    files = m.classes.inputFiles()
+    assert files and all("/t-pin-" in f for f in files)

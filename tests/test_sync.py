@@ -105,3 +105,28 @@ def test_bucketed_seq_rule_and_replay(spark):
     writer = sync.sync_batch_writer(name, f"{root}/table", KEY, layout="buckets", buckets=4)
     writer(with_meta(orders_df(spark, [order(3, status="X")]), 9), 2)     # batch 2 already applied
     assert {r["o_orderkey"]: r["o_orderstatus"] for r in sync.live_rows(spark.table(name)).collect()} == got
+
+
+def test_apply_changes_seq_rule_in_batch(spark):
+    """The seq rule as one MERGE: higher seq wins, equal or lower seq is kept, a change without
+    seq never replaces a stored seq, a stored row without seq takes any change, new keys insert."""
+    stored = spark.createDataFrame(
+        [with_meta_row(order(1), 5), with_meta_row(order(2), 5), with_meta_row(order(3), 5),
+         with_meta_row(order(4), None)], spark_cols(spark))
+    batch = spark.createDataFrame(
+        [with_meta_row(order(1, status="F"), 6), with_meta_row(order(2, status="F"), 5),
+         with_meta_row(order(3, status="F"), None), with_meta_row(order(4, status="F"), 1),
+         with_meta_row(order(5, status="F"), None)], spark_cols(spark))
+    got = {r["o_orderkey"]: (r["o_orderstatus"], r["seq"])
+           for r in sync.apply_changes(stored, batch, KEY, "seq").collect()}
+    assert got == {1: ("F", 6), 2: ("O", 5), 3: ("O", 5), 4: ("F", 1), 5: ("F", None)}
+
+
+def with_meta_row(row, seq, op=None):
+    return (*row, seq, op)
+
+
+def spark_cols(spark):
+    from pyspark.sql import types as T
+    return T.StructType(list(ORDERS.schema.fields) + [T.StructField("seq", T.LongType(), True),
+                                                      T.StructField("op", T.StringType(), True)])

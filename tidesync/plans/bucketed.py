@@ -42,7 +42,7 @@ class BucketedTable:
     key: tuple[str, ...]
     buckets: int
     root: str
-    files_per_bucket: int = 1
+    files_per_bucket: int | None = None      # None: file count follows the data (REBALANCE)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table without the bucket column."""
@@ -54,29 +54,40 @@ def _props(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def _write_buckets(df: DataFrame, key: Sequence[str], buckets: int, n_buckets_written: int,
-                   files_per_bucket: int, path: str) -> None:
-    """Write ``df`` as ``path/__bucket=b/`` folders with about ``files_per_bucket`` files each.
-
-    Without the repartition every task would write one file per bucket it holds (tasks x buckets
-    small files). Rows go to ``n_buckets_written * files_per_bucket`` tasks by (bucket, salt); the
-    salt is a hash of the whole row, deterministic under task retries, and also spreads a bucket
-    that holds far more rows than the others. Rows are sorted by key inside each file so that
-    Parquet min/max statistics prune row groups for key lookups and key ranges.
+                   files_per_bucket: int | None, path: str) -> None:
+    """Write ``df`` as ``path/__bucket=b/`` folders.
+
+    Default (``files_per_bucket=None``): a ``REBALANCE`` by bucket. Rows of one bucket go to one
+    shuffle partition, and AQE then splits a partition above
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` along map outputs and merges small ones.
+    A bucket holding a third of the table is thus written by many tasks into files of about the
+    advisory size, and small buckets get one file, whatever the table size. (With AQE off the
+    hint is a plain hash repartition: one task per bucket.)
+
+    ``files_per_bucket=n``: rows go to ``n_buckets_written * n`` tasks by (bucket, salt), where the
+    salt is a hash of the whole row (deterministic under task retries): exactly n files per bucket.
+
+    Either way each task writes only its own buckets, instead of every task writing one small
+    file per bucket it holds, and rows are sorted by key inside each file, so Parquet min/max
+    statistics prune row groups for key lookups and key ranges.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_bucket))
-    out = (df.withColumn(BUCKET, bucket_of(key, buckets))
-           .repartition(max(1, n_buckets_written * files_per_bucket), F.col(BUCKET), salt)
-           .sortWithinPartitions(BUCKET, *key))
-    out.write.partitionBy(BUCKET).parquet(path)
+    out = df.withColumn(BUCKET, bucket_of(key, buckets))
+    if files_per_bucket is None:
+        out = out.hint("rebalance", BUCKET)
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_bucket))
+        out = out.repartition(max(1, n_buckets_written * files_per_bucket), F.col(BUCKET), salt)
+    out.sortWithinPartitions(BUCKET, *key).write.partitionBy(BUCKET).parquet(path)
 
 
 def create(spark: SparkSession, name: str, df: DataFrame, key: Sequence[str], buckets: int, root: str,
-           batch_id: int | None = None, files_per_bucket: int = 1) -> BucketedTable:
+           batch_id: int | None = None, files_per_bucket: int | None = None) -> BucketedTable:
     """Write ``df`` partitioned by key bucket and register it as ``name``."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
     _write_buckets(df, key, buckets, buckets, files_per_bucket, path)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets), PROP_FILES: str(files_per_bucket)}
+    props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets),
+             PROP_FILES: "auto" if files_per_bucket is None else str(files_per_bucket)}
     if batch_id is not None:
         props[PROP_BATCH] = str(batch_id)
     prop_sql = ", ".join(f"'{k}'='{v}'" for k, v in props.items())
@@ -88,8 +99,9 @@ def create(spark: SparkSession, name: str, df: DataFrame, key: Sequence[str], bu
 
 def open_table(spark: SparkSession, name: str, root: str) -> BucketedTable:
     p = _props(spark, name)
+    files = p.get(PROP_FILES, "auto")
     return BucketedTable(name, tuple(p[PROP_KEY].split(",")), int(p[PROP_BUCKETS]), root,
-                         int(p.get(PROP_FILES, "1")))
+                         None if files == "auto" else int(files))
 
 
 def last_batch(spark: SparkSession, name: str) -> int | None:
