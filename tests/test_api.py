@@ -48,3 +48,22 @@ def test_required_fields_of_new_order(spark):
     split = ingest.parse_records(recs, ORDERS, required=ORDER_CREATE_REQUIRED)
     assert [r["o_orderkey"] for r in split.accepted.collect()] == [1]
     assert [r["reason"] for r in split.rejected.collect()] == ["missing_field:o_clerk"]
+
+
+def test_forward_merge_picks_the_table_layout(spark):
+    import uuid
+    from tidesync.plans import bucketed, publish
+    from tidesync.session import scratch_path
+    root = scratch_path(spark, "t-api-fwd")
+    lake = orders_df(spark, [order(1), order(2), order(3)])
+    staged = orders_df(spark, [order(2, status="F"), order(4)])
+    plain, buck = "t_api_p_" + uuid.uuid4().hex[:8], "t_api_b_" + uuid.uuid4().hex[:8]
+    publish.publish_swap(lake, plain, f"{root}/p")
+    bucketed.create(spark, buck, lake, ["o_orderkey"], 4, f"{root}/b")
+    runs = {n: api.forward_merge(spark, staged, n, f"{root}/{d}") for n, d in ((plain, "p"), (buck, "b"))}
+    assert runs[plain].strategy in ("broadcast", "shuffle") and runs[buck].strategy == "buckets"
+    want = [(1, "O"), (2, "F"), (3, "O"), (4, "O")]
+    for n in (plain, buck):
+        got = sorted((r["o_orderkey"], r["o_orderstatus"]) for r in spark.table(n).collect())
+        assert got == want
+        assert runs[n].metrics["num_updated_rows"] == 1 and runs[n].metrics["num_inserted_rows"] == 1

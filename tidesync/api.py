@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidesync.contracts import CUSTOMER_VIEW_COLUMNS, ORDERS, ORDERS_STAGING, STAMP_COLUMN, TableContract
 from tidesync.operators import changes, query
 from tidesync.operators.keys import KeyJoin
-from tidesync.plans import clone, forward
+from tidesync.plans import bucketed, clone, forward
 from tidesync.streaming import sync
 
 
@@ -75,7 +75,14 @@ def page(df: DataFrame, key: str | Sequence[str] = "c_custkey", columns: Sequenc
 
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
                   contract: TableContract = ORDERS, **kw) -> forward.ForwardRun:
-    """Merge the whole staging table into the lake table and publish the new version."""
+    """Merge the whole staging table into the lake table and publish the new version.
+
+    A key-bucketed lake table (``tidesync.plans.bucketed``) gets only its touched buckets
+    rewritten; any other table gets a new version swapped in whole."""
+    if bucketed.is_bucketed(spark, target_table):
+        kw.pop("use_catalog_merge", None)                   # Parquet buckets: no catalog MERGE
+        return forward.forward_merge_buckets(spark, staging, bucketed.open_table(spark, target_table, root),
+                                             contract, **kw)
     return forward.forward_merge(spark, staging, target_table, root, contract, **kw)
 
 

@@ -104,6 +104,11 @@ def open_table(spark: SparkSession, name: str, root: str) -> BucketedTable:
                          None if files == "auto" else int(files))
 
 
+def is_bucketed(spark: SparkSession, name: str) -> bool:
+    """Whether ``name`` exists and was created by ``create`` (it carries the bucket properties)."""
+    return spark.catalog.tableExists(name) and PROP_BUCKETS in _props(spark, name)
+
+
 def last_batch(spark: SparkSession, name: str) -> int | None:
     v = _props(spark, name).get(PROP_BATCH)
     return int(v) if v is not None else None
