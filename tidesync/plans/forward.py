@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,24 @@ def _staged_source(staging: DataFrame, root: str, contract: TableContract,
     return source, size
 
 
-def _pin_under(root: str):
-    """Materialise the bounded match set of a MERGE below ``root`` (see ``merge(pin=)``)."""
-    return lambda df: materialize(df, f"{root.rstrip('/')}/matches-{uuid.uuid4().hex[:12]}")
+class _Pins:
+    """Pins the bounded match set of a MERGE (see ``merge(pin=)``) in executor memory and disk for
+    the job, and releases it afterwards. A persist, not a written copy: the match set is
+    recomputable from the written staging snapshot and the target, so a lost executor's blocks
+    are recomputed with the same rows."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.frames.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames.clear()
 
 
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
@@ -76,7 +92,7 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
 
     The staging is read once, into a snapshot below ``root``; the size check, the key check,
     the empty-batch check, the metrics and the new state all read that snapshot. The matched
-    keys are written once too, so the key column of the target is scanned once for both the
+    keys are pinned for the job, so the key column of the target is scanned once for both the
     metrics and the new state. Snapshots are ordinary folders below ``root`` and are removed by
     ``tidesync.plans.retention.vacuum`` like old versions.
 
@@ -89,9 +105,13 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     if use_catalog_merge and merge_into_catalog(spark, source, target_table, contract):
         return ForwardRun("merged", None, None, "catalog")
     target = spark.table(target_table)
-    m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, pin=_pin_under(root))
-    metrics = {**m.metrics().first().asDict(), "fetched_rows": size.rows}
-    path = publish_swap(m.result, target_table, root)
+    pins = _Pins()
+    try:
+        m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, pin=pins)
+        metrics = {**m.metrics().first().asDict(), "fetched_rows": size.rows}
+        path = publish_swap(m.result, target_table, root)
+    finally:
+        pins.release()
     return ForwardRun("merged", metrics, path, m.strategy)
 
 
@@ -105,12 +125,16 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
         return ForwardRun("no_rows")
     key = list(contract.key)
     metrics: dict = {}
+    pins = _Pins()
 
     def change(current: DataFrame, changes: DataFrame) -> DataFrame:
-        m = merge(current, changes, key, on_duplicate="trust", source_size=size, pin=_pin_under(table.root))
+        m = merge(current, changes, key, on_duplicate="trust", source_size=size, pin=pins)
         metrics.update(m.metrics().first().asDict())
         return m.result
 
-    touched = bucketed.apply(spark, table, source, change)
+    try:
+        touched = bucketed.apply(spark, table, source, change)
+    finally:
+        pins.release()
     return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": size.rows},
                       table.root, "buckets")
