@@ -165,3 +165,26 @@ def test_bucketed_write_splits_a_hot_bucket(spark):
              for b in range(8)}
     assert len(files[hot_bucket]) > 1
     assert spark.read.parquet(path).count() == df.count()
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    """One key holding a third of all rows: the one-row-per-key reduction and the duplicate check
+    give the right rows, and both aggregate map-side before the exchange (no task gathers the
+    whole key)."""
+    from pyspark.sql import functions as F
+    from tidesync.operators.dedupe import duplicate_keys, latest_per_key
+    lake = tables.lake_orders(spark, "/root/testdata/sf0.01")
+    hot = lake.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long"))
+                          .otherwise(F.col("o_orderkey"))).repartition(8)
+    n_hot = lake.where("o_orderkey % 3 = 0").count()
+    latest = latest_per_key(hot, KEY, ["o_totalprice", "o_custkey"])
+    want = lake.where("o_orderkey % 3 = 0").orderBy(F.col("o_totalprice").desc(), F.col("o_custkey").desc()).first()
+    got = latest.where("o_orderkey = 0").collect()
+    assert len(got) == 1 and (got[0]["o_totalprice"], got[0]["o_custkey"]) == (want["o_totalprice"], want["o_custkey"])
+    assert latest.count() == lake.count() - n_hot + 1
+    dups = duplicate_keys(hot, KEY).collect()
+    assert [(r["o_orderkey"], r["n_rows"]) for r in dups] == [(0, n_hot)]
+    for df in (latest, duplicate_keys(hot, KEY)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        partial = max(text.find("partial_max"), text.find("partial_count"))
+        assert partial > text.find("Exchange hashpartitioning(o_orderkey") > 0
