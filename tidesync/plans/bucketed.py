@@ -27,6 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidesync.functions.values import row_bytes
+from tidesync.operators.sizing import Size
+
 BUCKET = "__bucket"
 PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_FILES = (
     "tidesync.key", "tidesync.buckets", "tidesync.batch", "tidesync.filesPerBucket")
@@ -120,14 +123,24 @@ def touched_buckets(changes: DataFrame, table: BucketedTable) -> list[int]:
     return sorted(r["b"] for r in rows)
 
 
+def measure_touched(changes: DataFrame, key: Sequence[str], buckets: int) -> tuple[Size, list[int]]:
+    """Size of a change batch and the buckets it touches, from one aggregate (the bucket set is
+    at most ``buckets`` small integers)."""
+    row = changes.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(changes.schema)).alias("bytes"),
+                      F.collect_set(bucket_of(key, buckets)).alias("touched")).first()
+    return Size(int(row["rows"]), int(row["bytes"] or 0)), sorted(row["touched"])
+
+
 def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
-          change_fn: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int | None = None) -> list[int]:
+          change_fn: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int | None = None,
+          touched: Sequence[int] | None = None) -> list[int]:
     """Replace the touched buckets by ``change_fn(current rows of those buckets, changes)``.
 
     Returns the touched bucket ids. ``batch_id`` is recorded on the table after the swaps, for
-    replay guards of streaming writers.
+    replay guards of streaming writers. ``touched`` passes bucket ids already known (e.g. from
+    ``measure_touched``); otherwise one aggregate finds them.
     """
-    touched = touched_buckets(changes, table)
+    touched = touched_buckets(changes, table) if touched is None else sorted(touched)
     if not touched:
         return touched
     current = spark.table(table.name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)

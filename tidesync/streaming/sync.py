@@ -94,17 +94,20 @@ def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col:
                 return                                      # replay of an applied batch
         if op_col not in batch.columns:
             batch = batch.withColumn(op_col, F.lit(None).cast("string"))
-        cols = bucketed.open_table(spark, target_table, root).read(spark).columns if exists else batch.columns
+        table = bucketed.open_table(spark, target_table, root) if exists else None
+        cols = table.read(spark).columns if exists else batch.columns
         latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if latest.isEmpty():
+            # one aggregate: empty check, broadcast size check and touched buckets
+            size, touched = bucketed.measure_touched(latest, key, table.buckets if exists else buckets)
+            if size.rows == 0:
                 return
             if not exists:
                 bucketed.create(spark, target_table, latest, key, buckets, root, batch_id)
                 return
-            table = bucketed.open_table(spark, target_table, root)
             bucketed.apply(spark, table, latest,
-                           lambda current, changes: apply_changes(current, changes, key, seq_col), batch_id)
+                           lambda current, changes: apply_changes(current, changes, key, seq_col, size),
+                           batch_id, touched)
         finally:
             latest.unpersist()
 
