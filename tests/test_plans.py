@@ -188,3 +188,10 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
         text = df._jdf.queryExecution().executedPlan().toString()
         partial = max(text.find("partial_max"), text.find("partial_count"))
         assert partial > text.find("Exchange hashpartitioning(o_orderkey") > 0
+
+
+def test_shared_root_comes_from_the_session(spark):
+    from tidesync.session import shared_root
+    root = shared_root(spark)
+    assert root == spark.sparkContext.getCheckpointDir().rstrip("/")
+    assert scratch_path(spark, "x").startswith(root + "/tidesync/x-")

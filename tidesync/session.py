@@ -38,7 +38,9 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only when the session has none (tests, local runs) is a local folder created and set.
+    Only a local-mode session without one (tests, local runs) gets a local folder created and
+    set; a cluster session without one is an error, since a folder on the driver's disk is not
+    visible to the executors.
     """
     try:
         sc = spark.sparkContext
@@ -52,8 +54,10 @@ def shared_root(spark: SparkSession) -> str:
         conf_dir = sc.getConf().get("spark.checkpoint.dir")
         if conf_dir:
             sc.setCheckpointDir(conf_dir)
-        else:
+        elif sc.master.startswith("local"):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidesync-ckpt-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
