@@ -195,3 +195,19 @@ def test_shared_root_comes_from_the_session(spark):
     root = shared_root(spark)
     assert root == spark.sparkContext.getCheckpointDir().rstrip("/")
     assert scratch_path(spark, "x").startswith(root + "/tidesync/x-")
+
+
+def test_forward_merge_repeated_staging_keys(spark):
+    from tidesync.operators.dedupe import DuplicateKeyError
+    root = scratch_path(spark, "t-fwd-dup")
+    name = "t_fwd_dup_" + uuid.uuid4().hex[:8]
+    publish.publish_swap(orders_df(spark, [order(1), order(2)]), name, root)
+    staged = orders_df(spark, [order(2, status="F", price="5.00"), order(2, status="P", price="7.00"), order(3)])
+    with pytest.raises(DuplicateKeyError):
+        forward.forward_merge(spark, staged, name, root)
+    assert sorted(r["o_orderkey"] for r in spark.table(name).collect()) == [1, 2]     # nothing published
+    run = forward.forward_merge(spark, staged, name, root, on_duplicate="latest", order_by=["o_totalprice"])
+    assert run.metrics["num_updated_rows"] == 1 and run.metrics["num_inserted_rows"] == 1
+    assert run.metrics["fetched_rows"] == 3                                            # rows read from staging
+    got = {r["o_orderkey"]: r["o_orderstatus"] for r in spark.table(name).collect()}
+    assert got == {1: "O", 2: "P", 3: "O"}

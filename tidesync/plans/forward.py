@@ -49,20 +49,21 @@ def merge_into_catalog(spark: SparkSession, source: DataFrame, target_table: str
 
 
 def _staged_source(staging: DataFrame, root: str, contract: TableContract,
-                   on_duplicate: str, order_by: Sequence[str]) -> tuple[DataFrame, Size | None]:
+                   on_duplicate: str, order_by: Sequence[str]) -> tuple[DataFrame, Size | None, int]:
     """The staging under the contract types, read once into a snapshot below ``root``, with its
-    size and key check from one aggregate. Returns the source to merge (one row per key) and its
-    size, or size ``None`` when nothing is staged."""
+    size and key check from one aggregate. Returns the source to merge (one row per key), its
+    size (``None`` when nothing is staged) and the number of rows read from the staging."""
     source = materialize(typed(staging, contract), f"{root.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}")
     size, top = measure_keyed(source, contract.key)
-    if size.rows == 0:
-        return source, None
+    fetched = size.rows
+    if fetched == 0:
+        return source, None, 0
     if top > 1:
         if on_duplicate == "error":
             raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}; pass on_duplicate='latest'")
         source = prepare_source(source, contract.key, on_duplicate, order_by)
         size = measure(source)
-    return source, size
+    return source, size, fetched
 
 
 class _Pins:
@@ -99,7 +100,7 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     ``use_catalog_merge=True`` first tries the table format's own MERGE (row-level rewrite of the
     touched files only); plain Parquet tables fall back to the join plan of ``merge``.
     """
-    source, size = _staged_source(staging, root, contract, on_duplicate, order_by)
+    source, size, fetched = _staged_source(staging, root, contract, on_duplicate, order_by)
     if size is None:                                         # nothing staged: no merge, no publish
         return ForwardRun("no_rows")
     if use_catalog_merge and merge_into_catalog(spark, source, target_table, contract):
@@ -108,7 +109,7 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     pins = _Pins()
     try:
         m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, pin=pins)
-        metrics = {**m.metrics().first().asDict(), "fetched_rows": size.rows}
+        metrics = {**m.metrics().first().asDict(), "fetched_rows": fetched}
         path = publish_swap(m.result, target_table, root)
     finally:
         pins.release()
@@ -120,7 +121,7 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
                           order_by: Sequence[str] = ()) -> ForwardRun:
     """The forward job on a key-bucketed lake table: only the buckets holding staged keys are
     read, merged and rewritten; the rest of the table is not touched."""
-    source, size = _staged_source(staging, table.root, contract, on_duplicate, order_by)
+    source, size, fetched = _staged_source(staging, table.root, contract, on_duplicate, order_by)
     if size is None:
         return ForwardRun("no_rows")
     key = list(contract.key)
@@ -136,5 +137,5 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
         touched = bucketed.apply(spark, table, source, change)
     finally:
         pins.release()
-    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": size.rows},
+    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": fetched},
                       table.root, "buckets")
