@@ -212,3 +212,37 @@ def test_merge_pin_gives_same_result_and_classes_read_only_the_pin(spark, target
     # the classes come from the written match set alone: no scan of the target or the source
     files = m.classes.inputFiles()
     assert files and all("/t-pin-" in f for f in files)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("option", ["plain", "newer_than", "delete_missing"])
+def test_merge_observed_metrics_equal_class_metrics(spark, strategy, option):
+    stamp = F.lit(AS_OF).cast("timestamp")
+    tgt = orders_df(spark, [order(1), order(2), order(3), order(4)]).withColumn("last_modified", stamp)
+    src = orders_df(spark, [order(2, status="F"), order(3, status="F"), order(8)]).withColumn(
+        "last_modified", F.when(F.col("o_orderkey") == 3, stamp - F.expr("INTERVAL 1 DAY"))
+        .otherwise(stamp + F.expr("INTERVAL 1 DAY")))
+    kw = {"newer_than": {"newer_than": "last_modified"}, "delete_missing": {"delete_missing": True}, "plain": {}}[option]
+    m = changes.merge(tgt, src, KEY, strategy=strategy, observe=True, **kw)
+    m.result.write.format("noop").mode("overwrite").save()
+    assert m.observed_metrics() == m.metrics().first().asDict()
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("case", ["all_matched", "all_new", "delete_all_matched"])
+def test_merge_observed_metrics_when_a_branch_is_empty(spark, target, strategy, case):
+    keys = {"all_matched": [1, 2], "all_new": [7, 8], "delete_all_matched": [1, 2, 3]}[case]
+    src = orders_df(spark, [order(k, status="F") for k in keys])
+    m = changes.merge(target, src, KEY, strategy=strategy, observe=True,
+                      delete_missing=case == "delete_all_matched")
+    m.result.write.format("noop").mode("overwrite").save()
+    assert m.observed_metrics() == m.metrics().first().asDict()
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_merge_observed_metrics_into_an_empty_target(spark, strategy):
+    m = changes.merge(orders_df(spark, []), orders_df(spark, [order(5), order(6)]), KEY,
+                      strategy=strategy, observe=True)
+    m.result.write.format("noop").mode("overwrite").save()
+    assert m.observed_metrics() == {"num_affected_rows": 2, "num_updated_rows": 0,
+                                    "num_deleted_rows": 0, "num_inserted_rows": 2}

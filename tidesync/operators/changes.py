@@ -11,10 +11,11 @@ Two NULL rules live here and are never mixed:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidesync.operators.dedupe import (
@@ -61,10 +62,24 @@ class MergeResult:
     strategy: str            # 'broadcast' or 'shuffle'
     source_size: Size
     deleted: DataFrame | None = None   # target keys removed (only with delete_missing)
+    observations: list[Observation] = field(default_factory=list)   # with merge(observe=True)
 
     def metrics(self) -> DataFrame:
         return merge_metrics(self.classes, self.deleted)
 
+    def observed_metrics(self) -> dict[str, int]:
+        """The metrics counted while ``result`` was computed (``merge(observe=True)``), without a
+        job of their own. Call only after an action on ``result`` (e.g. its write) has finished."""
+        if not self.observations:
+            raise ValueError("pass observe=True to merge()")
+        got: dict[str, int] = {}
+        for o in self.observations:
+            got.update(o.get)
+        upd, ins = int(got.get("num_updated_rows", 0)), int(got.get("num_inserted_rows", 0))
+        dele = int(got.get("num_deleted_rows", 0))
+        return {"num_affected_rows": upd + ins + dele, "num_updated_rows": upd,
+                "num_deleted_rows": dele, "num_inserted_rows": ins}
+
 
 def prepare_source(source: DataFrame, key: Sequence[str], on_duplicate: str = "error",
                    order_by: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +98,8 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
           order_by: Sequence[str] = (), source_size: Size | None = None,
           strategy: str | None = None, newer_than: str | None = None,
           delete_missing: bool = False,
-          pin: Callable[[DataFrame], DataFrame] | None = None) -> MergeResult:
+          pin: Callable[[DataFrame], DataFrame] | None = None,
+          observe: bool = False) -> MergeResult:
     """Upsert ``source`` into ``target`` by ``key``.
 
     Matched: every source column overwrites the target's (NULL included). Not matched: the source
@@ -104,6 +120,11 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     callers that read both the metrics and the new state: the key scan of the target then runs
     once, and both read the same matches. It must return a DataFrame with the same rows, e.g. one
     written to the shared folder and read back.
+
+    ``observe=True``: the updated, inserted (and deleted) rows are counted inside the plan of
+    ``result`` (``DataFrame.observe``), in the stage that writes it, and read with
+    ``observed_metrics()`` after that write. No job of their own, and in the shuffle plan no second
+    pass over the target's keys.
     """
     key = list(key)
     extra = [c for c in source.columns if c not in target.columns]
@@ -128,6 +149,15 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     if newer_than is not None:
         apply = apply & (F.col(newer_than).isNull() | (F.col(SRC + newer_than) > F.col(newer_than)))
 
+    observations: list[Observation] = []
+
+    def watch(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+        if not observe:
+            return df
+        o = Observation(f"tidesync_merge_{uuid.uuid4().hex[:12]}")
+        observations.append(o)
+        return df.observe(o, *[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])
+
     def merged_value(c: str) -> Column:
         if c in key:
             return F.col(c)
@@ -140,7 +170,9 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     tgt_keys = target.select(*key, *([F.col(newer_than).alias("__t_stamp")] if newer_than else []))
     small = strategy == "broadcast"
     if small:
-        joined = target.join(F.broadcast(flagged), key, "left")
+        joined = watch(target.join(F.broadcast(flagged), key, "left"),
+                       {"num_updated_rows": apply,
+                        **({"num_deleted_rows": F.col(HIT).isNull()} if delete_missing else {})})
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         updated = kept.select(*[merged_value(c) for c in target.columns])
         hits = tgt_keys.join(F.broadcast(source.select(*key)), key, "left_semi")   # <= |source| rows
@@ -150,10 +182,14 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
         src_matched = source.join(F.broadcast(hits.withColumn("__t", F.lit(True))), key, "left")
         if pin is not None:
             src_matched = pin(src_matched)
-        inserts = _align(src_matched.where(F.col("__t").isNull()), target)
+        inserts = _align(watch(src_matched.where(F.col("__t").isNull()), {"num_inserted_rows": F.lit(True)}),
+                         target)
         result = updated.unionByName(inserts)
     else:
         joined = target.withColumn("__t", F.lit(True)).join(flagged, key, "full_outer")
+        t_here, s_here = F.col("__t").isNotNull(), F.col(HIT).isNotNull()
+        joined = watch(joined, {"num_updated_rows": t_here & apply, "num_inserted_rows": ~t_here & s_here,
+                                **({"num_deleted_rows": t_here & ~s_here} if delete_missing else {})})
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         result = kept.select(*[merged_value(c) for c in target.columns])
         hits = tgt_keys.join(source.select(*key), key, "left_semi")
@@ -169,7 +205,7 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     deleted = None
     if delete_missing:
         deleted = target.select(*key).join(hinted(source.select(*key), small), key, "left_anti")
-    return MergeResult(result, classes, strategy, size, deleted)
+    return MergeResult(result, classes, strategy, size, deleted, observations)
 
 
 def merge_metrics(classes: DataFrame, deleted: DataFrame | None = None) -> DataFrame:

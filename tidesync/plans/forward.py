@@ -10,13 +10,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, TableContract
-from tidesync.operators.changes import merge, prepare_source
+from tidesync.operators.changes import MergeResult, merge, prepare_source
 from tidesync.operators.dedupe import DuplicateKeyError
 from tidesync.operators.load import typed
 from tidesync.operators.sizing import Size, measure, measure_keyed
@@ -66,35 +65,15 @@ def _staged_source(staging: DataFrame, root: str, contract: TableContract,
     return source, size, fetched
 
 
-class _Pins:
-    """Pins the bounded match set of a MERGE (see ``merge(pin=)``) in executor memory and disk for
-    the job, and releases it afterwards. A persist, not a written copy: the match set is
-    recomputable from the written staging snapshot and the target, so a lost executor's blocks
-    are recomputed with the same rows."""
-
-    def __init__(self):
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.frames.append(df)
-        return df
-
-    def release(self) -> None:
-        for df in self.frames:
-            df.unpersist()
-        self.frames.clear()
-
-
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
                   contract: TableContract = ORDERS, on_duplicate: str = "error",
                   order_by: Sequence[str] = (), use_catalog_merge: bool = False) -> ForwardRun:
     """Merge the whole staging table into ``target_table`` and publish the new version.
 
     The staging is read once, into a snapshot below ``root``; the size check, the key check,
-    the empty-batch check, the metrics and the new state all read that snapshot. The matched
-    keys are pinned for the job, so the key column of the target is scanned once for both the
-    metrics and the new state. Snapshots are ordinary folders below ``root`` and are removed by
+    the empty-batch check and the new state all read that snapshot. The metrics are counted
+    while the new state is written (``merge(observe=True)``): no job and no target scan of
+    their own. Snapshots are ordinary folders below ``root`` and are removed by
     ``tidesync.plans.retention.vacuum`` like old versions.
 
     ``use_catalog_merge=True`` first tries the table format's own MERGE (row-level rewrite of the
@@ -106,14 +85,9 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     if use_catalog_merge and merge_into_catalog(spark, source, target_table, contract):
         return ForwardRun("merged", None, None, "catalog")
     target = spark.table(target_table)
-    pins = _Pins()
-    try:
-        m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, pin=pins)
-        metrics = {**m.metrics().first().asDict(), "fetched_rows": fetched}
-        path = publish_swap(m.result, target_table, root)
-    finally:
-        pins.release()
-    return ForwardRun("merged", metrics, path, m.strategy)
+    m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, observe=True)
+    path = publish_swap(m.result, target_table, root)
+    return ForwardRun("merged", {**m.observed_metrics(), "fetched_rows": fetched}, path, m.strategy)
 
 
 def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucketed.BucketedTable,
@@ -125,17 +99,13 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
     if size is None:
         return ForwardRun("no_rows")
     key = list(contract.key)
-    metrics: dict = {}
-    pins = _Pins()
+    merges: list[MergeResult] = []
 
     def change(current: DataFrame, changes: DataFrame) -> DataFrame:
-        m = merge(current, changes, key, on_duplicate="trust", source_size=size, pin=pins)
-        metrics.update(m.metrics().first().asDict())
-        return m.result
+        merges.append(merge(current, changes, key, on_duplicate="trust", source_size=size, observe=True))
+        return merges[-1].result
 
-    try:
-        touched = bucketed.apply(spark, table, source, change)
-    finally:
-        pins.release()
+    touched = bucketed.apply(spark, table, source, change)         # writes the result once
+    metrics = merges[-1].observed_metrics() if merges else {}
     return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": fetched},
                       table.root, "buckets")
