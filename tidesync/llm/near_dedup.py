@@ -14,7 +14,7 @@ Method:
 5. A star can miss a link between two members that are both unlike its centre. So in each bucket that
    still holds several components, every member outside the bucket's largest component is compared
    with the members of other components, block by block on the sketches; pairs whose sketches agree
-   enough for the threshold (5 standard deviations of slack) are confirmed on full sets as well. No
+   enough for the threshold (4.5 standard deviations of slack) are confirmed on full sets as well. No
    bucket or candidate is capped.
 
 Links are confirmed with ``100 * |A & B| >= 75 * |A | B|`` on the full sets. Components come from
@@ -38,12 +38,16 @@ from pyspark.sql import functions as F
 from tidesync.llm.common import pinned, text_of
 
 SHINGLE = 5
-BINS = 160
+BINS = 512
 ROWS = 4
-BANDS = BINS // ROWS
+BANDS = 40
+#: Bins whose values (16 bits) make the bands; of all bins 8 bits are kept for comparisons.
+BANDED = BANDS * ROWS
 THRESHOLD = 75
-#: Least number of agreeing sketch values of a pair that may reach the threshold: mean 120, deviation 5.5.
-LEAST_AGREE = 92
+#: Least number of agreeing sketch values of a pair that may reach the threshold: mean 384, deviation 9.8.
+LEAST_AGREE = 340
+#: Largest list of pair ends (measured, in rows) that is sent to the texts; beyond, the texts are shuffled.
+BROADCAST_ENDS = 500_000
 #: Rows of a block of the residual comparison; bounds memory, drops nothing.
 BLOCK = 512
 MAX_WORD_CACHE = 400_000
@@ -89,7 +93,7 @@ def shingle_set(text: str, cache: _WordHashes) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """BINS values of 16 bits; ``hashes`` is sorted, distinct and not empty."""
+    """BINS values of 64 bits; ``hashes`` is sorted, distinct and not empty."""
     starts = np.concatenate(([0], np.searchsorted(hashes, _BOUNDS)))
     ends = np.append(starts[1:], len(hashes))
     full = np.flatnonzero(ends > starts)
@@ -97,7 +101,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     empty = np.flatnonzero(ends <= starts)
     if len(empty):
         donor[empty] = full[np.argmin(_ORDER[empty[:, None], full[None, :]], axis=1)]
-    return (_mixed(hashes[starts[donor]]) >> np.uint64(48)).astype(np.uint16)
+    return _mixed(hashes[starts[donor]])
+
+
+def packed_sketch(values: np.ndarray) -> bytes:
+    """16 bits of the banded values, then 8 bits of all."""
+    return (values[:BANDED] >> np.uint64(48)).astype(np.uint16).tobytes() + (values >> np.uint64(40)).astype(np.uint8).tobytes()
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -119,7 +128,7 @@ def _signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(s):
                 values = sketch(s)
                 classes.append(class_of(s))
-                sketches.append(values.tobytes())
+                sketches.append(packed_sketch(values))
             else:
                 classes.append(None)
                 sketches.append(None)
@@ -155,7 +164,7 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for i in range(0, len(rows), 1000):
             part = rows.iloc[i : i + 1000]
-            keys = [band_keys(np.frombuffer(s, np.uint16)) for s in part["sketch"]]
+            keys = [band_keys(np.frombuffer(s, np.uint16, BANDED)) for s in part["sketch"]]
             yield pd.DataFrame({"bucket": np.concatenate(keys), "cls": part["cls"].repeat(BANDS).to_numpy()})
 
 
@@ -163,8 +172,8 @@ def _close_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of two blocks of one bucket whose components differ and whose sketches agree enough."""
     for rows in batches:
         for left, right in zip(rows["outside"], rows["members"]):
-            xs = np.frombuffer(b"".join(r["sketch"] for r in left), np.uint16).reshape(len(left), BINS)
-            ys = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint16).reshape(len(right), BINS)
+            xs = np.frombuffer(b"".join(r["sketch"] for r in left), np.uint8).reshape(len(left), BINS)
+            ys = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint8).reshape(len(right), BINS)
             comp_y = np.array([r["comp"] for r in right], object)
             a, b = [], []
             for r, x in zip(left, xs):
@@ -181,13 +190,15 @@ def confirm(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: Dat
 
     ``texts``: (doc_id, text); ``firsts``: (cls, doc_id), a document of each class. Both ends of a
     pair fetch their text, become sets where the text is, and meet under the pair: a set is moved
-    once per pair, a text once.
+    once per pair. A short list of ends goes to the texts; a longer one meets them in a shuffle.
     """
     pairs = pinned(spark, pairs.distinct(), f"{purpose}-pairs")
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(firsts, "cls")
     ends = pinned(spark, ends.select(F.col("doc_id").alias("__id"), "cls", "a", "b"), f"{purpose}-ends")
+    if ends.count() <= BROADCAST_ENDS:
+        ends = F.broadcast(ends)
     with_text = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("__id"))).select("a", "b", "cls", "text")
     sets = with_text.mapInPandas(_ends, "a long, b long, hashes binary")
     pair_sets = sets.groupBy("a", "b").agg(F.min("hashes").alias("ha"), F.max("hashes").alias("hb"))
@@ -274,7 +285,8 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = members.filter("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
     links = confirm(spark, texts, firsts, stars, "near-stars")
     comps = components(spark, links)
-    rest = residual_pairs(spark, members, classes.select("cls", "sketch"), comps)
+    compared = classes.select("cls", F.expr(f"substring(sketch, {2 * BANDED + 1}, {BINS})").alias("sketch"))
+    rest = residual_pairs(spark, members, compared, comps)
     more = confirm(spark, texts, firsts, rest, "near-rest")
     if not more.isEmpty():
         comps = components(spark, links.union(more))
