@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,9 @@ SPAN = LENGTH - ANCHOR + 1
 CHUNK = 1 << 18
 NO_ID = (1 << 63) - 1
 PLACE_BITS = 31
+#: Bits of the neighbour hashes (left, right) below the anchor hash in a key, and the bytes they cover.
+SIDE_BITS = 12
+SIDE = (LENGTH - ANCHOR) // 2
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -74,7 +78,10 @@ class Piece:
         return _mixed((self.prefix[end] - self.prefix[begin]) * _INVERSE[begin] + (end - begin).astype(_U) * _BASE)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with one anchor: first window, end of windows, anchor hash, context hash."""
+        """Runs of windows with one anchor: first window, end of windows, key, context hash.
+
+        The key holds the anchor's hash and, in its low bits, hashes of the bytes left and right of it.
+        """
         n = len(self.bytes) - ANCHOR + 1
         low = np.ndarray((n,), "<u8", self.bytes, 0, (1,))
         high = np.ndarray((n,), "<u8", self.bytes, 8, (1,))
@@ -92,7 +99,10 @@ class Piece:
         end = np.append(first[1:], self.starts)
         anchor = anchors[first]
         context = _mixed(self.hashes(first, end + LENGTH - 1) ^ (anchor - first).astype(_U))
-        return first, end, grams[anchor], context
+        left = self.hashes(np.maximum(anchor - SIDE, 0), anchor)
+        right = self.hashes(anchor + ANCHOR, np.minimum(anchor + ANCHOR + SIDE, len(self.bytes)))
+        sides = (left >> _U(64 - SIDE_BITS) << _U(SIDE_BITS)) | (right >> _U(64 - SIDE_BITS))
+        return first, end, (grams[anchor] >> _U(2 * SIDE_BITS) << _U(2 * SIDE_BITS)) | sides, context
 
 
 def pieces(data: bytes) -> Iterator[Piece]:
@@ -142,7 +152,7 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 docs.append(np.full(len(first), doc, np.int64))
         if keys:
             k, c, d = np.concatenate(keys), np.concatenate(codes), np.concatenate(docs)
-            settled = _settled(k, c >> PLACE_BITS, d)
+            settled = _settled(k >> _U(2 * SIDE_BITS), c >> PLACE_BITS, d)
             yield pd.DataFrame({"k": _dealt(k, settled, d), "code": c, "doc": d, "settled": settled})
 
 
@@ -150,9 +160,9 @@ def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Single strings of the runs named by ``codes``."""
     for rows in batches:
         keys, places, docs = [], [], []
-        for doc, text, codes in zip(_ids(rows["doc_id"]), rows["text"], rows["codes"]):
+        for doc, pressed, codes in zip(_ids(rows["doc_id"]), rows["pressed"], rows["codes"]):
             wanted = np.asarray(codes, np.int64)
-            for piece in pieces(_bytes(text)):
+            for piece in pieces(zstandard.decompress(pressed)):
                 first, end, _, context = piece.runs()
                 mine = np.isin(coded(context, first + piece.base), wanted)
                 if mine.any():
@@ -170,8 +180,8 @@ def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
-        for text, runs, strings in zip(rows["text"], rows["runs"], rows["strings"]):
-            data = _bytes(text)
+        for pressed, runs, strings in zip(rows["pressed"], rows["runs"], rows["strings"]):
+            data = zstandard.decompress(pressed)
             starts = np.zeros(len(data) + 1, np.int32)
             if runs is not None or strings is not None:
                 whole = np.asarray([] if runs is None else runs, np.int64)
@@ -197,19 +207,35 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
+def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed for the shuffle that brings them their lists."""
+    press = zstandard.ZstdCompressor(level=3)
+    for rows in batches:
+        yield pd.DataFrame({"doc_id": rows["doc_id"], "pressed": [press.compress(_bytes(t)) for t in rows["text"]]})
+
+
 def settle_runs(rows: DataFrame) -> DataFrame:
-    """(doc, code, whole): runs to remove as a whole, and runs to open."""
-    context = F.shiftright("code", PLACE_BITS)
-    by_context, by_anchor = Window.partitionBy("k", "context"), Window.partitionBy("k")
+    """(doc, code, whole): runs to remove as a whole, and runs to open.
+
+    A string of a run that also occurs elsewhere shares, beside the anchor, the SIDE bytes left or
+    right of it; runs that share neither with another context are not opened.
+    """
+    anchor, left = F.shiftright("k", 2 * SIDE_BITS), F.shiftright("k", SIDE_BITS).bitwiseAND(F.lit((1 << SIDE_BITS) - 1))
+    by_anchor = Window.partitionBy("anchor")
     judged = (
-        rows.withColumn("context", context).repartition("k")
-        .withColumn("owner", F.min("doc").over(by_context))
+        rows.select(anchor.alias("anchor"), left.alias("left"), F.col("k").bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("right"),
+                    F.shiftright("code", PLACE_BITS).alias("context"), "code", "doc", "settled")
+        .repartition("anchor")
+        .withColumn("owner", F.min("doc").over(Window.partitionBy("anchor", "context")))
         .withColumn("least", F.min("doc").over(by_anchor)).withColumn("most", F.max("doc").over(by_anchor))
         .withColumn("c0", F.min("context").over(by_anchor)).withColumn("c1", F.max("context").over(by_anchor))
+        .withColumn("whole", F.col("settled") | (F.col("owner") < F.col("doc")))
+        .filter("whole OR (least < most AND c0 < c1)")
     )
-    whole = F.col("settled") | (F.col("owner") < F.col("doc"))
-    edge = (F.col("least") < F.col("most")) & (F.col("c0") < F.col("c1"))
-    return judged.filter(whole | edge).select("doc", "code", whole.alias("whole"))
+    for side in ("left", "right"):
+        by_side = Window.partitionBy("anchor", side)
+        judged = judged.withColumn(f"{side}_shared", F.min("context").over(by_side) < F.max("context").over(by_side))
+    return judged.filter("whole OR left_shared OR right_shared").select("doc", "code", "whole")
 
 
 def settle_strings(rows: DataFrame) -> DataFrame:
@@ -223,10 +249,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     number = F.coalesce("doc_id", F.lit(NO_ID))
     schema = "k long, code long, doc long, settled boolean"
+    pressed = texts.mapInPandas(_zipped, "doc_id long, pressed binary")
     runs = pinned(spark, settle_runs(texts.mapInPandas(_sampled, schema)), "repeat-runs")
     edges = runs.filter("NOT whole").groupBy("doc").agg(F.collect_set("code").alias("codes"))
     edges = pinned(spark, edges, "repeat-edges")
-    to_open = texts.join(edges, number == F.col("doc")).select("doc_id", "text", "codes")
+    to_open = pressed.join(edges, number == F.col("doc")).select("doc_id", "pressed", "codes")
     strings = pinned(spark, settle_strings(to_open.mapInPandas(_opened, schema)), "repeat-strings")
     marks = (
         runs.filter("whole").select("doc", F.col("code").alias("run"), F.lit(None).cast("long").alias("string"))
@@ -234,7 +261,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     lists = marks.groupBy("doc").agg(F.collect_set("run").alias("runs"), F.collect_set("string").alias("strings"))
     lists = pinned(spark, lists, "repeat-lists")
-    joined = texts.join(lists, number == F.col("doc"), "left").select("doc_id", "text", "runs", "strings")
+    joined = pressed.join(lists, number == F.col("doc"), "left").select("doc_id", "pressed", "runs", "strings")
     return joined.mapInPandas(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
