@@ -110,13 +110,19 @@ def test_deep_page_with_gaps_and_repeats(spark):
         assert got == keys[offset:offset + 40]
 
 
-def test_page_switches_to_deep_path(spark):
-    lake = tables.lake_orders(spark, SF)
-    spark.conf.set("tidesync.page.maxTopK", "100")
-    try:
-        got = query.page(lake, "o_orderkey", None, 50, 1000)
-        plan = got._jdf.queryExecution().executedPlan().toString()
-        assert "limit=150" not in plan and "limit=1050" not in plan
-        assert got.collect() == lake.orderBy("o_orderkey").offset(1000).limit(50).collect()
-    finally:
-        spark.conf.unset("tidesync.page.maxTopK")
+@pytest.mark.parametrize("keys", [
+    [None] * 3 + list(range(20)),
+    [0] + [2**60 + i for i in range(4000)],
+    [-9 * 10**18, 9 * 10**18] + list(range(50)),
+])
+def test_deep_page_equals_page_for_odd_keys(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
+    for offset in (0, 1, 2, 4, len(keys) // 2, len(keys) - 3, len(keys) - 1, len(keys)):
+        want = query.page(df, "k", None, 3, offset).collect()
+        assert query.deep_page(df, "k", 3, offset, max_rest=2, bins=16).collect() == want
+
+
+def test_page_has_no_size_switch(spark):
+    df = spark.range(300_000).selectExpr("id", "-id AS v")
+    assert [r["v"] for r in query.page(df, "id", ["id", "v"], 2, 250_000).collect()] == [-250_000, -250_001]
+

@@ -2,10 +2,9 @@
 
 Ordered pages become ``TakeOrderedAndProject``: every task keeps at most ``offset + limit`` rows.
 That bound is set by the request, so a deep offset on a huge table would hold a huge heap per
-task; beyond ``tidesync.page.maxTopK`` rows (default 100,000) a numeric key switches to
-``deep_page``, which first narrows the key range holding rank ``offset`` with exact histograms
-(one aggregate each, at most ``bins`` rows to the driver) and then takes a small top-k from that
-range. ``keyset_page`` is the cheapest form for sequential paging: its key predicate reaches the
+task. ``page`` always keeps that plan. ``deep_page`` is an explicit call for an integral key: it
+first narrows the key range holding rank ``offset`` with exact histograms (one aggregate each, at
+most ``bins`` rows to the driver) and then takes a small top-k from that range. ``keyset_page`` is the cheapest form for sequential paging: its key predicate reaches the
 Parquet scan (row-group pruning) and keeps only ``limit`` rows per task.
 """
 
@@ -15,15 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidesync.functions.text import search_predicate
 
 DEFAULT_ORDER_PAGE = 50
 DEFAULT_CUSTOMER_PAGE = 100
-CONF_MAX_TOPK = "tidesync.page.maxTopK"
 DEFAULT_MAX_TOPK = 100_000
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -50,10 +46,6 @@ def page(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None
         raise ValueError("limit and offset must be >= 0")
     keys = _keys(key)
     base = df.select(*columns) if columns else df
-    max_topk = int(df.sparkSession.conf.get(CONF_MAX_TOPK, None) or DEFAULT_MAX_TOPK)
-    if (offset + limit > max_topk and len(keys) == 1
-            and isinstance(base.schema[keys[0]].dataType, _INTEGRAL)):
-        return deep_page(base, keys[0], limit, offset, max_topk)
     ordered = base.orderBy(*[F.col(k).asc() for k in keys])
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
@@ -71,7 +63,8 @@ def rank_boundary(df: DataFrame, key: str, offset: int, max_rest: int, bins: int
     lo, hi, below = int(stats["lo"]), int(stats["hi"]), 0
     while True:
         width = max(1, -(-(hi - lo + 1) // bins))
-        bucket = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
+        # decimal difference and integer division: exact, and no overflow, for the whole long range
+        bucket = F.expr(f"(cast(`{key}` as decimal(38,0)) - cast({lo} as decimal(38,0))) div cast({width} as decimal(38,0))")
         hist = (df.where((F.col(key) >= lo) & (F.col(key) <= hi)).groupBy(bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n")).collect())
         cum = below
@@ -96,6 +89,10 @@ def deep_page(df: DataFrame, key: str, limit: int, offset: int, max_rest: int =
     stops at that value and the heap is bounded by the size of that tie group instead; the order
     inside a tie group is not defined by ``ORDER BY key`` anyway.
     """
+    nulls = df.where(F.col(key).isNull()).count()
+    if offset < nulls:                                      # NULL keys come first, as in ``page``
+        return df.orderBy(F.col(key).asc()).offset(offset).limit(limit)
+    df, offset = df.where(F.col(key).isNotNull()), offset - nulls
     found = rank_boundary(df, key, offset, max_rest, bins)
     if found is None:
         return df.limit(0)

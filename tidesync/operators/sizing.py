@@ -52,8 +52,9 @@ def measure_keyed(df: DataFrame, key) -> tuple[Size, int]:
 
 
 def key_size(size: Size, n_key_columns: int) -> Size:
-    """Bound for a key-only projection of a measured side: one word per key column per row."""
-    return Size(size.rows, size.rows * (16 + 8 * n_key_columns))
+    """Bound for a key-only projection of a measured side: never more than its measured bytes (text keys
+    can be wide), plus the fixed part of a row."""
+    return Size(size.rows, size.bytes + size.rows * (16 + 8 * n_key_columns))
 
 
 def fits_broadcast(spark: SparkSession, size: Size | None) -> bool:

@@ -36,7 +36,8 @@ PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_FILES = (
 
 
 def bucket_of(key: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
+    """Bucket of a key, by its text form: an int key and a bigint key of one value share a bucket."""
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
