@@ -255,6 +255,27 @@ def test_surrogates_stay_distinct(spark):
     assert out.nunique() == len(set(texts)) and not set(out) & set(texts)
 
 
+def test_surrogates_of_odd_texts(spark):
+    """Marks inside a text survive, hyphenated names stay names, a hot entity has one surrogate everywhere."""
+    odd = "a\x01b\x02c\x02\x05 bob@corp.example.com \x01\x02\x04"
+    hot = [f"text {i} by bob@corp.example.com" for i in range(3000)]
+    texts = [odd, "Frau Anna-Maria kam", odd.split(" ")[0], "x" * 200_000 + "@", *hot]
+    out = {r["doc_id"]: r for r in pii.replace_entities(spark, docs_of(spark, texts)).collect()}
+    first, mail, last = out[1]["text"].split(" ")
+    assert (first, last) == ("a\x01b\x02c\x02\x05", "\x01\x02\x04") and mail.endswith(".com") and "bob@" not in mail
+    assert out[2]["text"].startswith("Frau ") and "Maria" not in out[2]["text"] and out[2]["text"].endswith(" kam")
+    assert out[2]["n_entities"] == 1 and out[2]["text"].split(" ")[1].istitle()
+    assert out[3]["text"] == texts[2] and out[4]["text"] == texts[3]
+    assert {out[5 + i]["text"].split(" ")[-1] for i in range(3000)} == {mail}
+
+
+def test_surrogates_of_repeated_and_empty_tables(spark):
+    rows = docs_of(spark, [(None, "ip 10.20.30.40"), (1, "ip 10.20.30.40"), (1, "ip 10.20.30.40")])
+    out = pii.replace_entities(spark, rows)
+    assert out.count() == 3 and out.select("text").distinct().count() == 1 and out.filter("n_entities = 1").count() == 3
+    assert pii.replace_entities(spark, rows.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline

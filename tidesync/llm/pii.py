@@ -12,22 +12,22 @@ Collision checks: over the distinct entities of the whole corpus, two entities w
 or a surrogate that is itself an entity of the corpus move to their next attempt until none is left.
 So distinct entities stay distinct and a surrogate never names another real entity.
 
-Only texts with entities are shuffled, once, to receive their surrogates; the others pass through.
-The entity table is keyed by entity, so a hot one costs one row (partial aggregates before the
-shuffle), and the join back to its occurrences is a plain equi-join that skew handling can split.
-
-Cases: a null text stays null with no entities; an empty text stays empty. Rows that repeat id and
-text get equal results. A null id is allowed.
+The regular expression runs once over the texts, which are written with a mark around each entity;
+types and genders come from the value and the words before it. Only texts with entities are shuffled,
+once, to receive their surrogates; the others pass through. The entity table is keyed by entity, so a
+hot one costs one row (partial aggregates before the shuffle). On the way back, entities with a
+thousandth or more of all uses (so at most a thousand) are broadcast to them, the others are joined.
+
+Cases: a null text stays null with no entities; an empty text stays empty. Rows are told apart by a
+number of their own, so ids may repeat or be null; equal texts get equal results.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesync.llm.common import let, pinned, text_of
+from tidesync.llm.common import let, pinned
 
 # Entity patterns, tried in this order at each place of a text.
 PERSON_TITLE_M = r"(?:Mr|Herr|Señor|Sr|Monsieur|Don|г-н)"
@@ -35,18 +35,24 @@ PERSON_TITLE_F = r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Señorita|Madame|Mme|Mlle|Do
 PERSON_TITLE_ANY = r"(?:Dr|Prof)"
 NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 TITLES = rf"(?:{PERSON_TITLE_M}|{PERSON_TITLE_F}|{PERSON_TITLE_ANY})"
+# Each pattern starts with a test of one or few characters, so most places of a text cost little.
+ALONE = r"(?<![\p{L}\p{N}_])"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9\-]{16,}",
-    "secret": r"(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,}|\b[0-9a-f]{32,}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|\(\d{3}\)[ ]?\d{3}[\-. ]\d{4}\b|\b\d{3}[\-.]\d{3}[\-.]\d{4}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9][ \-]?){12,18}[0-9](?![0-9A-Za-z])",
-    "person": rf"(?<=\b{TITLES}\.?[ ]){NAME}(?:[ ]{NAME}){{0,2}}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
+    "key": rf"(?=[AS]|ghp_|sk-|sk_|xox){ALONE}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![\p{{L}}\p{{N}}_])|(?:ghp_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9\-]{{16,}})",
+    "secret": r"(?<=[=:][ ]{0,2}[\"']?)(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,}",
+    "hexadecimal": rf"(?=[0-9a-f]{{2}}){ALONE}[0-9a-f]{{32,}}+(?![\p{{L}}\p{{N}}_])",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]){ALONE}[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}_])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "phone": rf"\+[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]{{2,4}}\)?){{2,5}}(?![0-9])|\([0-9]{{3}}\)[ ]?[0-9]{{3}}[\-. ][0-9]{{4}}(?![\p{{L}}\p{{N}}_])"
+    rf"|(?=[0-9]){ALONE}[0-9]{{3}}[\-.][0-9]{{3}}[\-.][0-9]{{4}}(?![\p{{L}}\p{{N}}_])",
+    "ssn": rf"(?=[0-9]){ALONE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}_])",
+    "card": r"(?=[0-9])(?<![0-9A-Za-z])(?:[0-9][ \-]?){12,18}[0-9](?![0-9A-Za-z])",
+    "person": rf"(?<=[ ])(?=\p{{Lu}})(?<=\b{TITLES}\.?[ ]){NAME}(?:[ ]{NAME}){{0,2}}",
 }
 COMBINED = "|".join(PATTERNS.values())
+TITLE_CHARS = 16  # more than the longest title with the signs around it
+HOT_SHARE, HOT_CHARS = 1000, 256
 
 # Surrogate names by gender and script; the list of the other gender is never used.
 GIVEN = {
@@ -62,8 +68,24 @@ FAMILY = {
 ENDINGS = {"latin": ["ar", "el", "in", "on", "us", "ev", "is", "or"], "cyrillic": ["ин", "ов", "ев", "ан", "ич", "ар", "он", "ель"]}
 
 
-def matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(COMBINED), F.lit(0))
+# Control characters that no pattern accepts: the mark around an entity and the escape for texts that hold them.
+MARK, ESCAPE = "\x01", "\x02"
+ESCAPED = {ESCAPE: ESCAPE + "\x04", MARK: ESCAPE + "\x05"}
+
+
+def marked(text: Column) -> Column:
+    """``text`` with a mark before and after every entity, read once; its own marks are escaped."""
+    safe = text
+    for plain, code in ESCAPED.items():
+        safe = F.replace(safe, F.lit(plain), F.lit(code))
+    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(ESCAPE))
+    return F.regexp_replace(F.when(odd, safe).otherwise(text), COMBINED, f"{MARK}$0{MARK}")
+
+
+def unescaped(text: Column) -> Column:
+    for plain, code in reversed(ESCAPED.items()):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def entity_type(value: Column) -> Column:
@@ -222,10 +244,9 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: Co
     return let(draw(kind, canonical(kind, value)), by_form)
 
 
-def gender_of(text: Column, value: Column) -> Column:
-    """Gender that the title before a name states: m, f, or m where the title has none."""
-    quoted = F.concat(F.lit(rf"\b{PERSON_TITLE_F}\.?[ ]\Q"), value, F.lit(r"\E"))
-    return F.when(F.rlike(text, quoted), "f").otherwise("m")
+def titled(before: Column, titles: str) -> Column:
+    """Whether the text before a value ends with one of the titles."""
+    return F.rlike(before, F.lit(rf"\b{titles}\.?[ ]$"))
 
 
 def settle(spark: SparkSession, entities: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
@@ -252,38 +273,61 @@ def settle(spark: SparkSession, entities: DataFrame, key: str, max_rounds: int =
     raise RuntimeError(f"surrogates still collide after {max_rounds} rounds; the key space is too small")
 
 
+def hot_entities(entities: DataFrame, n_uses: int) -> DataFrame:
+    """Entities with at least a ``HOT_SHARE``-th of all uses: at most ``HOT_SHARE`` rows of bounded width."""
+    return entities.filter((F.col("n") * HOT_SHARE >= n_uses) & (F.length("canon") <= HOT_CHARS))
+
+
 def replace_entities(spark: SparkSession, docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     """One row per row of ``docs``: doc_id, text with surrogates, n_entities."""
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text"))
-    has = F.coalesce(F.rlike("text", F.lit(COMBINED)), F.lit(False))
-    found = rows.filter(has).select("doc_id", F.sha2("text", 256).alias("digest"), "text", matches(F.col("text")).alias("values"))
-    listed = found.select(
-        "doc_id", "digest", F.posexplode(F.transform("values", lambda v: F.struct(
-            v.alias("value"), entity_type(v).alias("kind"), gender_of(F.col("text"), v).alias("gender")))).alias("pos", "e"),
+    texts = pinned(
+        spark,
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", marked(F.col("text").cast("string")).alias("marked")),
+        "pii-marked",
+    )
+    has = F.coalesce(F.contains("marked", F.lit(MARK)), F.lit(False))
+    parts = F.split("marked", MARK, -1)  # text, entity, text, entity, ..., text
+
+    def with_context(ps: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(ps) / 2).cast("int") - 1),
+            lambda i: F.struct(F.get(ps, 2 * i + 1).alias("value"), F.substr(F.get(ps, 2 * i), F.lit(-TITLE_CHARS), F.lit(TITLE_CHARS)).alias("before")),
+        )
+
+    listed = texts.filter(has).select("row", F.posexplode(let(parts, with_context)).alias("pos", "e"))
+    name = titled(F.col("before"), TITLES) & F.rlike("value", F.lit(rf"^{NAME}(?:[ ]{NAME}){{0,2}}$"))
+    typed = listed.select("row", "pos", "e.value", "e.before").select(
+        "row", "pos", "value", F.when(name, "person").otherwise(entity_type(F.col("value"))).alias("kind"),
+        F.when(titled(F.col("before"), PERSON_TITLE_F), "f").otherwise("m").alias("gender"),
     )
     uses = pinned(
         spark,
-        listed.select("doc_id", "digest", "pos", "e.value", "e.kind", canonical(F.col("e.kind"), F.col("e.value")).alias("canon"),
-                      F.when(F.col("e.kind") == "person", F.col("e.gender")).otherwise("").alias("gender")),
+        typed.select("row", "pos", "value", "kind", canonical(F.col("kind"), F.col("value")).alias("canon"),
+                     F.when(F.col("kind") == "person", F.col("gender")).otherwise("").alias("gender")),
         "pii-uses",
     )
-    entities = settle(spark, uses.groupBy("kind", "canon").agg(F.min("gender").alias("gender")), key)
+    counted = pinned(spark, uses.groupBy("kind", "canon").agg(F.min("gender").alias("gender"), F.count("*").alias("n")), "pii-counts")
+    attempts = settle(spark, counted.drop("n"), key)
+    hot = hot_entities(counted, uses.count()).select("kind", "canon")
+    spread = uses.drop("gender")
+    # A hot entity would bring a third of all uses to one task: its few rows go to the uses instead.
+    common = attempts.join(F.broadcast(hot), ["kind", "canon"], "left_semi")
+    found = spread.join(F.broadcast(common), ["kind", "canon"]).unionByName(
+        spread.join(F.broadcast(hot), ["kind", "canon"], "left_anti").join(attempts, ["kind", "canon"])
+    )
     new = surrogate(key, F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"))
     replaced = (
-        uses.drop("gender").join(pinned(spark, entities, "pii-surrogates"), ["kind", "canon"])
-        .select("doc_id", "digest", F.struct("pos", new.alias("new")).alias("r"))
-        .groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("r")).alias("rs"))
+        found.select("row", F.struct("pos", new.alias("new")).alias("r"))
+        .groupBy("row").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     )
-    replaced = pinned(spark, replaced, "pii-replaced")
-    pieces = F.split("text", COMBINED, -1)
     woven = let(
-        pieces,
-        lambda ps: F.array_join(F.transform(ps, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("rs"), i)["new"], F.lit("")))), ""),
+        parts,
+        lambda ps: F.array_join(
+            F.transform(ps, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(F.col("rs"), F.floor(i / 2).cast("int"))["new"])), ""
+        ),
     )
-    touched = (
-        rows.filter(has).withColumn("digest", F.sha2("text", 256)).alias("d")
-        .join(replaced.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.digest") == F.col("r.digest")))
-        .select("d.doc_id", woven.alias("text"), F.size("rs").cast("long").alias("n_entities"))
+    touched = texts.filter(has).join(replaced, "row").select(
+        "doc_id", unescaped(woven).alias("text"), F.size("rs").cast("long").alias("n_entities")
     )
-    return rows.filter(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(touched)
+    plain = texts.filter(~has).select("doc_id", unescaped(F.col("marked")).alias("text"), F.lit(0).cast("long").alias("n_entities"))
+    return plain.unionByName(touched)
