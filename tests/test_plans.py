@@ -211,3 +211,45 @@ def test_forward_merge_repeated_staging_keys(spark):
     assert run.metrics["fetched_rows"] == 3                                            # rows read from staging
     got = {r["o_orderkey"]: r["o_orderstatus"] for r in spark.table(name).collect()}
     assert got == {1: "O", 2: "P", 3: "O"}
+
+
+def test_forward_refuses_a_partitioned_target(spark):
+    root = scratch_path(spark, "t-part")
+    name = "t_part_" + uuid.uuid4().hex[:8]
+    rows = orders_df(spark, [order(1), order(2, status="F")])
+    rows.write.partitionBy("o_orderstatus").option("path", f"{root}/table").saveAsTable(name)
+    with pytest.raises(ValueError, match="partitioned"):
+        forward.forward_merge(spark, orders_df(spark, [order(3)]), name, root)
+    assert spark.table(name).count() == 2
+
+
+def test_forward_rejects_bad_rows_and_repeats_alike(spark):
+    root = scratch_path(spark, "t-rej")
+    name = "t_rej_" + uuid.uuid4().hex[:8]
+    publish.publish_swap(orders_df(spark, [order(1), order(2)]), name, root)
+    from pyspark.sql import functions as F
+    staged = orders_df(spark, [order(2, status="F"), order(3)])
+    bad = staged.withColumn("o_orderkey", F.lit(None).cast("long")).limit(1).unionByName(
+        staged.withColumn("o_comment", F.repeat(F.lit("c"), F.lit(200))).limit(1))
+    for _ in range(2):
+        run = forward.forward_merge(spark, staged.unionByName(bad), name, root)
+        assert run.metrics["rejected_rows"] == 2 and run.metrics["fetched_rows"] == 4
+        assert sorted(r["reason"] for r in spark.read.parquet(run.rejects).collect()) == ["missing_key:o_orderkey", "too_long:o_comment"]
+        assert {r["o_orderkey"]: r["o_orderstatus"] for r in spark.table(name).collect()} == {1: "O", 2: "F", 3: "O"}
+    only_bad = forward.forward_merge(spark, bad, name, root)
+    assert only_bad.status == "no_rows" and spark.read.parquet(only_bad.rejects).count() == 2
+
+
+def test_vacuum_leaves_what_is_not_its_own(spark):
+    """Two tables and a checkpoint folder under one root: only old versions of the named table go."""
+    from tidesync.plans import retention
+    root = scratch_path(spark, "t-own")
+    a, b = ("t_own_" + uuid.uuid4().hex[:8] for _ in range(2))
+    old = publish.publish_swap(orders_df(spark, [order(1)]), a, root)
+    publish.publish_swap(orders_df(spark, [order(1), order(2)]), a, root)
+    publish.publish_swap(orders_df(spark, [order(3)]), b, root)
+    spark.range(3).write.parquet(f"{root}/checkpoint/state")
+    gone = retention.vacuum(spark, a, root, retain_seconds=0)
+    assert [g.rsplit("/", 1)[-1] for g in gone] == [old.rsplit("/", 1)[-1]]
+    assert spark.table(a).count() == 2 and spark.table(b).count() == 1
+    assert spark.read.parquet(f"{root}/checkpoint/state").count() == 3

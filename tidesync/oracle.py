@@ -259,6 +259,21 @@ FROM classes"""),
 SELECT o_orderkey, CAST(2 AS BIGINT) AS n_rows FROM staging WHERE o_orderkey % 500 = 0"""),
         "forward_merge": _with(MERGED, "SELECT * FROM merged"),
         "forward_merge_buckets": _with(MERGED, "SELECT * FROM merged"),
+        "forward_with_bad_rows": _with(MERGED, "SELECT * FROM merged"),
+        "forward_rejects": _with(STAGING, """
+SELECT 'missing_key:o_orderkey' AS reason, count(*) AS n_rows FROM staging WHERE o_orderkey % 20 = 0 HAVING count(*) > 0
+UNION ALL
+SELECT 'too_long:o_comment' AS reason, count(*) AS n_rows FROM staging WHERE o_orderkey % 30 = 0 HAVING count(*) > 0"""),
+        "forward_metrics": _with(MERGED, """
+SELECT count(*) AS num_affected_rows,
+       count(*) FILTER (WHERE match_class = 'update') AS num_updated_rows,
+       CAST(0 AS BIGINT) AS num_deleted_rows,
+       count(*) FILTER (WHERE match_class = 'insert') AS num_inserted_rows,
+       (SELECT count(*) FROM staging) + (SELECT count(*) FROM staging WHERE o_orderkey % 20 = 0)
+         + (SELECT count(*) FROM staging WHERE o_orderkey % 30 = 0) AS fetched_rows,
+       (SELECT count(*) FROM staging WHERE o_orderkey % 20 = 0)
+         + (SELECT count(*) FROM staging WHERE o_orderkey % 30 = 0) AS rejected_rows
+FROM classes"""),
         "insert_strict": _with(INSERT_BATCH, "SELECT * FROM staging UNION ALL SELECT * FROM inserted"),
         "insert_conflicts": _with(INSERT_BATCH, """
 SELECT o_orderkey, 'exists' AS reason FROM present
@@ -289,4 +304,5 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
             for c, n in ORDERS.lengths.items())),
         "sync_final_state": _with(MERGED, "SELECT * FROM merged"),
         "sync_final_state_buckets": _with(MERGED, "SELECT * FROM merged"),
+        "sync_two_checkpoints": _with(MERGED, "SELECT * FROM merged"),
     }

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from tidesync.functions.values import row_bytes
 from tidesync.operators.sizing import Size
+from tidesync.plans.publish import mark_owner
 
 BUCKET = "__bucket"
-PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_FILES = (
-    "tidesync.key", "tidesync.buckets", "tidesync.batch", "tidesync.filesPerBucket")
+PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_STREAM, PROP_FILES = (
+    "tidesync.key", "tidesync.buckets", "tidesync.batch", "tidesync.stream", "tidesync.filesPerBucket")
 
 
 def bucket_of(key: Sequence[str], buckets: int) -> Column:
@@ -85,19 +86,23 @@ def _write_buckets(df: DataFrame, key: Sequence[str], buckets: int, n_buckets_wr
 
 
 def create(spark: SparkSession, name: str, df: DataFrame, key: Sequence[str], buckets: int, root: str,
-           batch_id: int | None = None, files_per_bucket: int | None = None) -> BucketedTable:
-    """Write ``df`` partitioned by key bucket and register it as ``name``."""
+           batch_id: int | None = None, files_per_bucket: int | None = None,
+           stream: str | None = None) -> BucketedTable:
+    """Write ``df`` partitioned by key bucket and register it as ``name``.
+
+    The batch id is recorded last: a driver lost before that leaves a table without one, and the
+    replayed batch is applied in full."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
     _write_buckets(df, key, buckets, buckets, files_per_bucket, path)
+    mark_owner(spark, path, name)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets),
              PROP_FILES: "auto" if files_per_bucket is None else str(files_per_bucket)}
-    if batch_id is not None:
-        props[PROP_BATCH] = str(batch_id)
     prop_sql = ", ".join(f"'{k}'='{v}'" for k, v in props.items())
     spark.sql(f"CREATE TABLE {name} ({cols}, {BUCKET} int) USING parquet PARTITIONED BY ({BUCKET}) "
               f"LOCATION '{path}' TBLPROPERTIES ({prop_sql})")
     spark.sql(f"MSCK REPAIR TABLE {name}")
+    record_batch(spark, name, batch_id, stream)
     return BucketedTable(name, tuple(key), buckets, root, files_per_bucket)
 
 
@@ -113,9 +118,15 @@ def is_bucketed(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name) and PROP_BUCKETS in _props(spark, name)
 
 
-def last_batch(spark: SparkSession, name: str) -> int | None:
-    v = _props(spark, name).get(PROP_BATCH)
-    return int(v) if v is not None else None
+def last_batch(spark: SparkSession, name: str) -> tuple[int, str | None] | None:
+    """The last applied micro-batch and the streaming query it came from."""
+    props = _props(spark, name)
+    return (int(props[PROP_BATCH]), props.get(PROP_STREAM) or None) if PROP_BATCH in props else None
+
+
+def record_batch(spark: SparkSession, name: str, batch_id: int | None, stream: str | None) -> None:
+    if batch_id is not None:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{PROP_BATCH}'='{batch_id}', '{PROP_STREAM}'='{stream or ''}')")
 
 
 def touched_buckets(changes: DataFrame, table: BucketedTable) -> list[int]:
@@ -134,7 +145,7 @@ def measure_touched(changes: DataFrame, key: Sequence[str], buckets: int) -> tup
 
 def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
           change_fn: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int | None = None,
-          touched: Sequence[int] | None = None) -> list[int]:
+          touched: Sequence[int] | None = None, stream: str | None = None) -> list[int]:
     """Replace the touched buckets by ``change_fn(current rows of those buckets, changes)``.
 
     Returns the touched bucket ids. ``batch_id`` is recorded on the table after the swaps, for
@@ -148,6 +159,7 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
     new_state = change_fn(current, changes)
     path = f"{table.root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
     _write_buckets(new_state, table.key, table.buckets, len(touched), table.files_per_bucket, path)
+    mark_owner(spark, path, table.name)
     existing = {int(r["partition"].split("=", 1)[1]) for r in spark.sql(f"SHOW PARTITIONS {table.name}").collect()}
     added = [b for b in touched if b not in existing]
     if added:
@@ -156,8 +168,7 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
     for b in touched:
         if b in existing:
             spark.sql(f"ALTER TABLE {table.name} PARTITION ({BUCKET}={b}) SET LOCATION '{path}/{BUCKET}={b}'")
-    if batch_id is not None:
-        spark.sql(f"ALTER TABLE {table.name} SET TBLPROPERTIES ('{PROP_BATCH}'='{batch_id}')")
+    record_batch(spark, table.name, batch_id, stream)
     spark.sql(f"REFRESH TABLE {table.name}")
     return touched
 

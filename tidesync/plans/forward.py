@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from tidesync.contracts import ORDERS, TableContract
 from tidesync.operators.changes import MergeResult, merge, prepare_source
 from tidesync.operators.dedupe import DuplicateKeyError
-from tidesync.operators.load import typed
+from tidesync.operators.load import reject_reason, typed
 from tidesync.operators.sizing import Size, measure, measure_keyed
 from tidesync.plans import bucketed
-from tidesync.plans.publish import materialize, publish_swap
+from tidesync.plans.publish import mark_owner, materialize, publish_swap, refuse_partitioned
 
 
 @dataclass
@@ -29,6 +29,7 @@ class ForwardRun:
     metrics: dict | None = None
     path: str | None = None
     strategy: str | None = None
+    rejects: str | None = None   # folder of the rows that broke the contract, with ``reason``
 
 
 def merge_into_catalog(spark: SparkSession, source: DataFrame, target_table: str,
@@ -47,22 +48,43 @@ def merge_into_catalog(spark: SparkSession, source: DataFrame, target_table: str
         raise
 
 
-def _staged_source(staging: DataFrame, root: str, contract: TableContract,
-                   on_duplicate: str, order_by: Sequence[str]) -> tuple[DataFrame, Size | None, int]:
-    """The staging under the contract types, read once into a snapshot below ``root``, with its
-    size and key check from one aggregate. Returns the source to merge (one row per key), its
-    size (``None`` when nothing is staged) and the number of rows read from the staging."""
-    source = materialize(typed(staging, contract), f"{root.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}")
+REASON = "reason"
+
+
+@dataclass
+class Staged:
+    source: DataFrame            # accepted rows to merge, one per key
+    size: Size | None            # None: no accepted row
+    fetched: int                 # rows read from the staging
+    rejected: int
+    rejects: str | None          # folder of the rejected rows; None: no such row
+
+
+def _staged_source(staging: DataFrame, table: str, root: str, contract: TableContract,
+                   on_duplicate: str, order_by: Sequence[str]) -> Staged:
+    """The staging under the contract types, read once into a snapshot below ``root``. Rows with a
+    NULL key or over-long text go to a rejects folder with their reason, so they never reach the
+    target; the others are measured and their keys checked by one aggregate."""
+    path = f"{root.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}"
+    rows = typed(staging, contract)
+    snapshot = materialize(rows.withColumn(REASON, reject_reason(rows, contract)), path)
+    mark_owner(staging.sparkSession, path, table)
+    bad = snapshot.where(F.col(REASON).isNotNull())
+    source = snapshot.where(F.col(REASON).isNull()).drop(REASON)
+    rejected, rejects = bad.count(), None
+    if rejected:
+        rejects = f"{root.rstrip('/')}/rejects-{uuid.uuid4().hex[:12]}"
+        bad.write.parquet(rejects)
     size, top = measure_keyed(source, contract.key)
-    fetched = size.rows
-    if fetched == 0:
-        return source, None, 0
+    fetched = size.rows + rejected
+    if size.rows == 0:
+        return Staged(source, None, fetched, rejected, rejects)
     if top > 1:
         if on_duplicate == "error":
             raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}; pass on_duplicate='latest'")
         source = prepare_source(source, contract.key, on_duplicate, order_by)
         size = measure(source)
-    return source, size, fetched
+    return Staged(source, size, fetched, rejected, rejects)
 
 
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
@@ -79,15 +101,18 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     ``use_catalog_merge=True`` first tries the table format's own MERGE (row-level rewrite of the
     touched files only); plain Parquet tables fall back to the join plan of ``merge``.
     """
-    source, size, fetched = _staged_source(staging, root, contract, on_duplicate, order_by)
-    if size is None:                                         # nothing staged: no merge, no publish
-        return ForwardRun("no_rows")
-    if use_catalog_merge and merge_into_catalog(spark, source, target_table, contract):
-        return ForwardRun("merged", None, None, "catalog")
+    if not use_catalog_merge:
+        refuse_partitioned(spark, target_table)
+    staged = _staged_source(staging, target_table, root, contract, on_duplicate, order_by)
+    if staged.size is None:                                  # nothing to merge: no publish
+        return ForwardRun("no_rows", rejects=staged.rejects)
+    if use_catalog_merge and merge_into_catalog(spark, staged.source, target_table, contract):
+        return ForwardRun("merged", None, None, "catalog", staged.rejects)
     target = spark.table(target_table)
-    m = merge(target, source, contract.key, on_duplicate="trust", source_size=size, observe=True)
+    m = merge(target, staged.source, contract.key, on_duplicate="trust", source_size=staged.size, observe=True)
     path = publish_swap(m.result, target_table, root)
-    return ForwardRun("merged", {**m.observed_metrics(), "fetched_rows": fetched}, path, m.strategy)
+    counts = {"fetched_rows": staged.fetched, "rejected_rows": staged.rejected}
+    return ForwardRun("merged", {**m.observed_metrics(), **counts}, path, m.strategy, staged.rejects)
 
 
 def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucketed.BucketedTable,
@@ -95,17 +120,17 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
                           order_by: Sequence[str] = ()) -> ForwardRun:
     """The forward job on a key-bucketed lake table: only the buckets holding staged keys are
     read, merged and rewritten; the rest of the table is not touched."""
-    source, size, fetched = _staged_source(staging, table.root, contract, on_duplicate, order_by)
-    if size is None:
-        return ForwardRun("no_rows")
+    staged = _staged_source(staging, table.name, table.root, contract, on_duplicate, order_by)
+    if staged.size is None:
+        return ForwardRun("no_rows", rejects=staged.rejects)
     key = list(contract.key)
     merges: list[MergeResult] = []
 
     def change(current: DataFrame, changes: DataFrame) -> DataFrame:
-        merges.append(merge(current, changes, key, on_duplicate="trust", source_size=size, observe=True))
+        merges.append(merge(current, changes, key, on_duplicate="trust", source_size=staged.size, observe=True))
         return merges[-1].result
 
-    touched = bucketed.apply(spark, table, source, change)         # writes the result once
+    touched = bucketed.apply(spark, table, staged.source, change)         # writes the result once
     metrics = merges[-1].observed_metrics() if merges else {}
-    return ForwardRun("merged", {**metrics, "touched_buckets": len(touched), "fetched_rows": fetched},
-                      table.root, "buckets")
+    counts = {"touched_buckets": len(touched), "fetched_rows": staged.fetched, "rejected_rows": staged.rejected}
+    return ForwardRun("merged", {**metrics, **counts}, table.root, "buckets", staged.rejects)

@@ -8,6 +8,7 @@ the new state also cuts the lineage of the change plan.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,39 @@ def table_location(spark: SparkSession, name: str) -> str | None:
     return None
 
 
+def owner_file(spark: SparkSession, table: str) -> str:
+    """Name of the marker in every folder written for ``table``; ``vacuum`` deletes only such folders."""
+    parts = table.replace("`", "").lower().split(".")[-2:]
+    if len(parts) == 1:
+        parts.insert(0, spark.catalog.currentDatabase())
+    return "_owner." + re.sub(r"[^\w.]", "_", ".".join(parts))
+
+
+def mark_owner(spark: SparkSession, path: str, table: str) -> None:
+    """Leave the owner marker in ``path`` (readers ignore it). Without the JVM's file system, as over
+    Spark Connect, no marker is left and the folder is never vacuumed."""
+    if not hasattr(spark, "_jsparkSession"):
+        return
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, owner_file(spark, table))
+    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker).close()
+
+
+def refuse_partitioned(spark: SparkSession, table: str) -> None:
+    """A location swap moves no partition, so its rows would not be seen: refuse such a table."""
+    if spark.catalog.tableExists(table) and any(c.isPartition for c in spark.catalog.listColumns(table)):
+        raise ValueError(f"{table} is partitioned; a location swap cannot publish it (use a key-bucketed table)")
+
+
 def publish_swap(df: DataFrame, table: str, root: str, version: str | None = None) -> str:
-    """Write ``df`` under ``{root}/{version}`` and make ``table`` point at it. Returns the path."""
+    """Write ``df`` to a fresh folder ``{root}/{version}`` and make ``table`` point at it. Returns the path.
+
+    The folder must not exist yet, so files that readers still use are never overwritten.
+    """
     spark = df.sparkSession
+    refuse_partitioned(spark, table)
     path = f"{root.rstrip('/')}/{version or 'v-' + uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
+    mark_owner(spark, path, table)
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.sql(f"REFRESH TABLE {table}")

@@ -231,6 +231,36 @@ def forward_merge(spark, d):
     return spark.table(name)
 
 
+def _forward_bad_rows(spark, d) -> tuple[str, forward.ForwardRun]:
+    """The forward job, run twice, on a staging that holds rows without key and with over-long text."""
+    root = scratch_path(spark, "forwardr")
+    name = "tidesync_forwardr_" + root.rsplit("-", 1)[-1]
+    i = _Inputs(spark, d)
+    publish.publish_swap(i.lake, name, root)
+    staging = fixtures.staging_with_bad_rows(i.staging)
+    run = forward.forward_merge(spark, staging, name, root)
+    forward.forward_merge(spark, staging, name, root)
+    return name, run
+
+
+def forward_with_bad_rows(spark, d):
+    """The target after both runs: bad rows never reach it and the second run changes nothing."""
+    return spark.table(_forward_bad_rows(spark, d)[0])
+
+
+def forward_rejects(spark, d):
+    """Rejected rows of a run by reason."""
+    run = _forward_bad_rows(spark, d)[1]
+    return spark.read.parquet(run.rejects).groupBy("reason").agg(F.count("*").alias("n_rows"))
+
+
+def forward_metrics(spark, d):
+    """Counters of the first run."""
+    run = _forward_bad_rows(spark, d)[1]
+    names = sorted(run.metrics)
+    return spark.createDataFrame([tuple(run.metrics[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def forward_merge_buckets(spark, d):
     """The forward job on a key-bucketed lake table: only buckets holding staged keys are
     rewritten; returns the whole table afterwards."""
@@ -345,6 +375,27 @@ def _sync(spark, d, layout: str):
     return sync.live_rows(spark.table(name))
 
 
+def sync_two_checkpoints(spark, d):
+    """Two feeds into one copy, each by a streaming query with a checkpoint of its own: the second one
+    counts its batches from 0 again and none of them is lost."""
+    root = scratch_path(spark, "sync2")
+    i = _Inputs(spark, d)
+    cols = ORDERS.columns + ["seq"]
+    parts = fixtures.change_feed_parts(i.staging, 4)
+    backfill = i.lake.withColumn("seq", F.lit(0).cast("long"))
+    name = "tidesync_sync2_" + root.rsplit("-", 1)[-1]
+    for n, feed_parts in enumerate(([backfill, parts[1]], [parts[2], parts[3], parts[0]])):
+        feed = f"{root}/feed-{n}"
+        for part in feed_parts:
+            part.select(*cols).write.mode("append").parquet(feed)
+        q = sync.sync_files(spark, feed, spark.read.parquet(feed).schema, name, f"{root}/table", KEY,
+                            f"{root}/checkpoint-{n}", max_files_per_trigger=64)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return sync.live_rows(spark.table(name))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_clone": snapshot_clone,
     "clone_row_counts": clone_row_counts,
@@ -375,6 +426,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_latest": merge_latest,
     "forward_merge": forward_merge,
     "forward_merge_buckets": forward_merge_buckets,
+    "forward_with_bad_rows": forward_with_bad_rows,
+    "forward_rejects": forward_rejects,
+    "forward_metrics": forward_metrics,
     "insert_strict": insert_strict,
     "insert_conflicts": insert_conflicts,
     "patch_update": patch_update,
@@ -391,4 +445,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "length_violations": length_violations,
     "sync_final_state": sync_final_state,
     "sync_final_state_buckets": sync_final_state_buckets,
+    "sync_two_checkpoints": sync_two_checkpoints,
 }

@@ -131,6 +131,14 @@ def sparse_new_orders(staged: DataFrame) -> DataFrame:
         else F.col(c) for c in ORDERS.columns])
 
 
+def staging_with_bad_rows(staged: DataFrame) -> DataFrame:
+    """The staging plus rows that break the contract: every 20th key again without its key, every
+    30th again with a comment that is too long."""
+    no_key = staged.where(_k() % 20 == 0).withColumn("o_orderkey", F.lit(None).cast("long"))
+    long_text = staged.where(_k() % 30 == 0).withColumn("o_comment", F.repeat(F.lit("x"), F.lit(80)))
+    return staged.unionByName(no_key).unionByName(long_text)
+
+
 def change_feed_parts(staged: DataFrame, n_parts: int = 4) -> list[DataFrame]:
     """The staging split into ``n_parts`` change files by key; part i carries ``seq = i + 1``.
     Part 0 additionally re-sends every 7th key of the later parts with a stale price, which the

@@ -3,14 +3,19 @@
 Each micro-batch is reduced to the latest change per key (highest ``seq``) and upserted with the
 MERGE operator, which keeps a stored row whose ``seq`` is not lower than the change's;
 rows flagged as deletes leave a tombstone so that an older change arriving late cannot revive
-them. The new state is published by a location swap into a version folder named after the
-batch id: a replayed batch (``foreachBatch`` is at-least-once) finds its version already
-published and does nothing. The end state does not depend on how the feed is cut into
-micro-batches.
+them. The new state is published by a location swap into a fresh folder whose name carries the
+batch id and the id of the streaming query (from its checkpoint): a replayed batch (``foreachBatch``
+is at-least-once) of the same query finds itself published and does nothing, while a query with a
+new checkpoint, which counts its batches from 0 again, loses none. The end state does not depend on
+how the feed is cut into micro-batches, as long as two different changes of a key never share a
+``seq`` (of such two, the one of the earlier batch stays).
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -49,24 +54,30 @@ def live_rows(copy: DataFrame, seq_col: str = "seq", op_col: str = "op") -> Data
 
 
 def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col: str = "seq",
-                      op_col: str = "op", layout: str = "swap", buckets: int = 64):
+                      op_col: str = "op", layout: str = "swap", buckets: int = 64,
+                      checkpoint: str | None = None, reader: SparkSession | None = None):
     """The ``foreachBatch`` function of the sync.
 
+    ``checkpoint`` is the folder of the streaming query, whose id tells its replays from the batches
+    of another query; ``reader`` is the session to refresh after each new version.
+
     ``layout="swap"`` rewrites the copy per batch and swaps the table location (a snapshot per
     batch); ``layout="buckets"`` keeps the copy partitioned by key bucket and rewrites only the
     buckets the batch touches (``tidesync.plans.bucketed``), the layout for large copies.
     """
     if layout == "buckets":
-        return _bucketed_writer(target_table, root, key, seq_col, op_col, buckets)
+        return _bucketed_writer(target_table, root, key, seq_col, op_col, buckets, checkpoint, reader)
     if layout != "swap":
         raise ValueError(f"layout must be 'swap' or 'buckets', not {layout!r}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = f"batch-{batch_id:012d}"
+        stream = query_id(spark, checkpoint)
         loc = table_location(spark, target_table)
-        if loc is not None and loc.rstrip("/").endswith(version):
+        published = VERSION.search(loc.rstrip("/")) if loc is not None else None
+        if published and _is_replay((int(published[1]), published[2]), batch_id, stream):
             return                                          # replay of a published batch
+        version = f"batch-{batch_id:012d}.{stream or 'none'}.{uuid.uuid4().hex[:12]}"
         if op_col not in batch.columns:
             batch = batch.withColumn(op_col, F.lit(None).cast("string"))
         target = spark.table(target_table) if loc is not None else None
@@ -78,19 +89,44 @@ def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col:
             if size.rows == 0:
                 return
             publish_swap(apply_changes(target, latest, key, seq_col, size), target_table, root, version)
+            _refresh(reader, target_table)
         finally:
             latest.unpersist()
 
     return write
 
 
-def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col: str, op_col: str, buckets: int):
+VERSION = re.compile(r"/batch-([0-9]+)\.([^./]+)\.[0-9a-f]+$")
+
+
+def query_id(spark: SparkSession, checkpoint: str | None) -> str | None:
+    """Id of the streaming query that owns a checkpoint, as Spark stores it there."""
+    if checkpoint is None:
+        return None
+    rows = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).collect()
+    return json.loads(rows[0][0])["id"]
+
+
+def _is_replay(done: tuple[int, str | None], batch_id: int, stream: str | None) -> bool:
+    """Whether a batch was applied already; a writer without a checkpoint goes by the batch id alone."""
+    return done[0] >= batch_id and (stream is None or done[1] == stream)
+
+
+def _refresh(reader: SparkSession | None, table: str) -> None:
+    """Let the session that started the sync see the new version (a batch runs in a session of its own)."""
+    if reader is not None:
+        reader.sql(f"REFRESH TABLE {table}")
+
+
+def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col: str, op_col: str, buckets: int,
+                     checkpoint: str | None, reader: SparkSession | None):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        stream = query_id(spark, checkpoint)
         exists = spark.catalog.tableExists(target_table)
         if exists:
             done = bucketed.last_batch(spark, target_table)
-            if done is not None and done >= batch_id:
+            if done is not None and _is_replay(done, batch_id, stream):
                 return                                      # replay of an applied batch
         if op_col not in batch.columns:
             batch = batch.withColumn(op_col, F.lit(None).cast("string"))
@@ -103,11 +139,13 @@ def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col:
             if size.rows == 0:
                 return
             if not exists:
-                bucketed.create(spark, target_table, latest, key, buckets, root, batch_id)
+                bucketed.create(spark, target_table, latest, key, buckets, root, batch_id, stream=stream)
+                _refresh(reader, target_table)
                 return
             bucketed.apply(spark, table, latest,
                            lambda current, changes: apply_changes(current, changes, key, seq_col, size),
-                           batch_id, touched)
+                           batch_id, touched, stream)
+            _refresh(reader, target_table)
         finally:
             latest.unpersist()
 
@@ -124,7 +162,8 @@ def sync_table(feed: DataFrame, target_table: str, root: str, key: Sequence[str]
     ``{"processingTime": "15 minutes"}`` for a continuously running copy.
     """
     writer = (feed.writeStream
-              .foreachBatch(sync_batch_writer(target_table, root, key, seq_col, op_col, layout, buckets))
+              .foreachBatch(sync_batch_writer(target_table, root, key, seq_col, op_col, layout, buckets,
+                                              checkpoint, feed.sparkSession))
               .option("checkpointLocation", checkpoint)
               .trigger(**(trigger or {"availableNow": True})))
     if query_name:
