@@ -11,12 +11,12 @@ Method:
 1. Sample. Every string of 50 bytes picks its anchor: of its 35 substrings of 16 bytes, the one with the
    least hash, the leftmost of equal ones. Equal strings have equal anchors at equal offsets.
    Neighbouring strings mostly share an anchor: a run. A run is one row: hash of its 16 anchor bytes,
-   hash of its whole context (all bytes of its strings), place, document. About one row per 18 bytes.
+   hash of its whole context (all bytes of its strings), document. About one row per 18 bytes.
 2. Sort and name. The rows meet under their anchor. A run whose whole context also occurs in a smaller
    document is removed as a whole. Anchors that only one document has are done.
 3. Induce. The runs left whose anchor also has other contexts lie at the edge of a repeat. Only these
-   are opened into their single strings, which meet under their hash; a string that also starts in a
-   smaller document is removed.
+   are opened into their single strings, and only those on the sides of the anchor that another context
+   shares; they meet under their hash, and a string that also starts in a smaller document is removed.
 
 Hot passages: rows of one batch with equal anchor and context are settled in the batch, and only the one
 of its smallest document is sent on, so a passage that a third of all documents share costs one row
@@ -47,9 +47,13 @@ SPAN = LENGTH - ANCHOR + 1
 CHUNK = 1 << 18
 NO_ID = (1 << 63) - 1
 PLACE_BITS = 31
-#: Bits of the neighbour hashes (left, right) below the anchor hash in a key, and the bytes they cover.
-SIDE_BITS = 12
+#: Bits of the neighbour hashes: of the left one below the anchor hash in a key, of the right one below the
+#: context hash in a code; and the bytes they cover.
+SIDE_BITS = 16
 SIDE = (LENGTH - ANCHOR) // 2
+#: Low bits of a run's code: settled in its batch; or the sides that it shares with another context.
+FLAG_BITS = 2
+LEFT, RIGHT = 1, 2
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -77,10 +81,12 @@ class Piece:
         """64-bit hashes of byte ranges, also by their length."""
         return _mixed((self.prefix[end] - self.prefix[begin]) * _INVERSE[begin] + (end - begin).astype(_U) * _BASE)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with one anchor: first window, end of windows, key, context hash.
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one anchor: first window, end of windows, anchor's place, key, code.
 
-        The key holds the anchor's hash and, in its low bits, hashes of the bytes left and right of it.
+        The key holds the hashes of the anchor and of the bytes left of it. The code names the run within
+        a document: hashes of its context and of the bytes right of the anchor, and no flags. Runs of a
+        document with equal codes have equal bytes, so what holds for one holds for all.
         """
         n = len(self.bytes) - ANCHOR + 1
         low = np.ndarray((n,), "<u8", self.bytes, 0, (1,))
@@ -101,8 +107,10 @@ class Piece:
         context = _mixed(self.hashes(first, end + LENGTH - 1) ^ (anchor - first).astype(_U))
         left = self.hashes(np.maximum(anchor - SIDE, 0), anchor)
         right = self.hashes(anchor + ANCHOR, np.minimum(anchor + ANCHOR + SIDE, len(self.bytes)))
-        sides = (left >> _U(64 - SIDE_BITS) << _U(SIDE_BITS)) | (right >> _U(64 - SIDE_BITS))
-        return first, end, (grams[anchor] >> _U(2 * SIDE_BITS) << _U(2 * SIDE_BITS)) | sides, context
+        key = (grams[anchor] >> _U(SIDE_BITS) << _U(SIDE_BITS)) | (left >> _U(64 - SIDE_BITS))
+        low_bits = _U(SIDE_BITS + FLAG_BITS)
+        code = (context >> low_bits << low_bits) | (right >> _U(64 - SIDE_BITS) << _U(FLAG_BITS))
+        return first, end, anchor, key, code
 
 
 def pieces(data: bytes) -> Iterator[Piece]:
@@ -137,8 +145,8 @@ def _settled(keys: np.ndarray, subkeys: np.ndarray, docs: np.ndarray) -> np.ndar
 
 
 def _dealt(keys: np.ndarray, settled: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Settled rows need no meeting: they are dealt by document as well."""
-    return np.where(settled, _mixed(keys + docs.astype(_U) * _BASE), keys).view(np.int64)
+    """Settled rows need no meeting: they are dealt by document, which also compresses well."""
+    return np.where(settled, _mixed(docs.astype(_U) * _BASE), keys).view(np.int64)
 
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,28 +154,37 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, contexts, codes, docs = [], [], [], []
         for doc, text in zip(_ids(rows["doc_id"]), rows["text"]):
             for piece in pieces(_bytes(text)):
-                first, _, anchor, context = piece.runs()
-                keys.append(anchor)
-                codes.append(coded(context, first + piece.base))
-                docs.append(np.full(len(first), doc, np.int64))
+                *_, key, code = piece.runs()
+                keys.append(key)
+                codes.append(code)
+                docs.append(np.full(len(key), doc, np.int64))
         if keys:
             k, c, d = np.concatenate(keys), np.concatenate(codes), np.concatenate(docs)
-            settled = _settled(k >> _U(2 * SIDE_BITS), c >> PLACE_BITS, d)
-            yield pd.DataFrame({"k": _dealt(k, settled, d), "code": c, "doc": d, "settled": settled})
+            settled = _settled(k, c, d)
+            yield pd.DataFrame({"k": _dealt(k, settled, d), "code": (c | settled).view(np.int64), "doc": d})
 
 
 def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Single strings of the runs named by ``codes``."""
+    """Single strings of the runs named by ``codes``, from the sides named by their flags.
+
+    A string holds all bytes that SIDE covers on one side of the anchor, or on both: those that start
+    at least SIDE before the anchor hold the left ones, the others, and that at SIDE, the right ones.
+    """
     for rows in batches:
         keys, places, docs = [], [], []
         for doc, pressed, codes in zip(_ids(rows["doc_id"]), rows["pressed"], rows["codes"]):
-            wanted = np.asarray(codes, np.int64)
+            wanted = np.asarray(codes, np.int64).view(_U)
+            flags = _U((1 << FLAG_BITS) - 1)
+            by_left, by_right = (wanted[wanted & _U(bit) != 0] & ~flags for bit in (LEFT, RIGHT))
             for piece in pieces(zstandard.decompress(pressed)):
-                first, end, _, context = piece.runs()
-                mine = np.isin(coded(context, first + piece.base), wanted)
+                first, end, anchor, _, code = piece.runs()
+                left, right = np.isin(code, by_left), np.isin(code, by_right)
+                begin = np.where(left, first, np.maximum(first, anchor - SIDE))
+                stop = np.where(right, end, np.minimum(end, anchor - SIDE + 1))
+                mine = (left | right) & (begin < stop)
                 if mine.any():
-                    sizes = (end - first)[mine]
-                    at = np.repeat(first[mine], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    sizes = (stop - begin)[mine]
+                    at = np.repeat(begin[mine], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     keys.append(piece.hashes(at, at + LENGTH))
                     places.append(at + piece.base)
                     docs.append(np.full(len(at), doc, np.int64))
@@ -184,11 +201,11 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = zstandard.decompress(pressed)
             starts = np.zeros(len(data) + 1, np.int32)
             if runs is not None or strings is not None:
-                whole = np.asarray([] if runs is None else runs, np.int64)
+                whole = np.asarray([] if runs is None else runs, np.int64).view(_U)
                 single = np.asarray([] if strings is None else strings, np.int64)
                 for piece in pieces(data):
-                    first, end, _, context = piece.runs()
-                    mine = np.isin(coded(context, first + piece.base), whole)
+                    first, end, *_, code = piece.runs()
+                    mine = np.isin(code, whole)
                     for a, b in zip(first[mine] + piece.base, end[mine] + piece.base):
                         starts[a] += 1
                         starts[b + LENGTH - 1] -= 1
@@ -215,27 +232,32 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def settle_runs(rows: DataFrame) -> DataFrame:
-    """(doc, code, whole): runs to remove as a whole, and runs to open.
+    """(doc, code, whole): runs to remove as a whole, and runs to open, with the sides to open in their code.
 
     A string of a run that also occurs elsewhere shares, beside the anchor, the SIDE bytes left or
     right of it; runs that share neither with another context are not opened.
     """
-    anchor, left = F.shiftright("k", 2 * SIDE_BITS), F.shiftright("k", SIDE_BITS).bitwiseAND(F.lit((1 << SIDE_BITS) - 1))
+    side_mask, flag_mask = F.lit((1 << SIDE_BITS) - 1), F.lit((1 << FLAG_BITS) - 1)
+    plain = F.shiftleft(F.shiftright("code", FLAG_BITS), FLAG_BITS)
     by_anchor = Window.partitionBy("anchor")
     judged = (
-        rows.select(anchor.alias("anchor"), left.alias("left"), F.col("k").bitwiseAND(F.lit((1 << SIDE_BITS) - 1)).alias("right"),
-                    F.shiftright("code", PLACE_BITS).alias("context"), "code", "doc", "settled")
+        rows.select(F.shiftright("k", SIDE_BITS).alias("anchor"), F.col("k").bitwiseAND(side_mask).alias("left"),
+                    F.shiftright("code", FLAG_BITS).bitwiseAND(side_mask).alias("right"),
+                    plain.alias("code"), "doc", (F.col("code").bitwiseAND(flag_mask) != 0).alias("settled"))
         .repartition("anchor")
-        .withColumn("owner", F.min("doc").over(Window.partitionBy("anchor", "context")))
+        .withColumn("owner", F.min("doc").over(Window.partitionBy("anchor", "code")))
         .withColumn("least", F.min("doc").over(by_anchor)).withColumn("most", F.max("doc").over(by_anchor))
-        .withColumn("c0", F.min("context").over(by_anchor)).withColumn("c1", F.max("context").over(by_anchor))
+        .withColumn("c0", F.min("code").over(by_anchor)).withColumn("c1", F.max("code").over(by_anchor))
         .withColumn("whole", F.col("settled") | (F.col("owner") < F.col("doc")))
         .filter("whole OR (least < most AND c0 < c1)")
     )
-    for side in ("left", "right"):
+    shared = F.lit(0).cast("long")
+    for side, bit in (("left", LEFT), ("right", RIGHT)):
         by_side = Window.partitionBy("anchor", side)
-        judged = judged.withColumn(f"{side}_shared", F.min("context").over(by_side) < F.max("context").over(by_side))
-    return judged.filter("whole OR left_shared OR right_shared").select("doc", "code", "whole")
+        judged = judged.withColumn(f"{side}_shared", F.min("code").over(by_side) < F.max("code").over(by_side))
+        shared = shared.bitwiseOR(F.when(F.col(f"{side}_shared") & ~F.col("whole"), F.lit(bit)).otherwise(F.lit(0)))
+    opened = judged.filter("whole OR left_shared OR right_shared")
+    return opened.select("doc", F.col("code").bitwiseOR(shared).alias("code"), "whole")
 
 
 def settle_strings(rows: DataFrame) -> DataFrame:
@@ -248,13 +270,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     number = F.coalesce("doc_id", F.lit(NO_ID))
-    schema = "k long, code long, doc long, settled boolean"
+    schema = "k long, code long, doc long"
     pressed = texts.mapInPandas(_zipped, "doc_id long, pressed binary")
     runs = pinned(spark, settle_runs(texts.mapInPandas(_sampled, schema)), "repeat-runs")
     edges = runs.filter("NOT whole").groupBy("doc").agg(F.collect_set("code").alias("codes"))
     edges = pinned(spark, edges, "repeat-edges")
     to_open = pressed.join(edges, number == F.col("doc")).select("doc_id", "pressed", "codes")
-    strings = pinned(spark, settle_strings(to_open.mapInPandas(_opened, schema)), "repeat-strings")
+    strings = pinned(spark, settle_strings(to_open.mapInPandas(_opened, schema + ", settled boolean")), "repeat-strings")
     marks = (
         runs.filter("whole").select("doc", F.col("code").alias("run"), F.lit(None).cast("long").alias("string"))
         .unionByName(strings.select("doc", F.lit(None).cast("long").alias("run"), F.col("code").alias("string")))
