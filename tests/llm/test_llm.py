@@ -104,6 +104,17 @@ def test_chain_of_links_is_one_component(spark):
     assert out == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Different texts that share an id, or have none, are told apart; a rejected row never stays for a clean one."""
+    a, b, c, d, e = (" ".join(words(50 + i, 60 + i)) for i in range(5))
+    copy = d + " and a longer tail"
+    rows = [(None, a), (None, b), (None, c), (None, a.upper()), (3, d), (5, copy), (5, e), (7, ""), (7, ""), (None, ""), (8, " ")]
+    left = near_dedup.drop_near_copies(spark, docs_of(spark, rows))
+    want = [(None, ""), (None, a), (None, b), (None, c), (3, d), (5, e), (7, ""), (8, " ")]
+    got = [(r["doc_id"], r["text"].lower()) for r in left.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and left.columns == docs_of(spark, rows).columns
+
+
 def test_exact_keeps_longest_then_smallest(spark):
     out = exact_dedup.exact_groups(spark, docs_of(spark, ["a b", "ab", " a b ", " ab  ", "c", "c"])).toPandas().set_index("doc_id")
     assert out.loc[[1, 2, 3, 4], "keep_id"].tolist() == [3, 3, 3, 3] and out.loc[3, "group_size"] == 4

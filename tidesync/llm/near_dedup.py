@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesync.llm.common import pinned, text_of
@@ -132,8 +132,8 @@ def _signed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 classes.append(None)
                 sketches.append(None)
-        frame = {"doc_id": rows["doc_id"], "n_shingles": n, "cls": pd.array(classes, "Int64"), "sketch": sketches}
-        yield pd.DataFrame(frame)
+        frame = {"row": rows["row"], "doc_id": rows["doc_id"], "n_chars": rows["text"].str.len().astype("int64")}
+        yield pd.DataFrame({**frame, "n_shingles": n, "cls": pd.array(classes, "Int64"), "sketch": sketches})
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,12 +262,18 @@ def residual_pairs(spark: SparkSession, members: DataFrame, sketches: DataFrame,
     return tested.mapInPandas(_close_blocks, "a long, b long")
 
 
-def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select("doc_id", text_of().alias("text"))
+def labelled_rows(spark: SparkSession, docs: DataFrame, row: Column) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, n_chars, n_shingles, cls, comp, component_id.
+
+    ``comp`` names the component by its smallest class; it is null, like ``cls``, for texts without words.
+    """
+    texts = docs.select(row.alias("row"), "doc_id", text_of().alias("text"))
     signed = pinned(
-        spark, texts.mapInPandas(_signed_rows, "doc_id long, n_shingles long, cls long, sketch binary"), "near-signed"
+        spark,
+        texts.mapInPandas(_signed_rows, "row long, doc_id long, n_chars long, n_shingles long, cls long, sketch binary"),
+        "near-signed",
     )
+    texts = texts.drop("row")
     classes = pinned(
         spark,
         signed.filter("cls IS NOT NULL").groupBy("cls")
@@ -294,18 +300,33 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "cls", "first_id", F.coalesce("comp", "cls").alias("comp")
     )
     least = pinned(spark, labelled.groupBy("comp").agg(F.min("first_id").alias("component_id")), "near-least")
-    by_class = pinned(spark, labelled.join(least, "comp").select("cls", "component_id"), "near-labels")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
+    by_class = pinned(spark, labelled.join(least, "comp").select("cls", "comp", "component_id"), "near-labels")
+    out = signed.drop("sketch").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("row", "doc_id", "n_chars", "n_shingles", "cls", "comp", component.alias("component_id"))
+
+
+def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    out = labelled_rows(spark, docs, F.lit(0).cast("long"))
+    return out.select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies (and texts without words), all columns kept."""
-    names = docs.columns
-    kept = near_groups(spark, docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]))
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length(text_of())))
-    return joined.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*[docs[n] for n in names])
+    """``docs`` with one row of each group of near copies and each text without words, all columns kept.
+
+    Of a group the row with the smallest id stays (null ids last, then the longest text). Rows are told
+    apart by a number of their own, so ids may repeat or be null; of texts without words only rows
+    that repeat id and length are copies. The choice is one aggregate with partial results per task.
+    """
+    rows = pinned(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    labels = labelled_rows(spark, rows, F.col("__row"))
+    wordless = F.when(F.col("cls").isNull(), F.struct("doc_id", "n_chars"))
+    best = F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", (-F.col("n_chars")).alias("less"), "cls", "row"
+    )
+    kept = labels.groupBy("comp", wordless.alias("wordless")).agg(F.min(best).alias("best"))
+    kept = pinned(spark, kept.select(F.col("best.row").alias("__row")), "near-kept")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
