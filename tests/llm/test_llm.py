@@ -266,6 +266,19 @@ def test_surrogates_stay_distinct(spark):
     assert out.nunique() == len(set(texts)) and not set(out) & set(texts)
 
 
+def test_surrogates_of_exhausted_forms(spark):
+    """More names and short addresses than their first forms can hold, and a value whose characters do not move."""
+    names = [f"Mr {a}{b}{c}{d}" for a in "BCDFGHJKLM" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxz" for d in
+             ("an", "el", "im", "ok", "ul", "ast", "est", "ist", "ost", "ust", "ax", "ex", "ix", "ox", "ux", "anz", "enz", "inz", "onz", "unz")]
+    hosts = [f"host {i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10} up" for i in range(6000)]
+    assert len(set(names)) == 20_000
+    texts = names + hosts + ["password=________", "mail \u6f22@\u5b57.cn"]
+    out = pii.replace_entities(spark, docs_of(spark, texts)).filter("n_entities = 1").toPandas()["text"]
+    assert len(out) == out.nunique() == len(texts) and not set(out) & set(texts)
+    assert out[out.str.startswith("Mr ")].str.fullmatch(r"Mr [A-Z][a-z]+").sum() == 20_000
+    assert out[out.str.startswith("host ")].str.fullmatch(r"host [0-9]{1,3}(\.[0-9]{1,3}){3} up").sum() == 6000
+
+
 def test_surrogates_of_odd_texts(spark):
     """Marks inside a text survive, hyphenated names stay names, a hot entity has one surrogate everywhere."""
     odd = "a\x01b\x02c\x02\x05 bob@corp.example.com \x01\x02\x04"

@@ -10,7 +10,9 @@ without the key.
 
 Collision checks: over the distinct entities of the whole corpus, two entities with equal surrogates
 or a surrogate that is itself an entity of the corpus move to their next attempt until none is left.
-So distinct entities stay distinct and a surrogate never names another real entity.
+So distinct entities stay distinct and a surrogate never names another real entity. The space of a form
+grows with the attempt, so no number of entities exhausts it: a family name has one more syllable per
+attempt, and from attempt ``WIDER_FROM`` on octets have more digits and other values more characters.
 
 The regular expression runs once over the texts, which are written with a mark around each entity;
 types and genders come from the value and the words before it. Only texts with entities are shuffled,
@@ -53,6 +55,7 @@ PATTERNS = {
 COMBINED = "|".join(PATTERNS.values())
 TITLE_CHARS = 16  # more than the longest title with the signs around it
 HOT_SHARE, HOT_CHARS = 1000, 256
+WIDER_FROM = 3  # attempts before it keep the exact form; short forms may be exhausted by then
 
 # Surrogate names by gender and script; the list of the other gender is never used.
 GIVEN = {
@@ -165,27 +168,42 @@ def remapped(text: Column, numbers: Column, fixed: Column, hexadecimal: Column)
     return F.aggregate(chars, start, step, lambda acc: acc["out"])
 
 
-def ip_surrogate(value: Column, numbers: Column) -> Column:
-    """Octets of the same number of digits, each in its range."""
-    octets = F.transform(
-        F.split(value, r"\."),
-        lambda o, i: F.when(F.length(o) == 1, F.get(numbers, i) % 10)
-        .when(F.length(o) == 2, F.get(numbers, i) % 90 + 10)
-        .otherwise(F.get(numbers, i) % 156 + 100)
-        .cast("string"),
-    )
-    return F.array_join(octets, ".")
+def added(kind: Column, numbers: Column, attempt: Column) -> Column:
+    """Further characters that make a form wider: none before ``WIDER_FROM``, then one more per attempt."""
+
+    def char(i: Column) -> Column:
+        number = F.get(numbers, 63 - i)
+        letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), number % 26 + 1, F.lit(1))
+        return F.when(kind.isin("phone", "card", "ssn", "iban"), (number % 10).cast("string")).otherwise(letter)
+
+    n = attempt - WIDER_FROM
+    return F.when(n < 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), char), ""))
+
+
+def ip_surrogate(value: Column, numbers: Column, attempt: Column) -> Column:
+    """Octets of the same number of digits (more from ``WIDER_FROM`` on), each in its range."""
+    more = F.greatest(attempt - WIDER_FROM + 1, F.lit(0))
+
+    def octet(o: Column, i: Column) -> Column:
+        width, number = F.length(o) + more, F.get(numbers, i)
+        return F.when(width == 1, number % 10).when(width == 2, number % 90 + 10).otherwise(number % 156 + 100).cast("string")
+
+    return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
 def person_surrogate(value: Column, gender: Column, numbers_of, attempt: Column) -> Column:
-    """Given names by gender and script, the last word a family name; equal words get equal names."""
+    """Given names by gender and script, the last word a family name; equal words get equal names.
+
+    A family name has two endings and one more per attempt: 16 x 8^2 Latin ones, then 16 x 8^3 and so on.
+    """
     script = F.when(F.rlike(value, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
 
     def pick(options: list[str], number: Column) -> Column:
         return F.get(F.array(*map(F.lit, options)), number % len(options))
 
     def ending(numbers: Column, script_name: str) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: pick(ENDINGS[script_name], F.get(numbers, i + attempt)))
+        places = F.sequence(F.lit(1), attempt + 2)
+        parts = F.transform(places, lambda i: pick(ENDINGS[script_name], F.get(numbers, i % 64)))
         return F.array_join(parts, "")
 
     def named(word: Column, given: Column) -> Column:
@@ -221,8 +239,10 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: Co
         labels = F.split(domain, r"\.")
         site = F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 1), ".")
         no = F.lit(False)
+        more = added(kind, numbers, attempt)
         email = F.concat(
             remapped(local, numbers, F.lit(0), no),
+            more,
             F.lit("@"),
             let(draw(F.lit("domain"), domain), lambda ns: remapped(site, ns, F.lit(0), no)),
             F.lit("."),
@@ -233,12 +253,12 @@ def surrogate(key: str, kind: Column, value: Column, gender: Column, attempt: Co
         prefix = F.length(F.regexp_extract(value, r"^(?:AKIA|ASIA|ghp_|sk-|sk_live_|xox[bp]-)", 0))
         return (
             F.when(kind == "email", email)
-            .when(kind == "ip", ip_surrogate(value, numbers))
-            .when(kind == "phone", remapped(value, numbers, code, no))
-            .when(kind == "key", remapped(value, numbers, prefix, no))
-            .when(kind == "iban", remapped(value, numbers, F.lit(2), no))
+            .when(kind == "ip", ip_surrogate(value, numbers, attempt))
+            .when(kind == "phone", F.concat(remapped(value, numbers, code, no), more))
+            .when(kind == "key", F.concat(remapped(value, numbers, prefix, no), more))
+            .when(kind == "iban", F.concat(remapped(value, numbers, F.lit(2), no), more))
             .when(kind == "person", person_surrogate(value, gender, draw, attempt))
-            .otherwise(remapped(value, numbers, F.lit(0), hexadecimal))
+            .otherwise(F.concat(remapped(value, numbers, F.lit(0), hexadecimal), more))
         )
 
     return let(draw(kind, canonical(kind, value)), by_form)
@@ -270,7 +290,7 @@ def settle(spark: SparkSession, entities: DataFrame, key: str, max_rounds: int =
         table = table.join(taken, ["kind", "made"], "left").select(
             "kind", "canon", "gender", (F.col("attempt") + again.cast("int")).alias("attempt")
         )
-    raise RuntimeError(f"surrogates still collide after {max_rounds} rounds; the key space is too small")
+    raise RuntimeError(f"surrogates still collide after {max_rounds} rounds, although forms grow with each")
 
 
 def hot_entities(entities: DataFrame, n_uses: int) -> DataFrame:
