@@ -227,6 +227,17 @@ def test_html(spark):
     assert out.loc[1, "n_chars"] == len(out.loc[1, "text"])
 
 
+def test_html_names_are_one_vote():
+    own, rest = "own words of the page " * 5, "<div class='comments'>no</div><ul class='site-footer'><li>no</ul>"
+    for start in ("div class='layout has-sidebar'", "main class='page no-sidebar'", "article class='post comments category-legal'",
+                  "div id='header-and-content'", "div class='widget'"):
+        page = f"<body><{start}><p>{own}</p>{rest}</{start.split()[0]}>"
+        assert [b[2] for b in html_extract.read_blocks(page)] == [own.strip()], start
+    for raw in ("button", "select", "svg", "object", "math", "noscript"):
+        page = f"<body><div><p>one</p><{raw}>no</div><p>two<{raw}><p>no</p>no</{raw}> three</p>"
+        assert " ".join(b[2] for b in html_extract.read_blocks(page)) == "one two three", raw
+
+
 def test_packing_invariants(spark):
     d = corpus(spark).select("doc_id", "text", "lang", "source", "n_chars")
     out = packing.pack(spark, d.union(d.limit(20)), capacity=300, shard_rows=100).toPandas()

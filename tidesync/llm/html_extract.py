@@ -5,9 +5,10 @@ names and class names from the body down). The pages of a host are merged: one a
 pages counts, for each host and place, how often each content occurs. The importance of a place is
 the entropy of its contents over the host's pages, divided by its maximum: 1 if every page has
 content of its own there, 0 if all pages repeat the same (menus, notices, legal lines). Presentation
-counts too: elements and class names that stand for navigation, headers, footers, sidebars, adverts,
-forms, notices and reader comments have no importance whatever they contain, and where a page marks its
-article, places outside it have none. Branches of low importance are removed; the rest is the text.
+counts too: elements that stand for navigation, headers, footers, sidebars and forms have no importance
+whatever they contain. A class or id, taken whole, that stands for such a part, for adverts, notices or
+reader comments removes a branch with up to half of the page's text, never an article or main element.
+Where a page marks its article, places outside it have no importance. Branches of low importance are removed; the rest is the text.
 
 Entropy speaks only where a host has at least ``MIN_PAGES`` pages and the place is outside a marked
 article, so copies of one article on many pages stay whole.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +42,8 @@ LOW_IMPORTANCE = 0.3
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas".split())
+TO_THE_END = frozenset("script style".split())  # unclosed, they hold the rest of the page
+PLAIN = frozenset("textarea title iframe".split())  # hold text only
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -52,6 +56,12 @@ SKIPPED_NAMES = frozenset(
     "subscribe signup login comment comments disqus replies respond share sharing social related recommended widget toolbar "
     "pagination pager copyright legal disclaimer".split()
 )
+#: Words that may stand beside a skipped one in a compound name, such as site-footer.
+BESIDE_NAMES = frozenset(
+    "site page main top bottom left right global primary secondary area section list box bar block wrapper container inner "
+    "links buttons posts".split()
+)
+MOST = 0.5  # share of a page's text that makes a branch more than its name
 ARTICLE = frozenset(("article", "main"))
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
@@ -71,16 +81,26 @@ def unimportant(tag: str, attributes: dict[str, str]) -> bool:
     """Whether the presentation of an element tells that it holds no main text."""
     if tag in SKIPPED or attributes.get("role", "").lower() in SKIPPED_ROLES:
         return True
-    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return tag not in ("html", "body") and not SKIPPED_NAMES.isdisjoint(_NAMES.findall(named))
+    return "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or id of an element, taken whole, speaks against it; articles, html and body are exempt."""
+    if tag in ARTICLE or tag in ("html", "body"):
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = set(_NAMES.findall(name))
+        if parts & SKIPPED_NAMES and parts <= SKIPPED_NAMES | BESIDE_NAMES:
+            return True
+    return False
 
 
 def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
     """Blocks of a page in order: (place in the style tree, inside a marked article, text)."""
     blocks: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, unimportant, in article
+    branches: list[frozenset[int]] = []  # of each block: its branches whose name speaks against them
+    n_branches = 0
+    stack: list[tuple[str, str, bool, bool, frozenset[int], bool]] = []  # tag, label, unimportant, in article, branches, muted
     text: list[str] = []
 
     def flush() -> None:
@@ -89,11 +109,12 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
         if joined:
             low = bool(stack) and stack[-1][2]
             if not low:
-                place = "/".join(s[1] for s in stack if s[0] not in INLINE)
+                place = "/".join(s[1] for s in stack if s[0] not in INLINE and not s[5])
                 blocks.append((place, bool(stack) and stack[-1][3], joined))
+                branches.append(stack[-1][4] if stack else frozenset())
 
     def close_to(depth: int) -> None:
-        if any(s[0] not in INLINE for s in stack[depth:]):
+        if any(s[0] not in INLINE and not s[5] for s in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -107,7 +128,8 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
     source, at = page or "", 0
     while at < len(source):
         found = _MARKUP.search(source, at)
-        text.append(entities.unescape(source[at : found.start() if found else len(source)]))
+        if not (stack and stack[-1][5]):
+            text.append(entities.unescape(source[at : found.start() if found else len(source)]))
         if not found:
             break
         at = found.end()
@@ -119,29 +141,46 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
             if depth is not None:
                 close_to(depth)
             continue
+        muted = bool(stack) and stack[-1][5]
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = at if found[0].endswith("/>") else end.end() if end else len(source)
+            if found[0].endswith("/>"):
+                continue
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at) if tag in TO_THE_END or tag in PLAIN else None
+            if end or tag in TO_THE_END:
+                at = end.end() if end else len(source)
+                continue
+            above = stack[-1] if stack else ("", "", False, False, frozenset(), False)
+            stack.append((tag, tag, *above[2:5], True))  # without an end tag it ends with its parent
             continue
-        if tag == "br":
+        if tag == "br" and not muted:
             text.append(" ")
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not muted:
                 flush()
             continue
         attributes = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(found[3])}
-        if tag not in INLINE:
+        if tag not in INLINE and not muted:
             flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and not muted:
             close_open({"p"}, {"table", "td", "th", "button", "object"})
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and not muted:
             close_open(SIBLINGS[tag], SCOPES[tag])
         low = (stack[-1][2] if stack else False) or unimportant(tag, attributes)
         inside = (stack[-1][3] if stack else False) or tag in ARTICLE
         label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())])
+        against = stack[-1][4] if stack else frozenset()
+        if named(tag, attributes):
+            n_branches += 1
+            against |= {n_branches}
         if not found[0].endswith("/>"):
-            stack.append((tag, label, low, inside))
+            muted = bool(stack) and stack[-1][5]
+            stack.append((tag, label, low, inside, against, muted))
     flush()
+    held: Counter[int] = Counter()
+    for block, against in zip(blocks, branches):
+        held.update(dict.fromkeys(against, len(block[2])))
+    most = MOST * sum(len(b[2]) for b in blocks)
+    blocks = [b for b, against in zip(blocks, branches) if all(held[i] > most for i in against)]
     if any(b[1] for b in blocks):
         blocks = [b for b in blocks if b[1]]
     return blocks
