@@ -238,6 +238,15 @@ def test_html_names_are_one_vote():
         assert " ".join(b[2] for b in html_extract.read_blocks(page)) == "one two three", raw
 
 
+def test_html_fixed_lists_are_low(spark):
+    """Six equal items on each page of a small host go, with or without own text at their place; copies of one page stay."""
+    items = "".join(f"<div><i>item {k}</i></div>" for k in range(6))
+    rows = [(i, f"http://k/{i}", f"{items}<section><p>same note</p><p>own {i}</p></section>", "") for i in range(10)]
+    rows += [(i, f"http://copies/{i}", f"<p>one text</p><p>on all pages</p>", "") for i in range(10, 30)]
+    out = html_extract.main_text(spark, spark.createDataFrame(rows, PAGES)).toPandas().set_index("page_id")["text"]
+    assert out.to_dict() == {**{i: f"own {i}" for i in range(10)}, **{i: "one text on all pages" for i in range(10, 30)}}
+
+
 def test_packing_invariants(spark):
     d = corpus(spark).select("doc_id", "text", "lang", "source", "n_chars")
     out = packing.pack(spark, d.union(d.limit(20)), capacity=300, shard_rows=100).toPandas()

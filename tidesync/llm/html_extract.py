@@ -2,9 +2,11 @@
 
 Method: every page is read into blocks, each with its place in the style tree (the chain of element
 names and class names from the body down). The pages of a host are merged: one aggregate over all
-pages counts, for each host and place, how often each content occurs. The importance of a place is
-the entropy of its contents over the host's pages, divided by its maximum: 1 if every page has
-content of its own there, 0 if all pages repeat the same (menus, notices, legal lines). Presentation
+pages counts, for each host and place, the pages that carry each content and each whole list of contents. The
+importance of a place is the entropy of its lists over the host's pages, divided by its maximum: 1 if
+every page has a list of its own there, 0 if all pages repeat the same (menus, notices, legal lines). A
+content that most pages repeat beside others of their own is judged alone, by the share of pages that
+carry it. Presentation
 counts too: elements that stand for navigation, headers, footers, sidebars and forms have no importance
 whatever they contain. A class or id, taken whole, that stands for such a part, for adverts, notices or
 reader comments removes a branch with up to half of the page's text, never an article or main element.
@@ -14,7 +16,7 @@ Entropy speaks only where a host has at least ``MIN_PAGES`` pages and the place
 article, so copies of one article on many pages stay whole.
 
 A host with a third of all pages costs partial counts before the shuffle; what a page needs from its
-host is the short list of its low places, and the join that brings it is a plain one that skew
+host is the short list of its low places and contents, and the join that brings it is a plain one that skew
 handling can split.
 
 Cases: a null or empty html gives an empty text; a null url has an empty host. Markup that is cut off or
@@ -186,33 +188,66 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
     return blocks
 
 
+def digest(*parts: str) -> int:
+    """63-bit digest of texts; a place and a content of that place are named by it."""
+    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 1
+
+
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, place, content) of every block outside a marked article, each once per page."""
+    """Of every page outside marked articles: a row per place, with its list of contents as variant, and per content.
+
+    ``node`` names the place, ``key`` the place or the content, ``version`` the page by its whole text.
+    """
     for rows in batches:
         out = []
         for host, page in zip(rows["host"], rows["html"]):
-            seen = {(place, xxhash.xxh3_64_intdigest(text) >> 1) for place, inside, text in read_blocks(page) if not inside}
-            out += [(host, place, content) for place, content in seen]
-        yield pd.DataFrame(out, columns=["host", "place", "content"]).astype({"content": "int64"})
+            blocks = read_blocks(page)
+            version = digest(*(text for _, _, text in blocks))
+            lists: dict[str, list[str]] = {}
+            for place, inside, text in blocks:
+                if not inside:
+                    lists.setdefault(place, []).append(text)
+            for place, texts in lists.items():
+                node = digest(place)
+                out.append((host, node, node, digest(*texts), version))
+                out += [(host, node, digest(place, text), 0, version) for text in set(texts)]
+        yield pd.DataFrame(out, columns=["host", "node", "key", "variant", "version"]).astype(dict.fromkeys(("node", "key", "variant", "version"), "int64"))
 
 
 def low_places(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, places): the places of a host whose contents repeat over its pages."""
-    contents = pages.select("host", "html").mapInPandas(_contents, "host string, place string, content long")
-    counted = contents.groupBy("host", "place", "content").agg(F.count("*").alias("n"))
-    nodes = counted.groupBy("host", "place").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    entropy = F.log2("m") - F.col("s") / F.col("m")
-    importance = F.when(F.col("m") > 1, entropy / F.log2("m")).otherwise(1.0)
-    low = nodes.filter((F.col("m") >= min_pages) & (importance < threshold))
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    """(host, lows): the places of a host whose lists repeat over its pages, and the contents that do.
+
+    Pages with equal texts count once. Importances are 0 for what every page with the place repeats and 1
+    for what one page has alone, however many contents a page has at the place.
+    """
+    names = ["host", "node", "key", "variant"]
+    rows = pages.select("host", "html").mapInPandas(_contents, "host string, node long, key long, variant long, version long")
+    counted = rows.distinct().groupBy(*names).agg(F.count("*").alias("n"))
+    counted = pinned(spark, counted, "html-counted")
+    nodes = (
+        counted.filter("key = node").groupBy("host", "node")
+        .agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s")).filter(F.col("pages") >= max(min_pages, 2))
+    )
+    of_node = (F.log2("pages") - F.col("s") / F.col("pages")) / F.log2("pages")
+    of_content = (F.log2("pages") - F.log2("n")) / F.log2("pages")
+    contents = counted.filter("key != node AND n > 1").join(nodes, ["host", "node"])
+    both = nodes.select("host", F.col("node").alias("key"), of_node.alias("importance")).union(
+        contents.select("host", "key", of_content.alias("importance"))
+    )
+    low = both.filter(F.col("importance") < threshold)
+    return low.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", "importance"))).alias("lows"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         texts = []
-        for page, places in zip(rows["html"], rows["places"]):
-            low = set() if places is None else set(places)
-            texts.append(" ".join(text for place, inside, text in read_blocks(page) if inside or place not in low))
+        for page, lows in zip(rows["html"], rows["lows"]):
+            low = {} if lows is None else {r["key"]: r["importance"] for r in lows}
+            kept = (
+                text for place, inside, text in read_blocks(page)
+                if inside or not low or (digest(place) not in low and digest(place, text) not in low)
+            )
+            texts.append(" ".join(kept))
         yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -220,5 +255,5 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), url_host(F.col("url")).alias("host"))
     low = pinned(spark, low_places(spark, rows), "html-low").withColumnRenamed("host", "__host")
-    joined = rows.join(low, rows["host"] == low["__host"], "left").select("page_id", "url", "html", "places")
+    joined = rows.join(low, rows["host"] == low["__host"], "left").select("page_id", "url", "html", "lows")
     return joined.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
