@@ -247,6 +247,16 @@ def test_html_fixed_lists_are_low(spark):
     assert out.to_dict() == {**{i: f"own {i}" for i in range(10)}, **{i: "one text on all pages" for i in range(10, 30)}}
 
 
+def test_html_places_inside_articles(spark):
+    """Repeated lines inside an article go, and a teaser article does not replace the text in a plain element."""
+    own = "words of page {0} in a long line of its own, {0} " * 3
+    rows = [(i, f"http://k/{i}", f"<main><ul><li>share this</ul><p>{own.format(i)}</p><p>licence line</p></main>", "") for i in range(10)]
+    rows += [(10, "http://t/", f"<div><p>{own.format(10)}</p></div><section><article>teaser</article></section>", "")]
+    out = html_extract.main_text(spark, spark.createDataFrame(rows, PAGES)).toPandas().set_index("page_id")["text"]
+    want = {i: own.format(i).strip() for i in range(10)}
+    assert out.to_dict() == {**want, 10: own.format(10).strip() + " teaser"}
+
+
 def test_packing_invariants(spark):
     d = corpus(spark).select("doc_id", "text", "lang", "source", "n_chars")
     out = packing.pack(spark, d.union(d.limit(20)), capacity=300, shard_rows=100).toPandas()

@@ -10,10 +10,11 @@ carry it. Presentation
 counts too: elements that stand for navigation, headers, footers, sidebars and forms have no importance
 whatever they contain. A class or id, taken whole, that stands for such a part, for adverts, notices or
 reader comments removes a branch with up to half of the page's text, never an article or main element.
-Where a page marks its article, places outside it have no importance. Branches of low importance are removed; the rest is the text.
+Marked articles weigh by their share of the page's text: importances inside
+them are raised by it, those outside lowered, so a teaser decides nothing and a whole article much.
 
-Entropy speaks only where a host has at least ``MIN_PAGES`` pages and the place is outside a marked
-article, so copies of one article on many pages stay whole.
+Entropy speaks only where a host has at least ``MIN_PAGES`` pages with the place. Pages with equal texts
+count once, so copies of one page stay whole.
 
 A host with a third of all pages costs partial counts before the shuffle; what a page needs from its
 host is the short list of its low places and contents, and the join that brings it is a plain one that skew
@@ -183,8 +184,6 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
         held.update(dict.fromkeys(against, len(block[2])))
     most = MOST * sum(len(b[2]) for b in blocks)
     blocks = [b for b, against in zip(blocks, branches) if all(held[i] > most for i in against)]
-    if any(b[1] for b in blocks):
-        blocks = [b for b in blocks if b[1]]
     return blocks
 
 
@@ -194,7 +193,7 @@ def digest(*parts: str) -> int:
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of every page outside marked articles: a row per place, with its list of contents as variant, and per content.
+    """Of every page: a row per place, with its list of contents as variant, and per content.
 
     ``node`` names the place, ``key`` the place or the content, ``version`` the page by its whole text.
     """
@@ -204,9 +203,8 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             blocks = read_blocks(page)
             version = digest(*(text for _, _, text in blocks))
             lists: dict[str, list[str]] = {}
-            for place, inside, text in blocks:
-                if not inside:
-                    lists.setdefault(place, []).append(text)
+            for place, _, text in blocks:
+                lists.setdefault(place, []).append(text)
             for place, texts in lists.items():
                 node = digest(place)
                 out.append((host, node, node, digest(*texts), version))
@@ -243,10 +241,13 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for page, lows in zip(rows["html"], rows["lows"]):
             low = {} if lows is None else {r["key"]: r["importance"] for r in lows}
-            kept = (
-                text for place, inside, text in read_blocks(page)
-                if inside or not low or (digest(place) not in low and digest(place, text) not in low)
-            )
+            blocks = read_blocks(page)
+            marked = sum(len(b[2]) for b in blocks if b[1]) / max(sum(len(b[2]) for b in blocks), 1)
+            kept = []
+            for place, inside, text in blocks:
+                importance = min(low.get(digest(place), 1.0), low.get(digest(place, text), 1.0)) if low else 1.0
+                if importance * (1 + marked if inside else 1 - marked) >= LOW_IMPORTANCE:
+                    kept.append(text)
             texts.append(" ".join(kept))
         yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
