@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidesync.llm import (
+    divergence,
     exact_dedup,
     html_extract,
     mixing,
@@ -14,6 +15,8 @@ from tidesync.llm import (
     packing,
     pii,
     quality,
+    simhash,
+    spelling,
     substring_dedup,
     toxicity,
     url_filter,
@@ -63,11 +66,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spark, table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_html_extract, op3_mixing, op4_exact_dedup, op5_substring_dedup,
         op6_toxicity, op7_quality, op8_url_filter, op9_packing, op10_pii,
+        op11_simhash, op12_spelling, op13_divergence,
     )
 }
 
@@ -75,4 +91,6 @@ ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_quality": quality.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
+    "op12_spelling": spelling.oracle_sql(),
+    "op13_divergence": divergence.ORACLE_SQL,
 }
