@@ -252,10 +252,10 @@ def test_divergence_equals_brute_force(spark, monkeypatch, spill, slice_size):
     want = slow_divergence(rows)
     folded = divergence._folded
     if spill == 50:
-        batches = [docs_of(spark, rows).select("text", "lang", "source").na.fill("").toPandas()]
+        whole = docs_of(spark, rows).select("text", "lang", "source").na.fill("").toArrow()
         monkeypatch.setattr(divergence, "SPILL_CELLS", spill)
-        parts = list(folded(iter(batches[0].iloc[i : i + 5] for i in range(0, len(rows), 5))))
-        assert len(parts) > 1 and max(map(len, parts)) < 50 + 5 * 45          # a document at most beyond the bound
+        parts = list(folded(iter(whole.to_batches(max_chunksize=5))))
+        assert max(p.num_rows for p in parts) < 50 + 40                       # a document at most beyond the bound
     monkeypatch.setattr(divergence, "SLICE", slice_size)
     got = {tuple(r) for r in divergence.source_divergence(spark, docs_of(spark, rows)).collect()}
     assert got == want

@@ -3,7 +3,7 @@
 Method:
 
 1. Each task folds its whole documents into hash stripes: per language and term the number of
-   documents and the occurrences by source. A full table is spilled (its rows are handed on and the table
+   documents and the occurrences by source, kept as tables from term to number. A full table is spilled (its rows are handed on and the table
    is emptied), so a task's memory is bounded.
 2. Spilled stripes are summed by language, term and source (partial sums, so a common term costs each
    task as many rows as there are sources) and put together to one merged stripe per term. Terms in
@@ -25,11 +25,13 @@ gives an empty result. Only ``text``, ``lang`` and ``source`` are read, so furth
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,67 +47,68 @@ SPILL_CELLS = 200_000
 #: Terms compared at once within a slice.
 BLOCK = 64
 
+CELLS = "lang string, term string, source string, n long, df long"
+
 #: A-Z become a-z, letters and all octets of other scripts stay, the rest of ASCII is white space.
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-Stripe = dict[str, dict[bytes, list]]
-
 
 def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-def _spilled(stripes: Stripe) -> pd.DataFrame:
-    """Rows of a table of stripes; the number of documents is the row without a source."""
-    lang, term, source, n = [], [], [], []
-    for code, by_term in stripes.items():
-        for t, (df, by_source) in by_term.items():
-            lang.extend([code] * (len(by_source) + 1))
-            term.extend([t.decode("utf-8", "surrogatepass")] * (len(by_source) + 1))
-            source.append(None)
-            source.extend(by_source)
-            n.append(df)
-            n.extend(by_source.values())
-    return pd.DataFrame({"lang": lang, "term": term, "source": source, "n": np.array(n, np.int64)})
+class _Stripes:
+    """Stripes of one language: a term's number of documents and, by source, its occurrences.
+
+    The two parts are kept as tables from term to number, one of documents and one per source, because
+    Python then counts a document's words in one call.
+    """
+
+    def __init__(self) -> None:
+        self.docs: Counter[bytes] = Counter()
+        self.by_source: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
 
+    def fold(self, source: str, words: list[bytes]) -> int:
+        """Adds a document; returns the new cells."""
+        counts = self.by_source[source]
+        before = len(counts)
+        counts.update(words)
+        self.docs.update(set(words))
+        return len(counts) - before
 
-def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    stripes: Stripe = {}
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The cells by source; the first of a term's cells carries its number of documents."""
+        for source, counts in self.by_source.items():
+            found = list(counts)
+            docs = list(map(self.docs.pop, found, repeat(0)))
+            texts = [pa.array(x, pa.string()) for x in ([lang] * len(found), found, [source] * len(found))]
+            numbers = [pa.array(x, pa.int64()) for x in (list(counts.values()), docs)]
+            yield pa.record_batch(texts + numbers, names=["lang", "term", "source", "n", "df"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stripes: defaultdict[str, _Stripes] = defaultdict(_Stripes)
     cells = 0
-    for rows in batches:
-        for text, lang, source in zip(rows["text"], rows["lang"], rows["source"]):
-            by_term = stripes.setdefault(lang, {})
-            for t, k in Counter(terms(text)).items():
-                stripe = by_term.get(t)
-                if stripe is None:
-                    by_term[t] = [1, {source: k}]
-                    cells += 2
-                    continue
-                stripe[0] += 1
-                by_source = stripe[1]
-                if source in by_source:
-                    by_source[source] += k
-                else:
-                    by_source[source] = k
-                    cells += 1
+    for batch in batches:
+        for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
+            cells += stripes[lang].fold(source, terms(text))
             if cells >= SPILL_CELLS:
-                yield _spilled(stripes)
-                stripes, cells = {}, 0
-    if cells:
-        yield _spilled(stripes)
+                for code, of in stripes.items():
+                    yield from of.rows(code)
+                stripes.clear()
+                cells = 0
+    for code, of in stripes.items():
+        yield from of.rows(code)
 
 
 def merged_stripes(docs: DataFrame) -> DataFrame:
     """(lang, term, sources, counts): one stripe per kept term of a language."""
     read = docs.select(text_of().alias("text"), text_of("lang").alias("lang"), text_of("source").alias("source"))
-    cells = read.mapInPandas(_folded, "lang string, term string, source string, n long")
-    cells = cells.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    stripes = cells.groupBy("lang", "term").agg(
-        F.max(F.when(F.col("source").isNull(), F.col("n"))).alias("df"),
-        F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))).alias("cells"),
-    )
+    cells = read.mapInArrow(_folded, CELLS)
+    cells = cells.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    stripes = cells.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return stripes.filter(F.col("df") >= LEAST_DOCS).select(
         "lang", "term", F.col("cells.source").alias("sources"), F.col("cells.n").alias("counts")
     )
@@ -149,8 +152,9 @@ def _divergences(key: tuple, stripes: pd.DataFrame, totals: pd.DataFrame) -> pd.
     ]
     for a, found in enumerate(tops):
         out.extend(("term", sources[a], names[i], -value) for value, _, i in sorted(found)[:TOP])
-    part, source, item, value = zip(*out) if out else ([], [], [], [])
-    return pd.DataFrame({"lang": lang, "part": part, "source": source, "item": item, "value": value}, index=range(len(out)))
+    frame = pd.DataFrame(out, columns=["part", "source", "item", "value"]).astype({"value": np.int64})
+    frame.insert(0, "lang", pd.Series(lang, frame.index, object))
+    return frame
 
 
 def source_divergence(spark: SparkSession, docs: DataFrame) -> DataFrame:
