@@ -190,6 +190,16 @@ def _count_sql(table: str, key: tuple[str, ...], name: str) -> str:
             f"FROM (SELECT {k}, count(*) AS n, bool_or({null_key}) AS nk FROM {src} GROUP BY {k}) g")
 
 
+def _synced_count(table: str) -> str:
+    """Rows and key sum of a table after the deletes and inserts of ``fixtures.key_changes``."""
+    k = TPCH_KEYS[table][0]
+    src = ("(SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem)" if table == "partsupp"
+           else f"(SELECT DISTINCT {', '.join(TPCH_KEYS[table])} FROM {table})")
+    return (f"SELECT '{table}' AS table_name, count(*) AS n_rows, CAST(COALESCE(sum(k), 0) AS BIGINT) AS key_sum FROM ("
+            f"SELECT {k} AS k FROM {src} s WHERE {k} % 10 != 3 UNION ALL "
+            f"SELECT {k} + (SELECT max({k}) + 1 FROM {src} m) AS k FROM {src} s WHERE {k} % 10 = 0) x")
+
+
 def _patched_state() -> str:
     return _with(PATCHES, f"""
 SELECT t.o_orderkey, {", ".join(f"COALESCE(p.{c}, t.{c}) AS {c}" for c in VALUE_COLS)}
@@ -305,4 +315,19 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
         "sync_final_state": _with(MERGED, "SELECT * FROM merged"),
         "sync_final_state_buckets": _with(MERGED, "SELECT * FROM merged"),
         "sync_two_checkpoints": _with(MERGED, "SELECT * FROM merged"),
+        "sync_final_state_log": _with(MERGED, "SELECT * FROM merged"),
+        "backfill_with_changes": _with(MERGED, "SELECT * FROM merged"),
+        "snapshot_changes": _with(MERGED, f"""
+SELECT {_cols("m.")}, CASE WHEN t.o_orderkey IS NULL THEN 'I' ELSE 'U' END AS change
+FROM (SELECT * FROM merged WHERE o_orderkey % 70 != 0) m LEFT JOIN lake t ON t.o_orderkey = m.o_orderkey
+WHERE t.o_orderkey IS NULL OR {" OR ".join(f"t.{c} IS DISTINCT FROM m.{c}" for c in VALUE_COLS)}
+UNION ALL
+SELECT o_orderkey, {", ".join(f"NULL AS {c}" for c in VALUE_COLS)}, 'D' AS change FROM lake WHERE o_orderkey % 70 = 0"""),
+        "sync_row_counts": "\nUNION ALL\n".join(_synced_count(t) for t in CLONE_TABLES),
+        "page_synced_customers": f"""
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (
+  SELECT * FROM customer WHERE c_custkey % 10 != 3
+  UNION ALL
+  SELECT * REPLACE (c_custkey + (SELECT max(c_custkey) + 1 FROM customer) AS c_custkey) FROM customer WHERE c_custkey % 10 = 0
+) c ORDER BY c_custkey LIMIT {Q.CUSTOMER_LIMIT} OFFSET {Q.CUSTOMER_OFFSET}""",
     }

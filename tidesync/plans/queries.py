@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tidesync.contracts import CLONE_TABLES, CUSTOMER_VIEW_COLUMNS, ORDER_CREATE_REQUIRED, ORDERS, TPCH_KEYS
 from tidesync.functions.values import with_defaults
-from tidesync.operators import changes, checks, query
+from tidesync.operators import changes, checks, diff, query
 from tidesync.operators.keys import KeyJoin
 from tidesync.operators.load import typed
-from tidesync.plans import bucketed, clone, forward, publish
+from tidesync.plans import bucketed, changelog, clone, forward, publish
 from tidesync.session import scratch_path
 from tidesync.sources import fixtures, ingest, tables
 from tidesync.streaming import sync
@@ -36,6 +36,7 @@ KEYSET_AFTER = 149
 DEEP_OFFSET, DEEP_MAX_REST = 12_345, 1_000
 SEED_SIZE = 100
 BUCKETS = 16
+RANGES = 8
 
 
 def _lake(spark, d):
@@ -356,6 +357,12 @@ def sync_final_state_buckets(spark, d):
     return _sync(spark, d, "buckets")
 
 
+def sync_final_state_log(spark, d):
+    """The same sync into a copy in change-file layout: each micro-batch appends what it holds, ranges with
+    three change folders are compacted, and the rest is merged at read."""
+    return _sync(spark, d, "log")
+
+
 def _sync(spark, d, layout: str):
     root = scratch_path(spark, "sync")
     feed = f"{root}/feed"
@@ -368,11 +375,11 @@ def _sync(spark, d, layout: str):
     name = "tidesync_sync_" + root.rsplit("-", 1)[-1]
     schema = spark.read.parquet(feed).schema
     q = sync.sync_files(spark, feed, schema, name, f"{root}/table", KEY, f"{root}/checkpoint",
-                        max_files_per_trigger=1, layout=layout, buckets=BUCKETS)
+                        max_files_per_trigger=1, layout=layout, buckets=BUCKETS, ranges=RANGES, compact_parts=3)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return sync.live_rows(spark.table(name))
+    return sync.read_log(spark, f"{root}/table") if layout == "log" else sync.live_rows(spark.table(name))
 
 
 def sync_two_checkpoints(spark, d):
@@ -396,6 +403,72 @@ def sync_two_checkpoints(spark, d):
     return sync.live_rows(spark.table(name))
 
 
+def snapshot_changes(spark, d):
+    """Changes between the lake orders and the merged state without every 70th key: digests of key ranges
+    first, rows of the differing ranges then."""
+    i = _Inputs(spark, d)
+    after = changes.merge(i.lake, i.staging, KEY).result.where(F.col("o_orderkey") % 70 != 0)
+    return diff.snapshot_changes(i.lake, publish.materialize(after, scratch_path(spark, "after")), KEY, ranges=RANGES)
+
+
+def backfill_with_changes(spark, d):
+    """Backfill of the lake orders in key-range chunks while change batches arrive; the run is given up
+    after three chunks and resumed by another one. Returns the live rows of the copy."""
+    root = scratch_path(spark, "backfill")
+    i = _Inputs(spark, d)
+    parts = fixtures.change_feed_parts(i.staging, 4)
+
+    def feed(n: int, batch_id: int) -> None:
+        latest = parts[n].withColumn("op", F.lit(None).cast("string"))
+        changelog.ChangeLog.open(spark, root).append(latest, changelog.measure(latest), batch_id)
+
+    log = changelog.start_backfill(spark, root, i.lake, KEY, RANGES)
+    feed(1, 0)
+    # the source is the lake as it was before the feed, so every change stays above the chunks' mark
+    changelog.run_backfill(log, lambda: i.lake, lambda: 0, max_chunks=3)
+    feed(2, 1)
+    feed(0, 2)
+    resumed = changelog.start_backfill(spark, root, i.lake, KEY, RANGES)
+    changelog.run_backfill(resumed, lambda: i.lake, lambda: 0)
+    feed(3, 3)
+    log = changelog.ChangeLog.open(spark, root)
+    log.compact(ranges=[0, 1])
+    return sync.read_log(spark, root)
+
+
+def sync_row_counts(spark, d):
+    """All eight tables synced by their own keys (composite ones too): a snapshot and a batch of deletes and
+    inserts each, published as two cuts; the older cut is left as it was. Rows and key sums by table."""
+    root = scratch_path(spark, "group")
+    lake = tables.tpch_tables(spark, d, CLONE_TABLES)
+    backfill = {n: t.withColumns({"seq": F.lit(0).cast("long"), "op": F.lit(None).cast("string")}) for n, t in lake.items()}
+    changelog.apply_to_group(spark, root, backfill, TPCH_KEYS, 0)
+    batches = {n: fixtures.key_changes(t, TPCH_KEYS[n]) for n, t in lake.items()}
+    changelog.apply_to_group(spark, root, batches, TPCH_KEYS, 1)
+    changelog.apply_to_group(spark, root, batches, TPCH_KEYS, 1)               # replay: nothing is applied twice
+    counted = []
+    for n, log in sorted(changelog.open_group(spark, root).items()):
+        live = sync.live_rows(log.read())
+        counted.append(live.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(TPCH_KEYS[n][0]), F.lit(0)).cast("long").alias("key_sum"))
+                       .select(F.lit(n).alias("table_name"), "n_rows", "key_sum"))
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def page_synced_customers(spark, d):
+    """A page of customers from the synced copy, not from the lake: snapshot, then changes by key."""
+    root = scratch_path(spark, "customers")
+    cust = tables.read_table(spark, d, "customer")
+    first = cust.withColumns({"seq": F.lit(0).cast("long"), "op": F.lit(None).cast("string")})
+    key = TPCH_KEYS["customer"]
+    log = changelog.create_from(spark, root, first, key, RANGES)
+    batch = fixtures.key_changes(cust, key)
+    log.append(batch, changelog.measure(batch))
+    return query.page(sync.read_log(spark, root), "c_custkey", CUSTOMER_VIEW_COLUMNS, CUSTOMER_LIMIT, CUSTOMER_OFFSET)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_clone": snapshot_clone,
     "clone_row_counts": clone_row_counts,
@@ -446,4 +519,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sync_final_state": sync_final_state,
     "sync_final_state_buckets": sync_final_state_buckets,
     "sync_two_checkpoints": sync_two_checkpoints,
+    "sync_final_state_log": sync_final_state_log,
+    "snapshot_changes": snapshot_changes,
+    "backfill_with_changes": backfill_with_changes,
+    "sync_row_counts": sync_row_counts,
+    "page_synced_customers": page_synced_customers,
 }

@@ -139,6 +139,17 @@ def staging_with_bad_rows(staged: DataFrame) -> DataFrame:
     return staged.unionByName(no_key).unionByName(long_text)
 
 
+def key_changes(df: DataFrame, key) -> DataFrame:
+    """Changes of any table by its first key column: rows with key = 3 mod 10 are deleted, rows with key = 0
+    mod 10 are copied to new keys (shifted by the largest key + 1); seq 1."""
+    k = F.col(key[0])
+    span = df.agg((F.max(key[0]) + 1).alias("span")).first()["span"] or 1
+    deleted = df.where(k % 10 == 3).withColumn("op", F.lit("D"))
+    shifted = (k + F.lit(span)).cast(df.schema[key[0]].dataType)
+    added = df.where(k % 10 == 0).withColumn(key[0], shifted).withColumn("op", F.lit(None).cast("string"))
+    return deleted.unionByName(added).withColumn("seq", F.lit(1).cast("long"))
+
+
 def change_feed_parts(staged: DataFrame, n_parts: int = 4) -> list[DataFrame]:
     """The staging split into ``n_parts`` change files by key; part i carries ``seq = i + 1``.
     Part 0 additionally re-sends every 7th key of the later parts with a stale price, which the

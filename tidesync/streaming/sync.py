@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidesync.operators.changes import merge
 from tidesync.operators.dedupe import latest_per_key
 from tidesync.operators.sizing import Size, measure
-from tidesync.plans import bucketed
+from tidesync.plans import bucketed, changelog
 from tidesync.plans.publish import publish_swap, table_location
 
 DELETE_OP = "D"
@@ -55,7 +55,8 @@ def live_rows(copy: DataFrame, seq_col: str = "seq", op_col: str = "op") -> Data
 
 def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col: str = "seq",
                       op_col: str = "op", layout: str = "swap", buckets: int = 64,
-                      checkpoint: str | None = None, reader: SparkSession | None = None):
+                      checkpoint: str | None = None, reader: SparkSession | None = None,
+                      ranges: int | None = None, compact_parts: int = changelog.COMPACT_PARTS):
     """The ``foreachBatch`` function of the sync.
 
     ``checkpoint`` is the folder of the streaming query, whose id tells its replays from the batches
@@ -63,12 +64,17 @@ def sync_batch_writer(target_table: str, root: str, key: Sequence[str], seq_col:
 
     ``layout="swap"`` rewrites the copy per batch and swaps the table location (a snapshot per
     batch); ``layout="buckets"`` keeps the copy partitioned by key bucket and rewrites only the
-    buckets the batch touches (``tidesync.plans.bucketed``), the layout for large copies.
+    buckets the batch touches (``tidesync.plans.bucketed``); ``layout="log"`` appends the batch as change
+    files and compacts key ranges that have gathered enough of them (``tidesync.plans.changelog``): what a
+    batch writes follows the batch, not the copy. A log copy has no catalog table; it is read with
+    ``read_log``.
     """
+    if layout == "log":
+        return _log_writer(root, key, seq_col, op_col, checkpoint, ranges, compact_parts)
     if layout == "buckets":
         return _bucketed_writer(target_table, root, key, seq_col, op_col, buckets, checkpoint, reader)
     if layout != "swap":
-        raise ValueError(f"layout must be 'swap' or 'buckets', not {layout!r}")
+        raise ValueError(f"layout must be 'swap', 'buckets' or 'log', not {layout!r}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -152,9 +158,43 @@ def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col:
     return write
 
 
+def _log_writer(root: str, key: Sequence[str], seq_col: str, op_col: str, checkpoint: str | None, ranges: int | None,
+                compact_parts: int):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = query_id(spark, checkpoint)
+        log = changelog.ChangeLog.open(spark, root) if changelog.ChangeLog.exists(spark, root) else None
+        if log is not None and log.is_replay(batch_id, stream):
+            return
+        if op_col not in batch.columns:
+            batch = batch.withColumn(op_col, F.lit(None).cast("string"))
+        cols = log.schema.names if log is not None else batch.columns
+        latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            size = measure(latest)
+            if size.rows == 0:
+                return
+            if log is None:
+                changelog.create_from(spark, root, latest, key, ranges, seq_col, op_col, batch_id, stream)
+                return
+            log.append(latest, size, batch_id, stream)
+            log.compact_due(compact_parts)
+        finally:
+            latest.unpersist()
+
+    return write
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """The live rows of a copy in the ``log`` layout."""
+    log = changelog.ChangeLog.open(spark, root)
+    return live_rows(log.read(), log.state["seq"], log.state["op"])
+
+
 def sync_table(feed: DataFrame, target_table: str, root: str, key: Sequence[str], checkpoint: str,
                seq_col: str = "seq", op_col: str = "op", trigger: dict | None = None,
-               query_name: str | None = None, layout: str = "swap", buckets: int = 64) -> StreamingQuery:
+               query_name: str | None = None, layout: str = "swap", buckets: int = 64, ranges: int | None = None,
+               compact_parts: int = changelog.COMPACT_PARTS) -> StreamingQuery:
     """Start the sync of the streaming DataFrame ``feed`` into ``target_table``.
 
     ``trigger`` is passed to ``DataStreamWriter.trigger``; the default processes what is
@@ -163,7 +203,7 @@ def sync_table(feed: DataFrame, target_table: str, root: str, key: Sequence[str]
     """
     writer = (feed.writeStream
               .foreachBatch(sync_batch_writer(target_table, root, key, seq_col, op_col, layout, buckets,
-                                              checkpoint, feed.sparkSession))
+                                              checkpoint, feed.sparkSession, ranges, compact_parts))
               .option("checkpointLocation", checkpoint)
               .trigger(**(trigger or {"availableNow": True})))
     if query_name:
