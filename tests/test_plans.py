@@ -157,10 +157,10 @@ def test_bucketed_write_splits_a_hot_bucket(spark):
     old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 * 1024))
     try:
-        bucketed._write_buckets(df, ["k"], 8, 8, None, path)
+        bucketed._write_buckets(df, ["k"], ["bigint"], 8, 8, None, path)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
-    hot_bucket = df.where("k = 0").select(bucketed.bucket_of(["k"], 8).alias("b")).first()["b"]
+    hot_bucket = df.where("k = 0").select(bucketed.bucket_of(["k"], 8, ["bigint"]).alias("b")).first()["b"]
     files = {b: [f for f in os.listdir(local_path(f"{path}/{bucketed.BUCKET}={b}")) if f.endswith(".parquet")]
              for b in range(8)}
     assert len(files[hot_bucket]) > 1

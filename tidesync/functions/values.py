@@ -24,10 +24,12 @@ def cast_checked(c: Column, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
-def contract_column(df_col: Column, name: str, contract: TableContract, checked: bool = False) -> Column:
+def contract_column(df_col: Column, name: str, contract: TableContract, checked: bool = False,
+                    keep_empty: bool = False) -> Column:
+    """A column under the contract; ``keep_empty``: ``''`` stays (record ingest) and is not made NULL (load)."""
     dtype = contract.type_of(name)
     c = df_col
-    if name in contract.empty_as_null:
+    if name in contract.empty_as_null and not keep_empty:
         c = empty_to_null(c.cast("string"))
     c = cast_checked(c, dtype) if checked else cast_strict(c, dtype)
     return c.alias(name)

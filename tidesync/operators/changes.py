@@ -104,7 +104,8 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
 
     Matched: every source column overwrites the target's (NULL included). Not matched: the source
     row is inserted. Target rows without a source row are kept. Target columns the source lacks
-    keep their value on update and are NULL on insert. These are the defaults; two options differ
+    keep their value on update and are NULL on insert. Target rows that repeat a key are all updated;
+    ``classes`` has their key once. These are the defaults; two options differ
     on purpose:
 
     * ``newer_than=c``: a matched row is updated only when the source's ``c`` is greater than the
@@ -169,13 +170,20 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     src_stamp = [F.col(newer_than).alias("__s_stamp")] if newer_than else []
     tgt_keys = target.select(*key, *([F.col(newer_than).alias("__t_stamp")] if newer_than else []))
     small = strategy == "broadcast"
+
+    def one_per_key(matched: DataFrame) -> DataFrame:
+        """A target that repeats a key gives one match (reduced map-side first), so the matches never
+        outgrow the source, whose size was measured."""
+        stamp = [F.max("__t_stamp").alias("__t_stamp")] if newer_than else []
+        return matched.groupBy(*key).agg(*stamp) if stamp else matched.distinct()
+
     if small:
         joined = watch(target.join(F.broadcast(flagged), key, "left"),
                        {"num_updated_rows": apply,
                         **({"num_deleted_rows": F.col(HIT).isNull()} if delete_missing else {})})
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         updated = kept.select(*[merged_value(c) for c in target.columns])
-        hits = tgt_keys.join(F.broadcast(source.select(*key)), key, "left_semi")   # <= |source| rows
+        hits = one_per_key(tgt_keys.join(F.broadcast(source.select(*key)), key, "left_semi"))   # <= |source| rows
         # One outer join of the source with the matched keys gives both the inserts and the match
         # classes. (An anti join would be pushed through a Union in the source and repeat the
         # key scan of the target once per branch.)
@@ -192,7 +200,7 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
                                 **({"num_deleted_rows": t_here & ~s_here} if delete_missing else {})})
         kept = joined.where(F.col(HIT).isNotNull()) if delete_missing else joined
         result = kept.select(*[merged_value(c) for c in target.columns])
-        hits = tgt_keys.join(source.select(*key), key, "left_semi")
+        hits = one_per_key(tgt_keys.join(source.select(*key), key, "left_semi"))
         src_matched = source.join(hits.withColumn("__t", F.lit(True)), key, "left")
         if pin is not None:
             src_matched = pin(src_matched)
@@ -238,11 +246,18 @@ class InsertResult:
 
 
 def insert_strict(target: DataFrame, batch: DataFrame, key: Sequence[str], *,
-                  stamp: tuple[str, Column] | None = None) -> InsertResult:
+                  stamp: tuple[str, Column] | None = None,
+                  pin: Callable[[DataFrame], DataFrame] | None = None) -> InsertResult:
     """Insert rows whose key is new. A key already in the target, or repeated inside the batch,
     is a conflict and none of its rows is inserted. ``stamp=(column, value)`` sets the insert
-    stamp (the column default of the staging table)."""
+    stamp (the column default of the staging table).
+
+    ``pin`` materialises the judged batch (a row per batch row, flagged; e.g. written to the shared folder
+    and read back), for callers that use more than one output: the batch and the target's keys are then
+    read once, and all outputs agree."""
     key = list(key)
+    if pin is not None:
+        return _insert_pinned(target, batch, key, stamp, pin)
     dups = duplicate_keys(batch, key).select(*key)
     spark = batch.sparkSession
     size = measure(batch.select(*key))
@@ -258,6 +273,20 @@ def insert_strict(target: DataFrame, batch: DataFrame, key: Sequence[str], *,
     return InsertResult(target.unionByName(inserted), inserted, conflicts)
 
 
+def _insert_pinned(target: DataFrame, batch: DataFrame, key: list[str], stamp: tuple[str, Column] | None,
+                   pin: Callable[[DataFrame], DataFrame]) -> InsertResult:
+    spark = batch.sparkSession
+    rows, flag, n = "__row", "__present", "__n"
+    per_key = batch.groupBy(*key).agg(F.count(F.lit(1)).alias(n), F.any_value(F.struct(*batch.columns)).alias(rows))
+    kj = KeyJoin(target, per_key.select(*key), key)
+    judged = pin(per_key.join(hinted(kj.flagged_present(flag).distinct(), kj.small), key, "left"))
+    new = judged.where((F.col(n) == 1) & F.col(flag).isNull()).select(f"{rows}.*")
+    inserted = _align(new, target, {stamp[0]: stamp[1]} if stamp else None)
+    reason = F.when(F.col(n) > 1, F.lit(CONFLICT_DUP)).otherwise(F.lit(CONFLICT_EXISTS)).alias("reason")
+    conflicts = judged.where((F.col(n) > 1) | F.col(flag).isNotNull()).select(*key, reason)
+    return InsertResult(target.unionByName(inserted), inserted, conflicts)
+
+
 # --------------------------------------------------------------------------------------------
 # Patch (partial update)
 # --------------------------------------------------------------------------------------------

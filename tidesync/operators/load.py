@@ -61,10 +61,11 @@ class Split:
         return self.rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def validate(df: DataFrame, contract: TableContract, required: tuple[str, ...] = ()) -> Split:
+def validate(df: DataFrame, contract: TableContract, required: tuple[str, ...] = (), keep_empty: bool = False) -> Split:
     """Split raw rows into typed accepted rows and rejected rows with the first failed rule.
 
     ``required`` lists fields that must be present (e.g. every field of a new-order record).
+    ``keep_empty`` leaves ``''`` as it is; the default makes it NULL where the contract says so.
 
     Both outputs derive from one tagged projection; write them in one job with ``cache`` or a
     checkpoint upstream when the input is expensive to read twice.
@@ -74,7 +75,7 @@ def validate(df: DataFrame, contract: TableContract, required: tuple[str, ...] =
         raise ValueError(f"input lacks key columns {missing}")
     tagged = df.withColumn("reason", reject_reason(df, contract, tuple(required)))
     accepted = tagged.where(F.col("reason").isNull()).select(
-        *[contract_column(F.col(c), c, contract, checked=True) if c in df.columns
+        *[contract_column(F.col(c), c, contract, checked=True, keep_empty=keep_empty) if c in df.columns
           else F.lit(None).cast(contract.type_of(c)).alias(c) for c in contract.columns])
     rejected = tagged.where(F.col("reason").isNotNull())
     return Split(accepted, rejected)

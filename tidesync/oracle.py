@@ -145,7 +145,7 @@ RECORDS = STAGING + f""",
 records AS (
   SELECT CASE WHEN o_orderkey % 110 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS o_orderkey,
          CAST(o_custkey AS VARCHAR) AS o_custkey,
-         CASE WHEN o_orderkey % 130 = 0 THEN 'XX' ELSE o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderkey % 130 = 0 THEN 'XX' WHEN o_orderkey % 170 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus,
          CASE WHEN o_orderkey % 70 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
          CAST(o_orderdate AS VARCHAR) AS o_orderdate,
          o_orderpriority, o_clerk,
@@ -288,6 +288,20 @@ FROM classes"""),
         "insert_conflicts": _with(INSERT_BATCH, """
 SELECT o_orderkey, 'exists' AS reason FROM present
 UNION ALL SELECT o_orderkey, 'duplicate_in_batch' AS reason FROM dups"""),
+        "insert_returning": _with(INSERT_BATCH, f"SELECT *, CAST(epoch(TIMESTAMP '{Q.fixtures.AS_OF_TIMESTAMP}') AS BIGINT) AS last_modified_s FROM inserted"),
+        "patch_returning": _with(PATCHES, f"""
+SELECT t.o_orderkey, {", ".join(f"COALESCE(p.{c}, t.{c}) AS {c}" for c in VALUE_COLS)},
+       CAST(epoch(TIMESTAMP '{Q.fixtures.AS_OF_TIMESTAMP}') AS BIGINT) AS last_modified_s
+FROM staging t JOIN (
+  SELECT * FROM given WHERE o_orderkey IN (SELECT o_orderkey FROM given GROUP BY 1 HAVING count(*) = 1)
+) p ON t.o_orderkey = p.o_orderkey"""),
+        "json_out": _with(LAKE, """
+SELECT o_orderkey, md5('{' || '"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus
+  || '","o_totalprice":' || o_totalprice || ',"o_orderdate":"' || o_orderdate || '","o_orderpriority":"' || o_orderpriority
+  || '","o_clerk":"' || o_clerk || '","o_shippriority":' || o_shippriority || ',"o_comment":"' || o_comment || '"}') AS record_md5
+FROM lake"""),
+        "missing_table_page": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE false",
+        "delete_from_lake": _with(DELETE_KEYS, "SELECT * FROM lake WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delete_keys)"),
         "patch_update": _patched_state(),
         "patch_outcomes": _with(PATCHES, """
 SELECT o_orderkey, 'applied' AS outcome FROM given WHERE o_orderkey IN (SELECT o_orderkey FROM staging)

@@ -30,15 +30,37 @@ from pyspark.sql import functions as F
 from tidesync.functions.values import row_bytes
 from tidesync.operators.sizing import Size
 from tidesync.plans.publish import mark_owner
+from tidesync.plans.versions import file_system
 
 BUCKET = "__bucket"
 PROP_KEY, PROP_BUCKETS, PROP_BATCH, PROP_STREAM, PROP_FILES = (
     "tidesync.key", "tidesync.buckets", "tidesync.batch", "tidesync.stream", "tidesync.filesPerBucket")
+PROP_HASH, PROP_TYPES = "tidesync.hash", "tidesync.keyTypes"
 
 
-def bucket_of(key: Sequence[str], buckets: int) -> Column:
-    """Bucket of a key, by its text form: an int key and a bigint key of one value share a bucket."""
-    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int")
+#: How keys are hashed: by value in the table's stored key types. Tables that hash otherwise are refused.
+HASH_VERSION = "typed-1"
+
+
+class UnknownHashError(ValueError):
+    pass
+
+
+def bucket_of(key: Sequence[str], buckets: int, types: Sequence[str] | None = None) -> Column:
+    """Bucket of a key: the hash of its values in ``types`` (the stored key types; None: as they are).
+
+    Casting a batch's key to the stored type first makes equal keys hash alike whatever type the batch
+    brings them in; the hash is of the value, never of its text, so neither the scale of a decimal nor the
+    session's time zone matters. Integers hash as bigint.
+    """
+    cols = [F.col(k) for k in key] if types is None else [F.col(k).cast(t) for k, t in zip(key, types)]
+    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
+
+
+def key_types(df: DataFrame, key: Sequence[str]) -> tuple[str, ...]:
+    """The types that a table hashes its key in: its own, integers as bigint."""
+    own = [df.schema[k].dataType.simpleString() for k in key]
+    return tuple("bigint" if t in ("tinyint", "smallint", "int") else t for t in own)
 
 
 @dataclass(frozen=True)
@@ -48,6 +70,7 @@ class BucketedTable:
     buckets: int
     root: str
     files_per_bucket: int | None = None      # None: file count follows the data (REBALANCE)
+    key_types: tuple[str, ...] | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table without the bucket column."""
@@ -58,7 +81,7 @@ def _props(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
 
 
-def _write_buckets(df: DataFrame, key: Sequence[str], buckets: int, n_buckets_written: int,
+def _write_buckets(df: DataFrame, key: Sequence[str], types: Sequence[str], buckets: int, n_buckets_written: int,
                    files_per_bucket: int | None, path: str) -> None:
     """Write ``df`` as ``path/__bucket=b/`` folders.
 
@@ -76,7 +99,7 @@ def _write_buckets(df: DataFrame, key: Sequence[str], buckets: int, n_buckets_wr
     file per bucket it holds, and rows are sorted by key inside each file, so Parquet min/max
     statistics prune row groups for key lookups and key ranges.
     """
-    out = df.withColumn(BUCKET, bucket_of(key, buckets))
+    out = df.withColumn(BUCKET, bucket_of(key, buckets, types))
     if files_per_bucket is None:
         out = out.hint("rebalance", BUCKET)
     else:
@@ -93,24 +116,29 @@ def create(spark: SparkSession, name: str, df: DataFrame, key: Sequence[str], bu
     The batch id is recorded last: a driver lost before that leaves a table without one, and the
     replayed batch is applied in full."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    _write_buckets(df, key, buckets, buckets, files_per_bucket, path)
+    types = key_types(df, key)
+    _write_buckets(df, key, types, buckets, buckets, files_per_bucket, path)
     mark_owner(spark, path, name)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     props = {PROP_KEY: ",".join(key), PROP_BUCKETS: str(buckets),
-             PROP_FILES: "auto" if files_per_bucket is None else str(files_per_bucket)}
+             PROP_FILES: "auto" if files_per_bucket is None else str(files_per_bucket),
+             PROP_HASH: HASH_VERSION, PROP_TYPES: ";".join(types)}
     prop_sql = ", ".join(f"'{k}'='{v}'" for k, v in props.items())
     spark.sql(f"CREATE TABLE {name} ({cols}, {BUCKET} int) USING parquet PARTITIONED BY ({BUCKET}) "
               f"LOCATION '{path}' TBLPROPERTIES ({prop_sql})")
     spark.sql(f"MSCK REPAIR TABLE {name}")
     record_batch(spark, name, batch_id, stream)
-    return BucketedTable(name, tuple(key), buckets, root, files_per_bucket)
+    return BucketedTable(name, tuple(key), buckets, root, files_per_bucket, types)
 
 
 def open_table(spark: SparkSession, name: str, root: str) -> BucketedTable:
     p = _props(spark, name)
+    if p.get(PROP_HASH) != HASH_VERSION:
+        raise UnknownHashError(f"{name} hashes its keys by {p.get(PROP_HASH, 'an unrecorded rule')}, not by {HASH_VERSION}: "
+                               "its buckets cannot be found; write it again with create()")
     files = p.get(PROP_FILES, "auto")
     return BucketedTable(name, tuple(p[PROP_KEY].split(",")), int(p[PROP_BUCKETS]), root,
-                         None if files == "auto" else int(files))
+                         None if files == "auto" else int(files), tuple(p[PROP_TYPES].split(";")))
 
 
 def is_bucketed(spark: SparkSession, name: str) -> bool:
@@ -131,18 +159,26 @@ def record_batch(spark: SparkSession, name: str, batch_id: int | None, stream: s
 
 def touched_buckets(changes: DataFrame, table: BucketedTable) -> list[int]:
     """Bucket ids of a change batch: at most ``table.buckets`` small integers."""
-    rows = changes.select(bucket_of(table.key, table.buckets).alias("b")).distinct().collect()
+    rows = changes.select(bucket_of(table.key, table.buckets, table.key_types).alias("b")).distinct().collect()
     return sorted(r["b"] for r in rows)
 
 
-def measure_touched(changes: DataFrame, key: Sequence[str], buckets: int) -> tuple[Size, list[int]]:
+def measure_touched(changes: DataFrame, key: Sequence[str], buckets: int,
+                    types: Sequence[str] | None = None) -> tuple[Size, list[int]]:
     """Size of a change batch and the buckets it touches, from one aggregate (the bucket set is
     at most ``buckets`` small integers)."""
     row = changes.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(changes.schema)).alias("bytes"),
-                      F.collect_set(bucket_of(key, buckets)).alias("touched")).first()
+                      F.collect_set(bucket_of(key, buckets, types or key_types(changes, key))).alias("touched")).first()
     return Size(int(row["rows"]), int(row["bytes"] or 0)), sorted(row["touched"])
 
 
+def written_buckets(spark: SparkSession, path: str) -> set[int]:
+    """Bucket folders below ``path``."""
+    fs, where = file_system(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(where)]
+    return {int(n.split("=", 1)[1]) for n in names if n.startswith(f"{BUCKET}=") and n.split("=", 1)[1].isdigit()}
+
+
 def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
           change_fn: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int | None = None,
           touched: Sequence[int] | None = None, stream: str | None = None) -> list[int]:
@@ -158,7 +194,11 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
     current = spark.table(table.name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
     new_state = change_fn(current, changes)
     path = f"{table.root.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
-    _write_buckets(new_state, table.key, table.buckets, len(touched), table.files_per_bucket, path)
+    types = table.key_types or key_types(current, table.key)
+    _write_buckets(new_state, table.key, types, table.buckets, len(touched), table.files_per_bucket, path)
+    strange = written_buckets(spark, path) - set(touched)
+    if strange:
+        raise ValueError(f"keys of buckets {sorted(strange)} came out of a batch for {touched}: nothing was published")
     mark_owner(spark, path, table.name)
     existing = {int(r["partition"].split("=", 1)[1]) for r in spark.sql(f"SHOW PARTITIONS {table.name}").collect()}
     added = [b for b in touched if b not in existing]

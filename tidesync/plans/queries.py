@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesync.contracts import CLONE_TABLES, CUSTOMER_VIEW_COLUMNS, ORDER_CREATE_REQUIRED, ORDERS, TPCH_KEYS
+from tidesync.contracts import CLONE_TABLES, CUSTOMER_VIEW_COLUMNS, ORDER_CREATE_REQUIRED, ORDERS, STAMP_COLUMN, TPCH_KEYS
 from tidesync.functions.values import with_defaults
 from tidesync.operators import changes, checks, diff, query
 from tidesync.operators.keys import KeyJoin
@@ -284,6 +284,55 @@ def insert_conflicts(spark, d):
     return changes.insert_strict(i.staging, i.insert_batch(), KEY).conflicts
 
 
+def _stamped(df: DataFrame) -> DataFrame:
+    """The staging as the serving store holds it: with its stamp column."""
+    return df.withColumn(STAMP_COLUMN, F.lit("2000-01-01 00:00:00+00").cast("timestamp"))
+
+
+def _now():
+    return STAMP_COLUMN, F.lit(fixtures.AS_OF_TIMESTAMP + "+00").cast("timestamp")
+
+
+def _stamp_seconds(df: DataFrame) -> DataFrame:
+    """The stamp as seconds since 1970, which no session's time zone changes."""
+    return df.select(*ORDERS.columns, F.unix_seconds(STAMP_COLUMN).alias("last_modified_s"))
+
+
+def insert_returning(spark, d):
+    """The rows that a strict insert wrote, with the insert stamp; the judged batch is written once."""
+    i = _Inputs(spark, d)
+    path = scratch_path(spark, "insert")
+    return _stamp_seconds(changes.insert_strict(_stamped(i.staging), i.insert_batch(), KEY, stamp=_now(),
+                                                pin=lambda df: publish.materialize(df, path)).inserted)
+
+
+def patch_returning(spark, d):
+    """The patched rows after the change, with the modification stamp."""
+    i = _Inputs(spark, d)
+    return _stamp_seconds(changes.patch_update(_stamped(i.staging), i.patches(), KEY, stamp=_now()).changed)
+
+
+def json_out(spark, d):
+    """The lake orders written as JSON lines and read back: key and digest of each record."""
+    path = scratch_path(spark, "json")
+    publish.write_json(_lake(spark, d), path)
+    key = F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey")
+    return spark.read.text(path).select(key, F.md5(F.col("value").cast("binary")).alias("record_md5"))
+
+
+def missing_table_page(spark, d):
+    """A page of a synced copy that does not exist yet: empty, with the customer columns."""
+    schema = tables.read_table(spark, d, "customer").schema
+    copy = tables.table_or_empty(spark, "tidesync_copy_that_is_not_there_yet", schema)
+    return query.page(copy, "c_custkey", CUSTOMER_VIEW_COLUMNS, CUSTOMER_LIMIT, 0)
+
+
+def delete_from_lake(spark, d):
+    """Delete by key on the whole lake orders (the large target), not on the staging."""
+    i = _Inputs(spark, d)
+    return changes.delete_by_keys(i.lake, i.delete_keys(), KEY).result
+
+
 def patch_update(spark, d):
     i = _Inputs(spark, d)
     return changes.patch_update(i.staging, i.patches(), KEY).result
@@ -504,6 +553,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forward_metrics": forward_metrics,
     "insert_strict": insert_strict,
     "insert_conflicts": insert_conflicts,
+    "insert_returning": insert_returning,
+    "patch_returning": patch_returning,
+    "json_out": json_out,
+    "missing_table_page": missing_table_page,
+    "delete_from_lake": delete_from_lake,
     "patch_update": patch_update,
     "patch_outcomes": patch_outcomes,
     "delete_by_key": delete_by_key,

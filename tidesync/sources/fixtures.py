@@ -108,7 +108,7 @@ def insert_batch(lake: DataFrame, span: int | None = None) -> DataFrame:
 
 def json_records(staged: DataFrame) -> DataFrame:
     """Staged orders as JSON text, spoiled by key: non-numeric price (key = 0 mod 70), missing key
-    (0 mod 110), two-letter status (0 mod 130)."""
+    (0 mod 110), two-letter status (0 mod 130), empty status (0 mod 170; accepted as it is)."""
     cols = []
     for c in ORDERS.columns:
         if c == KEY:
@@ -116,7 +116,7 @@ def json_records(staged: DataFrame) -> DataFrame:
         elif c == "o_totalprice":
             cols.append(F.when(_k() % 70 == 0, F.lit("n/a")).otherwise(F.col(c).cast("string")).alias(c))
         elif c == "o_orderstatus":
-            cols.append(F.when(_k() % 130 == 0, F.lit("XX")).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(_k() % 130 == 0, F.lit("XX")).when(_k() % 170 == 0, F.lit("")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
     return staged.select(F.to_json(F.struct(*cols)).alias("value"))

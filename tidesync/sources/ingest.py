@@ -19,10 +19,11 @@ def parse_records(records: DataFrame, contract: TableContract, value_col: str =
                   required: tuple[str, ...] = ()) -> Split:
     """Parse one JSON object per row and split into accepted / rejected under ``contract``.
 
-    Numbers and strings both arrive as text; the contract's casts decide. The raw record is kept
+    Numbers and strings both arrive as text; the contract's casts decide. An empty text stays empty (only
+    the load of the staging into the lake makes it NULL). The raw record is kept
     on rejected rows for inspection.
     """
-    return validate(flatten_records(records, contract, value_col), contract, required)
+    return validate(flatten_records(records, contract, value_col), contract, required, keep_empty=True)
 
 
 def flatten_records(records: DataFrame, contract: TableContract, value_col: str = "value") -> DataFrame:

@@ -141,7 +141,8 @@ def _bucketed_writer(target_table: str, root: str, key: Sequence[str], seq_col:
         latest = latest_per_key(batch.select(*cols), key, [seq_col]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             # one aggregate: empty check, broadcast size check and touched buckets
-            size, touched = bucketed.measure_touched(latest, key, table.buckets if exists else buckets)
+            size, touched = bucketed.measure_touched(latest, key, table.buckets if exists else buckets,
+                                                     table.key_types if exists else None)
             if size.rows == 0:
                 return
             if not exists:
