@@ -275,3 +275,81 @@ def test_counts_beyond_64_bits_stay_exact():
 
     f = sum((p(a, big + 5) - p(b, 1)) ** 2 // p(b, 1) for a, b in ((big, 1), (5, 0)))
     assert got["pair", "s", "t"] == f
+
+
+# ---- near duplicates: groups close to the threshold ------------------------------------------------
+
+
+def five_word_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_classes(values):
+    sets = [five_word_set(t) for t in values]
+    linked = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    ]
+    return classes(range(len(values)), linked), len(linked)
+
+
+def family(seed, n, length, edits):
+    r = np.random.RandomState(seed)
+    base = [f"w{x}" for x in r.randint(0, 10**6, length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.choice(length, edits, replace=False):
+            w[at] = f"e{r.randint(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_groups_at_the_threshold_match_brute_force(spark):
+    from tidesync.llm import near_dedup
+
+    values = family(1, 40, 150, 2) + family(2, 60, 220, 3) + family(3, 30, 40, 1) + family(4, 30, 60, 1) + family(5, 20, 300, 4)
+    want, linked = near_classes(values)
+    assert 500 < linked < 0.9 * sum(n * (n - 1) / 2 for n in (40, 60, 30, 30, 20))
+    out = {r["doc_id"] - 1: r["component_id"] - 1 for r in near_dedup.near_groups(spark, texts(spark, values)).collect()}
+    least = {}
+    for i, c in want.items():
+        least.setdefault(c, i)
+    assert out == {i: least[c] for i, c in want.items()}
+
+
+def test_short_texts_at_the_threshold_are_linked(spark):
+    from tidesync.llm import near_dedup
+
+    r = np.random.RandomState(8)
+    values = []
+    for k in range(150):                                     # unions of 4 to 20 shingles, similarity 0.75 and just above
+        n = int(r.randint(4, 21))
+        base = [f"p{k}w{i}" for i in range(n + 3)]
+        values += [" ".join(base), " ".join(base[: n + 3 - max(1, n // 4)])]
+    want, linked = near_classes(values)
+    assert linked >= 100
+    out = {x["doc_id"] - 1: x["component_id"] - 1 for x in near_dedup.near_groups(spark, texts(spark, values)).collect()}
+    assert {i for i in out if out[i] != i} == {i for i in want if any(j < i and want[j] == want[i] for j in want)}
+
+
+def test_residual_links_grow_with_the_members(spark, monkeypatch):
+    """A family close to the threshold: what the residual step writes follows its members, not their pairs."""
+    from tidesync.llm import near_dedup
+
+    made = {}
+    plain = near_dedup.pinned
+
+    def counting(s, df, purpose):
+        out = plain(s, df, purpose)
+        made[purpose] = max(made.get(purpose, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "pinned", counting)
+    rows = []
+    for n in (100, 200, 400):
+        made.clear()
+        near_dedup.near_groups(spark, texts(spark, family(6, n, 215, 3))).count()
+        rows.append(sum(made.get(p, 0) for p in ("near-set-blocks", "near-wanted", "near-rest-links")))
+    assert rows[2] < 6 * max(rows[0], 50)

@@ -12,10 +12,15 @@ Method:
 4. Each bucket gives a star: every member and the smallest one. Stars are linear in the members. They
    are confirmed on full sets and joined to components.
 5. A star can miss a link between two members that are both unlike its centre. So in each bucket that
-   still holds several components, every member outside the bucket's largest component is compared
-   with the members of other components, block by block on the sketches; pairs whose sketches agree
-   enough for the threshold (4.5 standard deviations of slack) are confirmed on full sets as well. No
-   bucket or candidate is capped.
+   still holds several components, members of different components are compared block by block, a pair
+   only in the first band that it shares. A first pass on the sketches finds the members that may have a
+   link; a second one brings their full sets into the blocks and tests them there, with a union-find per
+   block: pairs that are joined already are skipped, and at most (members - 1) links leave a block. Pairs
+   are never written, so a group close to the threshold costs tests, not rows. No bucket or candidate is
+   capped.
+
+Before sets are moved, a pair is dropped if the sizes of its sets rule out the threshold (exact), or if both
+have SMALL shingles or more and their sketches agree in too few bins (4.5 standard deviations of slack).
 
 Links are confirmed with ``100 * |A & B| >= 75 * |A | B|`` on the full sets. Components come from
 repeated large-star and small-star steps on the confirmed links.
@@ -48,8 +53,11 @@ THRESHOLD = 75
 LEAST_AGREE = 340
 #: Largest list of pair ends (measured, in rows) that is sent to the texts; beyond, the texts are shuffled.
 BROADCAST_ENDS = 500_000
-#: Rows of a block of the residual comparison; bounds memory, drops nothing.
+#: Sets smaller than this are always tested in full: a sketch says too little about them.
+SMALL = 64
+#: Rows and bytes of sets of a block of the residual comparison, about; bounds memory, drops nothing.
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
 MAX_WORD_CACHE = 400_000
 
 _BOUNDS = (np.arange(1, BINS, dtype=np.float64) * (2.0**64 / BINS)).astype(np.uint64)
@@ -156,7 +164,7 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             if 100 * min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                good[i] = 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+                good[i] = _similar(both, len(x), len(y))
         yield rows.loc[good, ["a", "b"]]
 
 
@@ -168,38 +176,124 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"bucket": np.concatenate(keys), "cls": part["cls"].repeat(BANDS).to_numpy()})
 
 
-def _close_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of two blocks of one bucket whose components differ and whose sketches agree enough."""
+def _similar(both: int, x: int, y: int) -> bool:
+    return 100 * both >= THRESHOLD * (x + y - both)
+
+
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose sketches agree enough, or of which a set is small."""
+    for rows in batches:
+        good = np.minimum(rows["na"], rows["nb"]).to_numpy() < SMALL
+        for i in np.flatnonzero(~good):
+            x, y = (np.frombuffer(rows[c].iat[i], np.uint8)[2 * BANDED :] for c in ("sa", "sb"))
+            good[i] = (x == y).sum() >= LEAST_AGREE
+        yield rows.loc[good, ["a", "b"]]
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    a, b = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
+    return sized.mapInPandas(_likely, "a long, b long")
+
+
+class _Block:
+    """Members of one bucket: class, component, set size, sketch bins and band keys."""
+
+    def __init__(self, rows) -> None:
+        self.rows = rows
+        self.cls = np.array([r["cls"] for r in rows], np.int64)
+        self.comp = np.array([r["comp"] for r in rows], np.int64)
+        self.n = np.array([r["n"] for r in rows], np.int64)
+        whole = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bins = whole[:, 2 * BANDED :]
+        self.bands = np.array([band_keys(np.frombuffer(r["sketch"], np.uint16, BANDED)) for r in rows])
+        self._sets: dict[int, frozenset] = {}
+
+    def set_of(self, i: int) -> frozenset:
+        if i not in self._sets:
+            self._sets[i] = frozenset(np.frombuffer(self.rows[i]["hashes"], np.uint64).tolist())
+        return self._sets[i]
+
+    def near(self, i: int, other: "_Block", bucket: int) -> np.ndarray:
+        """Members of ``other`` that may be similar to ``i``, in another component, and meet first here."""
+        least, most = np.minimum(other.n, self.n[i]), np.maximum(other.n, self.n[i])
+        at = np.flatnonzero((other.comp != self.comp[i]) & (100 * least >= THRESHOLD * most))
+        agree = (other.bins[at] == self.bins[i]).sum(axis=1)
+        at = at[(agree >= LEAST_AGREE) | (least[at] < SMALL)]
+        first = (other.bands[at] == self.bands[i]).argmax(axis=1)
+        return at[self.bands[i][first] == bucket]
+
+
+def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of two blocks that may have a link to a member of another component."""
+    for rows in batches:
+        for bucket, left, right in zip(rows["bucket"], rows["outside"], rows["members"]):
+            x, y, found = _Block(left), _Block(right), set()
+            for i in range(len(left)):
+                near = x.near(i, y, bucket)
+                if len(near):
+                    found.add(int(x.cls[i]))
+                    found.update(y.cls[near].tolist())
+            yield pd.DataFrame({"bucket": np.full(len(found), bucket, np.int64), "cls": np.array(list(found), np.int64)})
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between two blocks of a bucket that join components; a spanning forest of them at most."""
     for rows in batches:
-        for left, right in zip(rows["outside"], rows["members"]):
-            xs = np.frombuffer(b"".join(r["sketch"] for r in left), np.uint8).reshape(len(left), BINS)
-            ys = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint8).reshape(len(right), BINS)
-            comp_y = np.array([r["comp"] for r in right], object)
+        for bucket, left, right, same in zip(rows["bucket"], rows["left"], rows["right"], rows["same"]):
+            x = _Block(left)
+            y = x if same else _Block(right)
+            parent: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = parent.get(up, up)
+                    c = up
+                return c
+
             a, b = [], []
-            for r, x in zip(left, xs):
-                near = np.flatnonzero((ys == x).sum(axis=1) >= LEAST_AGREE)
-                for j in near:
-                    if comp_y[j] != r["comp"]:
-                        a.append(min(r["cls"], right[j]["cls"]))
-                        b.append(max(r["cls"], right[j]["cls"]))
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            for i in range(len(left)):
+                for j in x.near(i, y, bucket).tolist():
+                    if same and j <= i:
+                        continue
+                    p, q = find(int(x.comp[i])), find(int(y.comp[j]))
+                    if p != q and _similar(len(x.set_of(i) & y.set_of(j)), int(x.n[i]), int(y.n[j])):
+                        parent[p] = q
+                        a.append(min(x.cls[i], y.cls[j]))
+                        b.append(max(x.cls[i], y.cls[j]))
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of classes. Rows whose id repeats with another text are left out by their class."""
+    cache = _WordHashes()
+    for rows in batches:
+        sets = [shingle_set(text, cache) for text in rows["text"]]
+        good = [len(s) > 0 and class_of(s) == cls for s, cls in zip(sets, rows["cls"])]
+        yield pd.DataFrame({"cls": rows["cls"], "hashes": [s.tobytes() for s in sets]})[good]
+
+
+def texts_of(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """``ends`` (with __id, the document of a class) and their texts. A short list goes to the texts; a longer
+    one meets them in a shuffle."""
+    if ends.count() <= BROADCAST_ENDS:
+        ends = F.broadcast(ends)
+    return texts.join(ends, F.col("doc_id").eqNullSafe(F.col("__id")))
 
 
-def confirm(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: DataFrame, purpose: str) -> DataFrame:
+def confirm(spark: SparkSession, texts: DataFrame, classes: DataFrame, pairs: DataFrame, purpose: str) -> DataFrame:
     """The pairs (a, b) of classes that are similar on their full sets.
 
-    ``texts``: (doc_id, text); ``firsts``: (cls, doc_id), a document of each class. Both ends of a
-    pair fetch their text, become sets where the text is, and meet under the pair: a set is moved
-    once per pair. A short list of ends goes to the texts; a longer one meets them in a shuffle.
+    ``texts``: (doc_id, text); ``classes``: (cls, first_id, n, sketch). Both ends of a pair fetch their
+    text, become sets where the text is, and meet under the pair: a set is moved once per pair.
     """
-    pairs = pinned(spark, pairs.distinct(), f"{purpose}-pairs")
+    pairs = pinned(spark, likely_pairs(pairs.distinct(), classes), f"{purpose}-pairs")
     if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(firsts, "cls")
-    ends = pinned(spark, ends.select(F.col("doc_id").alias("__id"), "cls", "a", "b"), f"{purpose}-ends")
-    if ends.count() <= BROADCAST_ENDS:
-        ends = F.broadcast(ends)
-    with_text = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("__id"))).select("a", "b", "cls", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b").join(classes.select("cls", "first_id"), "cls")
+    ends = pinned(spark, ends.select(F.col("first_id").alias("__id"), "cls", "a", "b"), f"{purpose}-ends")
+    with_text = texts_of(texts, ends).select("a", "b", "cls", "text")
     sets = with_text.mapInPandas(_ends, "a long, b long, hashes binary")
     pair_sets = sets.groupBy("a", "b").agg(F.min("hashes").alias("ha"), F.max("hashes").alias("hb"))
     return pinned(spark, pair_sets.mapInPandas(_confirmed, "a long, b long"), f"{purpose}-links")
@@ -235,31 +329,47 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
     return pinned(spark, stars.union(roots), "cc-out")
 
 
-def residual_pairs(spark: SparkSession, members: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFrame:
-    """Untested pairs: members outside their bucket's largest component against its other components."""
+def _blocked(rows: DataFrame, number: Column, *lists: Column) -> DataFrame:
+    return rows.groupBy("bucket", F.pmod(F.xxhash64("cls", "bucket"), number).alias("block")).agg(*lists)
+
+
+def residual_links(spark: SparkSession, texts: DataFrame, classes: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between the components of a bucket that no star has seen; enough to join what they connect."""
     comp = F.coalesce("comp", "cls").alias("comp")
     placed = members.filter("size > 2").join(comps, "cls", "left").select("bucket", "cls", comp, "size")
     placed = pinned(spark, placed, "near-placed")
-    counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("count"))
     mixed = (
-        counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k"))
+        counts.groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("k"))
         .filter("k > 1").select("bucket", F.col("top.comp").alias("top"))
     )
     mixed = pinned(spark, mixed, "near-mixed")
-    rows = (
-        placed.join(mixed, "bucket").join(sketches, "cls")
-        .select("bucket", "top", F.struct("cls", "comp", "sketch").alias("r"), F.pmod(F.xxhash64("cls", "bucket"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    )
-    blocks = pinned(
-        spark,
-        rows.groupBy("bucket", "block").agg(
-            F.collect_list("r").alias("members"), F.collect_list(F.when(F.col("r.comp") != F.col("top"), F.col("r"))).alias("outside")
-        ),
-        "near-blocks",
-    )
-    left = blocks.filter(F.size("outside") > 0).select("bucket", "outside")
-    tested = left.join(blocks.select("bucket", "members"), "bucket").select("outside", "members")
-    return tested.mapInPandas(_close_blocks, "a long, b long")
+    rows = placed.join(mixed, "bucket").join(classes.select("cls", "n", "sketch"), "cls")
+    rows = rows.withColumn("r", F.struct("cls", "comp", "n", "sketch"))
+    outside = F.collect_list(F.when(F.col("comp") != F.col("top"), F.col("r"))).alias("outside")
+    blocks = _blocked(rows, F.ceil(F.col("size") / BLOCK), F.collect_list("r").alias("members"), outside)
+    blocks = pinned(spark, blocks, "near-blocks")
+    tested = blocks.filter(F.size("outside") > 0).select("bucket", "outside").join(blocks.select("bucket", "members"), "bucket")
+    involved = tested.select("bucket", "outside", "members").mapInPandas(_involved, "bucket long, cls long")
+    involved = pinned(spark, involved.distinct(), "near-involved")
+    if involved.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+
+    wanted = involved.select("cls").distinct().join(classes, "cls").select(F.col("first_id").alias("__id"), "cls")
+    wanted = pinned(spark, wanted, "near-wanted")
+    sets = texts_of(texts, wanted).select("cls", "text").mapInPandas(_sets, "cls long, hashes binary")
+    sets = sets.groupBy("cls").agg(F.min("hashes").alias("hashes"))         # a document may be there twice
+    of = classes.select("cls", "n", "sketch").join(wanted.select("cls"), "cls").join(comps, "cls", "left")
+    described = of.join(sets, "cls").select("cls", F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sketch", "hashes").alias("r"))
+    rows = involved.join(pinned(spark, described, "near-sets"), "cls")
+    load = rows.groupBy("bucket").agg(F.count("*").alias("count"), (8 * F.sum("r.n")).alias("bytes"))
+    number = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    sized = rows.join(load.select("bucket", number.alias("blocks")), "bucket")
+    blocks = pinned(spark, _blocked(sized, F.col("blocks"), F.collect_list("r").alias("right")), "near-set-blocks")
+    left = blocks.select("bucket", F.col("block").alias("at"), F.col("right").alias("left"))
+    pairs = left.join(blocks, "bucket").filter("at <= block")
+    links = pairs.select("bucket", "left", "right", F.expr("at = block").alias("same")).mapInPandas(_linked, "a long, b long")
+    return pinned(spark, links.distinct(), "near-rest-links")
 
 
 def labelled_rows(spark: SparkSession, docs: DataFrame, row: Column) -> DataFrame:
@@ -277,7 +387,7 @@ def labelled_rows(spark: SparkSession, docs: DataFrame, row: Column) -> DataFram
     classes = pinned(
         spark,
         signed.filter("cls IS NOT NULL").groupBy("cls")
-        .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "near-classes",
     )
     buckets = classes.select("cls", "sketch").mapInPandas(_banded, "bucket long, cls long")
@@ -287,13 +397,10 @@ def labelled_rows(spark: SparkSession, docs: DataFrame, row: Column) -> DataFram
         "near-centres",
     )
     members = pinned(spark, buckets.join(centres, "bucket"), "near-members")
-    firsts = classes.select("cls", F.col("first_id").alias("doc_id"))
     stars = members.filter("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
-    links = confirm(spark, texts, firsts, stars, "near-stars")
+    links = confirm(spark, texts, classes, stars, "near-stars")
     comps = components(spark, links)
-    compared = classes.select("cls", F.expr(f"substring(sketch, {2 * BANDED + 1}, {BINS})").alias("sketch"))
-    rest = residual_pairs(spark, members, compared, comps)
-    more = confirm(spark, texts, firsts, rest, "near-rest")
+    more = residual_links(spark, texts, classes, members, comps)
     if not more.isEmpty():
         comps = components(spark, links.union(more))
     labelled = classes.select("cls", "first_id").join(comps, "cls", "left").select(
