@@ -2,7 +2,8 @@
 
 Conventions, unless an operator says otherwise:
 
-* Operators read only the columns they name, so further columns (with any name) never clash.
+* Operators read only the columns they name, so further columns do not clash; stages that return whole
+  documents add columns that begin with two underscores, and documents must not have such names.
 * A null text counts as empty. A null id is an id of its own that sorts after all others.
 * An empty table gives an empty result with the same columns.
 """
