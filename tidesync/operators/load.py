@@ -16,13 +16,13 @@ from tidesync.contracts import TableContract
 from tidesync.functions.values import contract_column, empty_to_null
 
 
-def typed(df: DataFrame, contract: TableContract) -> DataFrame:
+def typed(df: DataFrame, contract: TableContract, keep: tuple[str, ...] = ()) -> DataFrame:
     """Project ``df`` onto the contract: its columns, in its order, cast to its types.
 
     Integers are cast null-safely, an empty status becomes NULL, price goes to DECIMAL(15,2) and
-    dates to DATE. Columns the contract lacks (e.g. a staging stamp) are dropped.
+    dates to DATE. Columns the contract lacks (e.g. a staging stamp) are dropped, but for those named by ``keep``.
     """
-    return df.select(*[contract_column(F.col(c), c, contract) for c in contract.columns])
+    return df.select(*[contract_column(F.col(c), c, contract) for c in contract.columns], *keep)
 
 
 MISSING_KEY, MISSING_FIELD, BAD_TYPE, TOO_LONG = "missing_key", "missing_field", "bad_type", "too_long"

@@ -229,6 +229,10 @@ SELECT {", ".join(f"CAST({c} AS {SQL_TYPES[c]}) AS {c}" for c in COLS)} FROM che
         "ingest_reject_counts": _with(RECORDS, "SELECT reason, count(*) AS n_rows FROM checked WHERE reason IS NOT NULL GROUP BY reason"),
         "ingest_new_order_reject_counts": _with(RECORDS, """
 SELECT strict_reason AS reason, count(*) AS n_rows FROM checked WHERE strict_reason IS NOT NULL GROUP BY strict_reason"""),
+        "search_text_indexed": _with(LAKE, f"SELECT * FROM lake WHERE {_ilike('o_comment', Q.SEARCH_TERM)}"),
+        "count_search_indexed": _with(LAKE, " UNION ALL ".join(
+            f"SELECT '{_esc(t)}' AS term, count(*) AS n_rows FROM lake WHERE {_ilike('o_comment', t)}"
+            for t in (Q.SEARCH_TERM, Q.WILDCARD_TERM))),
         "search_text": _with(LAKE, f"SELECT * FROM lake WHERE {_ilike('o_comment', Q.SEARCH_TERM)}"),
         "search_empty_term": _with(LAKE, "SELECT * FROM lake"),
         "get_by_key": _with(LAKE, f"SELECT * FROM lake WHERE o_orderkey = {Q.LOOKUP_KEY}"),
@@ -284,6 +288,21 @@ SELECT count(*) AS num_affected_rows,
        (SELECT count(*) FROM staging WHERE o_orderkey % 20 = 0)
          + (SELECT count(*) FROM staging WHERE o_orderkey % 30 = 0) AS rejected_rows
 FROM classes"""),
+        "forward_incremental": _with(MERGED, "SELECT * FROM merged"),
+        "forward_incremental_buckets": _with(MERGED, "SELECT * FROM merged"),
+        "forward_incremental_metrics": _with(MERGED, """,
+changed AS (
+  SELECT s.o_orderkey, s.o_orderkey % 3 <> 0 OR EXISTS (SELECT 1 FROM lake t WHERE t.o_orderkey = s.o_orderkey) AS present
+  FROM staging s WHERE s.o_orderkey % 3 = 0 OR s.o_orderkey % 20 = 0
+)
+SELECT count(*) AS num_affected_rows,
+       count(*) FILTER (WHERE present) AS num_updated_rows,
+       CAST(0 AS BIGINT) AS num_deleted_rows,
+       count(*) FILTER (WHERE NOT present) AS num_inserted_rows,
+       count(*) AS fetched_rows, CAST(0 AS BIGINT) AS rejected_rows,
+       count(*) FILTER (WHERE o_orderkey % 12 = 0 AND 3599 - o_orderkey % 600
+         < (SELECT max(o_orderkey % 3600) FROM staging WHERE o_orderkey % 3 <> 0)) AS late_rows
+FROM changed"""),
         "insert_strict": _with(INSERT_BATCH, "SELECT * FROM staging UNION ALL SELECT * FROM inserted"),
         "insert_conflicts": _with(INSERT_BATCH, """
 SELECT o_orderkey, 'exists' AS reason FROM present

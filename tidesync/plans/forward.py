@@ -58,19 +58,21 @@ class Staged:
     fetched: int                 # rows read from the staging
     rejected: int
     rejects: str | None          # folder of the rejected rows; None: no such row
+    snapshot: DataFrame          # all rows read, with ``reason`` and the columns named by ``keep``
 
 
-def _staged_source(staging: DataFrame, table: str, root: str, contract: TableContract,
-                   on_duplicate: str, order_by: Sequence[str]) -> Staged:
+def staged_source(staging: DataFrame, table: str, root: str, contract: TableContract,
+                  on_duplicate: str, order_by: Sequence[str], keep: Sequence[str] = ()) -> Staged:
     """The staging under the contract types, read once into a snapshot below ``root``. Rows with a
     NULL key or over-long text go to a rejects folder with their reason, so they never reach the
-    target; the others are measured and their keys checked by one aggregate."""
+    target; the others are measured and their keys checked by one aggregate. ``keep`` names further
+    columns of the staging for the snapshot; they are not merged."""
     path = f"{root.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}"
-    rows = typed(staging, contract)
+    rows = typed(staging, contract, keep)
     snapshot = materialize(rows.withColumn(REASON, reject_reason(rows, contract)), path)
     mark_owner(staging.sparkSession, path, table)
-    bad = snapshot.where(F.col(REASON).isNotNull())
-    source = snapshot.where(F.col(REASON).isNull()).drop(REASON)
+    bad = snapshot.where(F.col(REASON).isNotNull()).drop(*keep)
+    source = snapshot.where(F.col(REASON).isNull()).drop(REASON, *keep)
     rejected, rejects = bad.count(), None
     if rejected:
         rejects = f"{root.rstrip('/')}/rejects-{uuid.uuid4().hex[:12]}"
@@ -78,13 +80,13 @@ def _staged_source(staging: DataFrame, table: str, root: str, contract: TableCon
     size, top = measure_keyed(source, contract.key)
     fetched = size.rows + rejected
     if size.rows == 0:
-        return Staged(source, None, fetched, rejected, rejects)
+        return Staged(source, None, fetched, rejected, rejects, snapshot)
     if top > 1:
         if on_duplicate == "error":
             raise DuplicateKeyError(f"staging repeats keys {list(contract.key)}; pass on_duplicate='latest'")
         source = prepare_source(source, contract.key, on_duplicate, order_by)
         size = measure(source)
-    return Staged(source, size, fetched, rejected, rejects)
+    return Staged(source, size, fetched, rejected, rejects, snapshot)
 
 
 def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, root: str,
@@ -103,7 +105,13 @@ def forward_merge(spark: SparkSession, staging: DataFrame, target_table: str, ro
     """
     if not use_catalog_merge:
         refuse_partitioned(spark, target_table)
-    staged = _staged_source(staging, target_table, root, contract, on_duplicate, order_by)
+    staged = staged_source(staging, target_table, root, contract, on_duplicate, order_by)
+    return merge_staged(spark, staged, target_table, root, contract, use_catalog_merge)
+
+
+def merge_staged(spark: SparkSession, staged: Staged, target_table: str, root: str,
+                 contract: TableContract = ORDERS, use_catalog_merge: bool = False) -> ForwardRun:
+    """Merge rows already staged into ``target_table`` and publish the new version."""
     if staged.size is None:                                  # nothing to merge: no publish
         return ForwardRun("no_rows", rejects=staged.rejects)
     if use_catalog_merge and merge_into_catalog(spark, staged.source, target_table, contract):
@@ -120,7 +128,13 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
                           order_by: Sequence[str] = ()) -> ForwardRun:
     """The forward job on a key-bucketed lake table: only the buckets holding staged keys are
     read, merged and rewritten; the rest of the table is not touched."""
-    staged = _staged_source(staging, table.name, table.root, contract, on_duplicate, order_by)
+    staged = staged_source(staging, table.name, table.root, contract, on_duplicate, order_by)
+    return merge_staged_buckets(spark, staged, table, contract)
+
+
+def merge_staged_buckets(spark: SparkSession, staged: Staged, table: bucketed.BucketedTable,
+                         contract: TableContract = ORDERS) -> ForwardRun:
+    """Merge rows already staged into the buckets that hold their keys."""
     if staged.size is None:
         return ForwardRun("no_rows", rejects=staged.rejects)
     key = list(contract.key)

@@ -17,7 +17,7 @@ from tidesync.functions.values import with_defaults
 from tidesync.operators import changes, checks, diff, query
 from tidesync.operators.keys import KeyJoin
 from tidesync.operators.load import typed
-from tidesync.plans import bucketed, changelog, clone, forward, publish
+from tidesync.plans import bucketed, changelog, clone, forward, incremental, publish, search_index
 from tidesync.session import scratch_path
 from tidesync.sources import fixtures, ingest, tables
 from tidesync.streaming import sync
@@ -36,6 +36,7 @@ KEYSET_AFTER = 149
 DEEP_OFFSET, DEEP_MAX_REST = 12_345, 1_000
 SEED_SIZE = 100
 BUCKETS = 16
+SEARCH_FILES = 16
 RANGES = 8
 
 
@@ -131,6 +132,31 @@ def search_text(spark, d):
     return query.search(_lake(spark, d), "o_comment", SEARCH_TERM)
 
 
+def _indexed_lake(spark, d) -> search_index.SearchIndex:
+    """The lake orders written in customer order and indexed, half of the files by a second, extending call."""
+    root = scratch_path(spark, "search")
+    lake = _lake(spark, d)
+    index = search_index.SearchIndex(spark, f"{root}/lake", "o_comment", f"{root}/index")
+    for half in (0, 1):
+        part = lake.where(F.col("o_custkey") % 2 == half)
+        part.repartitionByRange(SEARCH_FILES, "o_comment").write.mode("append").parquet(index.folder)
+        index.extend()
+    return index
+
+
+def search_text_indexed(spark, d):
+    """The search reading only files that hold all of the term's trigrams."""
+    return _indexed_lake(spark, d).search(SEARCH_TERM).rows
+
+
+def count_search_indexed(spark, d):
+    """Counts under a plain and a wildcard term through the index."""
+    index = _indexed_lake(spark, d)
+    counts = [query.count_rows(index.search(t).rows, alias="n_rows").select(F.lit(t).alias("term"), "n_rows")
+              for t in (SEARCH_TERM, WILDCARD_TERM)]
+    return counts[0].unionByName(counts[1])
+
+
 def search_empty_term(spark, d):
     return query.search(_lake(spark, d), "o_comment", "")
 
@@ -274,6 +300,43 @@ def forward_merge_buckets(spark, d):
     return table.read(spark)
 
 
+def _incremental(spark, d):
+    """Three incremental runs: the earlier staging, the later one, and that one again (nothing changed)."""
+    root = scratch_path(spark, "incremental")
+    name = "tidesync_incremental_" + root.rsplit("-", 1)[-1]
+    i = _Inputs(spark, d)
+    publish.publish_swap(i.lake, name, root)
+    earlier, later = (fixtures.stamped_staging(i.staging, late) for late in (False, True))
+    incremental.forward_incremental(spark, earlier, name, root)
+    run = incremental.forward_incremental(spark, later, name, root)
+    again = incremental.forward_incremental(spark, later, name, root)
+    assert again.status == "no_rows"
+    return name, run
+
+
+def forward_incremental(spark, d):
+    """The target after incremental runs; equal to one full run over the last staging."""
+    return spark.table(_incremental(spark, d)[0])
+
+
+def forward_incremental_metrics(spark, d):
+    """Counters of the second run: it fetches what changed, late rows included."""
+    run = _incremental(spark, d)[1]
+    names = sorted(run.metrics)
+    return spark.createDataFrame([tuple(run.metrics[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def forward_incremental_buckets(spark, d):
+    """The incremental runs on a key-bucketed lake table."""
+    root = scratch_path(spark, "incrementalb")
+    name = "tidesync_incrementalb_" + root.rsplit("-", 1)[-1]
+    i = _Inputs(spark, d)
+    table = bucketed.create(spark, name, i.lake, KEY, BUCKETS, root)
+    for late in (False, True):
+        incremental.forward_incremental_buckets(spark, fixtures.stamped_staging(i.staging, late), table)
+    return table.read(spark)
+
+
 def insert_strict(spark, d):
     i = _Inputs(spark, d)
     return changes.insert_strict(i.staging, i.insert_batch(), KEY).result
@@ -528,6 +591,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_reject_counts": ingest_reject_counts,
     "ingest_new_order_reject_counts": ingest_new_order_reject_counts,
     "search_text": search_text,
+    "search_text_indexed": search_text_indexed,
+    "count_search_indexed": count_search_indexed,
     "search_empty_term": search_empty_term,
     "get_by_key": get_by_key,
     "get_by_keys": get_by_keys,
@@ -551,6 +616,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forward_with_bad_rows": forward_with_bad_rows,
     "forward_rejects": forward_rejects,
     "forward_metrics": forward_metrics,
+    "forward_incremental": forward_incremental,
+    "forward_incremental_buckets": forward_incremental_buckets,
+    "forward_incremental_metrics": forward_incremental_metrics,
     "insert_strict": insert_strict,
     "insert_conflicts": insert_conflicts,
     "insert_returning": insert_returning,

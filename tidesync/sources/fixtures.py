@@ -12,10 +12,12 @@ that reads the shifted key.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesync.contracts import ORDERS
+from tidesync.contracts import ORDERS, STAMP_COLUMN
 
 KEY = "o_orderkey"
 # The as-of stamp and date used where the operators take "now" as an argument.
@@ -139,6 +141,25 @@ def staging_with_bad_rows(staged: DataFrame) -> DataFrame:
     return staged.unionByName(no_key).unionByName(long_text)
 
 
+def stamped_staging(staged: DataFrame, later: bool) -> DataFrame:
+    """The staging with modification stamps, as two runs find it. Earlier: rows with key != 0 mod 3, in the
+    first hour of the as-of date; those = 0 mod 20 still have price 0. Later: all rows; the patched ones and those
+    with key = 0 mod 3 are stamped in the second hour, but for key = 0 mod 12: their transactions began in the last
+    ten minutes of the first hour and were not seen then."""
+    start = int(dt.datetime.fromisoformat(AS_OF_DATE).replace(tzinfo=dt.timezone.utc).timestamp())
+    patched = (_k() % 20 == 0) & (_k() % 3 != 0)
+    first_hour = F.lit(start) + _k() % 3600
+    price = F.col("o_totalprice")
+    if not later:
+        rows = staged.where(_k() % 3 != 0)
+        price, second = F.when(patched, F.lit(0)).otherwise(price), first_hour
+    else:
+        rows = staged
+        second = F.when(_k() % 12 == 0, F.lit(start + 3599) - _k() % 600).when(
+            patched | (_k() % 3 == 0), first_hour + 3600).otherwise(first_hour)
+    return rows.withColumn("o_totalprice", price.cast("decimal(15,2)")).withColumn(STAMP_COLUMN, F.timestamp_seconds(second))
+
+
 def key_changes(df: DataFrame, key) -> DataFrame:
     """Changes of any table by its first key column: rows with key = 3 mod 10 are deleted, rows with key = 0
     mod 10 are copied to new keys (shifted by the largest key + 1); seq 1."""
