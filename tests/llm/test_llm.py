@@ -180,6 +180,60 @@ def test_mixing_order_is_stable_and_handles_no_words(spark):
     assert (abs(per["taken"].sum() - per["target"].first()) <= 0.5).all()  # fractional targets round to words
 
 
+def test_mixing_cuts_the_sorted_order_at_the_budget(spark):
+    d = docs_of(spark, [" ".join(words(i, 5 + i % 40)) for i in range(300)], ["abc"[i % 3] for i in range(300)])
+    times = common.pinned(spark, mixing.virtual_times(spark, d), "mix-test")
+    total = times.agg({"size": "sum"}).first()[0]
+    for share in (1.0, 0.4, 0.0):
+        taken = mixing.mix_pieces(spark, times, share).toPandas()
+        assert taken["taken"].sum() == int(total * share + 0.5)
+        order = taken.sort_values(["range", *mixing.ORDER])
+        assert order["finish"].is_monotonic_increasing  # ranges follow each other
+        assert (order["before"].to_numpy() == np.cumsum(order["taken"].to_numpy()) - order["taken"].to_numpy()).all()
+        per = taken.groupby("source").agg(t=("taken", "sum"), target=("target", "first"))
+        assert (abs(per["t"] - share * per["target"]) < 1).all()
+
+
+def test_mixing_spreads_equal_rows(spark):
+    """A third of the rows without id and of one size: one copy number each, no cell holds them all."""
+    rows = [(None, "w x y", "s")] * 6000 + [(i, "a b c d", "st"[i % 2]) for i in range(12000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = mixing.virtual_times(spark, d, cell_rows=1000)
+    assert times.select("source", "queued").distinct().count() == 18000
+    sizes = common.numbered_copies(d.select("doc_id"), "copy").filter("doc_id IS NULL").toPandas()
+    assert sorted(sizes["copy"]) == list(range(6000))
+    out = mixing.taken_by_source(spark, d).toPandas()
+    per = out.groupby("source").agg(t=("taken", "sum"), target=("target", "first"))
+    assert (abs(per["t"] - per["target"]) < 1).all() and (out["taken"] <= 3 * out["size"]).all()
+    mixed = mixing.mixed_documents(spark, d.withColumn("extra", d.text))
+    assert mixed.columns == ["doc_id", "text", "source", "extra"] and mixed.filter("doc_id IS NULL").count() % 6000 == 0
+
+
+def test_packing_spreads_equal_rows(spark):
+    """Rows of one id and text are dealt over the shards like any others."""
+    d = spark.createDataFrame([(7, "one two three", "s")] * 4000 + [(i, "x " * 30, None) for i in range(100, 8100)], "doc_id long, text string, source string")
+    a, b = (packing.pack(spark, d, capacity=64, shard_rows=1000).toPandas() for _ in range(2))
+    assert len(a) == 12000 and a.groupby("shard").size().max() < 1400
+    assert a[a["doc_id"] == 7].groupby(["shard", "bin"]).size().max() == 1  # one of a cluster in a bin
+    order = ["doc_id", "shard", "bin", "offset"]
+    assert a.sort_values(order).to_numpy().tolist() == b.sort_values(order).to_numpy().tolist()
+
+
+def test_url_rules_from_a_table(spark):
+    """Many rules: only the fetched ones are compiled; a rule without a token is refused."""
+    table = spark.range(100_000).selectExpr("concat('r', id) AS name", "concat('\\\\bhost', id, '\\\\b') AS pattern", "array(concat('host', id)) AS tokens")
+    rules = url_filter.rules_of(table) + (url_filter.PatternRule("broken", "(", ("neverseen",)),)
+    urls = ["http://host77777.x/", "http://www.host5.y/host12", "http://clean/", None, "http://hosts5/"]
+    pages = spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls * 2)], PAGES)
+    out = {r["page_id"]: (r["pattern"], r["verdict"]) for r in url_filter.judge_urls(pages, pattern_rules=rules).collect()}
+    want = [("r77777", "block"), ("r12", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert out == dict(enumerate(want * 2))
+    for tokens in ((), ("Upper",), ("two words",)):
+        with pytest.raises(ValueError, match="needs tokens"):
+            url_filter.rule_index((url_filter.PatternRule("r", "x", tokens),), {})
+    assert url_filter.judge_urls(pages.limit(0)).collect() == []
+
+
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
     rows, labels = [], []
     for i in range(400):

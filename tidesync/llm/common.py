@@ -47,5 +47,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+COPIES = 4096
+
+
+def numbered_copies(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a number from 0 for each of several equal rows, the same in each run.
+
+    Equal rows meet as one row with their count (partial sums first), so no task gathers them; the count is
+    dealt out again in blocks, row by row.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count("*").alias("__n"))
+    last = F.col("__n") - 1
+    blocks = counted.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+    upto = F.least(last, F.col("__first") + (COPIES - 1))
+    return blocks.withColumn(column, F.explode(F.sequence("__first", upto))).select(*names, column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,8 @@ Conflicts: a bin holds no two pieces of one duplicate cluster, and at most ``per
 one source (one bitmap per allowed repeat). A document longer than the capacity is cut into full
 pieces and a rest; only sizes travel, never texts.
 
-Shards are hash-dealt, so a hot source or cluster is spread evenly over them, and their number grows
+Shards are hash-dealt, so a hot source or cluster is spread evenly over them, and rows that repeat id and text
+are numbered first, so they are, too. The number of shards grows
 with the rows and words; one task never sees more than about ``shard_rows`` rows. The search visits a
 residual only if some bin has it.
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesync.llm.common import count_words, pinned, text_of
+from tidesync.llm.common import count_words, numbered_copies, pinned, text_of
 from tidesync.llm.exact_dedup import normalised
 
 CAPACITY = 2048
@@ -87,7 +88,7 @@ class Bins:
 
 def pack_shard(pieces: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """Best fit, largest first; ties by id and piece, so reruns agree."""
-    rows = pieces.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
+    rows = pieces.sort_values(["n_words", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable", na_position="last")
     sources, clusters, placed = {}, {}, []
     bins = Bins(capacity, per_source)
     for size, source, cluster in zip(rows["n_words"], rows["source"], rows["cluster"]):
@@ -105,19 +106,19 @@ def pack(
     sizes = docs.select(
         "doc_id", "source", count_words(text_of()).alias("size"), F.xxhash64(normalised(text_of())).alias("cluster")
     ).filter("size > 0")
-    sizes = pinned(spark, sizes, "pack-sizes")
+    sizes = pinned(spark, numbered_copies(sizes, "copy"), "pack-sizes")
     total = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.ceil(F.col("size") / capacity)), F.lit(0)).alias("pieces")).first()
     shards = max(1, -(-total["rows"] // shard_rows), -(-int(total["pieces"]) // shard_pieces))
     pieces = (
         sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / capacity) - 1)))
         .withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity))
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(29), "doc_id", "piece", "cluster", "source"), F.lit(shards)).cast("long"))
-        .select("doc_id", "piece", "n_words", "source", "cluster", "shard")
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(29), "doc_id", "piece", "cluster", "source", "copy"), F.lit(shards)).cast("long"))
+        .select("doc_id", "piece", "n_words", "source", "cluster", "copy", "shard")
     )
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(source=[None if pd.isna(s) else s for s in rows["source"]])
-        return pack_shard(rows, capacity, per_source).drop(columns="cluster")
+        return pack_shard(rows, capacity, per_source).drop(columns=["cluster", "copy"])
 
     schema = "doc_id long, piece long, n_words long, source string, shard long, bin long, offset long"
     return pieces.groupBy("shard").applyInPandas(packed, schema)

@@ -3,11 +3,12 @@
 Method: every pattern rule names literal tokens that any match must contain. One aggregate counts,
 over all urls, how often each of these tokens occurs; a rule is filed under its rarest one. A url is
 split into tokens, its tokens fetch the rules filed under them, and only those run their regular
-expression. The index has one entry per rule and goes to every task; the rule list is a parameter
-of the operator and does not grow with the data.
+expression, compiled when it is first fetched. A rule without a token is refused: it would run on every url.
+The index has one entry per rule and goes to every task; the rule list is a parameter
+of the operator (a table of ``name``, ``pattern``, ``tokens`` is read by ``rules_of``) and does not grow with the data.
 
-Host rules come first: a rule fits its host and all subdomains if the path starts with the rule's
-path; the longest fitting rule decides. Only urls that no host rule fits are judged by patterns.
+A host rule fits its host and all subdomains if the path starts with the rule's path; the longest fitting
+rule decides the verdict, whatever pattern the url has.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no tokens, and is allowed.
 Page ids may be null or repeat; rows are judged one by one.
@@ -64,7 +65,8 @@ PATTERN_RULES = (
     PatternRule("cheap-pills", r"://[^/?#]*\bcheap[-.]pills\b", ("cheap", "pills")),
     PatternRule("spam-farm", r"://[^/?#]*\bspam[-.]farm\b", ("spam", "farm")),
     PatternRule("ads-track", r"://[^/?#]*\bads[-.]track\b", ("ads", "track")),
-    PatternRule("login-page", r"://[^/?#]*/(?:[^?#]*/)?(?:login|signin)\b", ()),
+    PatternRule("login-page", r"://[^/?#]*/(?:[^?#]*/)?login\b", ("login",)),
+    PatternRule("signin-page", r"://[^/?#]*/(?:[^?#]*/)?signin\b", ("signin",)),
     PatternRule("cart-page", r"://[^/?#]*/(?:[^?#]*/)?cart\b", ("cart",)),
     PatternRule("calendar-trap", r"://[^/?#]*/[^?#]*\bcalendar/[0-9]{4}/[0-9]{2}\b", ("calendar",)),
     PatternRule("session-id", r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
@@ -90,23 +92,30 @@ def host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Column
     return out
 
 
+def rules_of(table: DataFrame) -> tuple[PatternRule, ...]:
+    """Pattern rules from a rule table: name, pattern, tokens (array of lower-case tokens)."""
+    return tuple(PatternRule(r["name"], r["pattern"], tuple(r["tokens"] or ())) for r in table.toLocalIterator())
+
+
 def token_counts(urls: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str, int]:
-    """Occurrences of the rules' tokens over all urls: one row per such token reaches the driver."""
+    """Urls that hold each of the rules' tokens: one row per such token reaches the driver."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = urls.select(
-        F.explode(F.array_intersect(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, wanted)))).alias("token")
-    )
-    counts = {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), F.lit(0)))).alias("token"))
+    named = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    counted = tokens.join(F.broadcast(named), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = {r["token"]: r["n"] for r in counted.toLocalIterator()}
     return {t: counts.get(t, 0) for t in wanted}
 
 
 def rule_index(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[str, list[tuple[str, str]]]:
-    """Rules by their rarest token; rules without any token under the empty token, tried for every url."""
+    """Rules by their rarest token. A token must be one that urls are split into, else the rule would never be fetched."""
     index: dict[str, list[tuple[str, str]]] = {}
     for rule in rules:
-        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default="")
+        if not rule.tokens or not all(re.fullmatch(TOKEN, t) for t in rule.tokens):
+            raise ValueError(f"pattern rule {rule.name!r} needs tokens of the form {TOKEN}, not {rule.tokens}")
+        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t))
         index.setdefault(token, []).append((rule.name, rule.pattern))
     return index
 
@@ -118,18 +127,20 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     index = rule_index(tuple(pattern_rules), token_counts(rows, tuple(pattern_rules)))
 
     def first_pattern(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = {t: [(n, re.compile(p)) for n, p in rs] for t, rs in index.items()}
-        always = compiled.get("", [])
+        compiled: dict[str, list[tuple[str, re.Pattern]]] = {}
         token = re.compile(TOKEN)
 
+        def fetch(t: str) -> list[tuple[str, re.Pattern]]:
+            if t not in compiled:
+                compiled[t] = [(n, re.compile(p)) for n, p in index[t]]
+            return compiled[t]
+
         def judge(url: str | None) -> str | None:
             if url is None or "://" not in url:
                 return None
             low = url.lower()
-            found = [n for n, p in always if p.search(low)]
-            for t in set(token.findall(low)):
-                found += [n for n, p in compiled.get(t, ()) if p.search(low)]
-            return min(found, default=None)
+            fetched = set(token.findall(low)) & index.keys()
+            return min((n for t in fetched for n, p in fetch(t) if p.search(low)), default=None)
 
         for urls in batches:
             yield urls.map(judge, na_action=None).astype(object)
