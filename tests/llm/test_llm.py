@@ -311,6 +311,56 @@ def test_html_places_inside_articles(spark):
     assert out.to_dict() == {**want, 10: own.format(10).strip() + " teaser"}
 
 
+def kept_text(page):
+    return " ".join(b[2] for b in html_extract.read_blocks(page))
+
+
+def test_html_reader_comments_and_adverts_go_at_any_size():
+    own, many = "word " * 30, "<p>a comment that is long</p>" * 30
+    for name in ("comments", "post-comments", "commentlist", "user-reviews", "ad-slot"):
+        part = f"<div class='{name}'>{many}</div>"
+        assert kept_text(f"<body><article><p>{own}</p></article>{part}") == own.strip(), name
+        assert kept_text(f"<body><article><p>{own}</p>{part}</article>") == own.strip(), name
+        assert kept_text(f"<body><div><p>{own}</p></div>{part}") == own.strip(), name
+    assert kept_text(f"<article><p>{own}</p></article><article class='comment-body'>{many}</article>") == own.strip()
+    assert kept_text(f"<article><p>{own}</p><div itemtype='https://schema.org/Comment'>{many}</div></article>") == own.strip()
+
+
+def test_html_headers_by_place():
+    """A header inside an article holds its title; the site's own goes, also by name."""
+    page = "<body><header><h1>site</h1></header><article><header><h1>Title</h1><nav>menu</nav></header><p>text</p></article>"
+    assert kept_text(page) == "Title text"
+    assert kept_text("<div id='header'>site</div><main><div class='header'><h1>Title</h1></div><p>text</p></main>") == "Title text"
+    assert kept_text("<div class='section widget'><main><p>text</p></main></div><div class='widget'>no</div>") == "text"
+    assert kept_text("<div class='related'><article>teaser</article></div><article>the longer text</article>") == "the longer text"
+
+
+def test_html_shared_paragraphs_stay(spark):
+    """A paragraph on 45 of a host's 200 pages stays, inside and outside of articles; one on nearly all goes.
+
+    What a single page has in a place that repeats otherwise stays, too."""
+    rows = []
+    for i in range(200):
+        shared = "<p>shared by some</p>" if i < 45 else ""
+        note = f"<div class='x'>{'all rights' if i else 'a note of this page'}</div>"
+        for host, tag in (("in", "article"), ("out", "section")):
+            rows.append((i, f"http://{host}/{i}", f"<{tag}><p>own {i}</p>{shared}<p>on all</p></{tag}>{note if tag == 'section' else ''}", ""))
+    out = html_extract.main_text(spark, spark.createDataFrame(rows, PAGES)).toPandas().set_index("url")["text"]
+    for i in range(200):
+        want = f"own {i}" + (" shared by some" if i < 45 else "")
+        assert out[f"http://in/{i}"] == want
+        assert out[f"http://out/{i}"] == want + ("" if i else " a note of this page")
+
+
+def test_html_empty_repeated_and_long(spark):
+    empty = html_extract.main_text(spark, spark.createDataFrame([], PAGES))
+    assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
+    long = "<p>" + "long words " * 200_000 + "</p>"
+    rows = [(1, "http://h/a", long, "")] * 3 + [(None, None, "<p>x</p>", "")] * 6
+    out = html_extract.main_text(spark, spark.createDataFrame(rows, PAGES)).toPandas()
+    assert sorted(out["n_chars"]) == [1] * 6 + [len("long words " * 200_000) - 1] * 3
+
+
 def test_packing_invariants(spark):
     d = corpus(spark).select("doc_id", "text", "lang", "source", "n_chars")
     out = packing.pack(spark, d.union(d.limit(20)), capacity=300, shard_rows=100).toPandas()

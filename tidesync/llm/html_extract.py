@@ -4,14 +4,18 @@ Method: every page is read into blocks, each with its place in the style tree (t
 names and class names from the body down). The pages of a host are merged: one aggregate over all
 pages counts, for each host and place, the pages that carry each content and each whole list of contents. The
 importance of a place is the entropy of its lists over the host's pages, divided by its maximum: 1 if
-every page has a list of its own there, 0 if all pages repeat the same (menus, notices, legal lines). A
-content that most pages repeat beside others of their own is judged alone, by the share of pages that
-carry it. Presentation
-counts too: elements that stand for navigation, headers, footers, sidebars and forms have no importance
-whatever they contain. A class or id, taken whole, that stands for such a part, for adverts, notices or
-reader comments removes a branch with up to half of the page's text, never an article or main element.
-Marked articles weigh by their share of the page's text: importances inside
-them are raised by it, those outside lowered, so a teaser decides nothing and a whole article much.
+every page has a list of its own there, 0 if all pages repeat the same (menus, notices, legal lines). In a
+place of low importance the contents of more than one page go; what a single page has there stays. In other places a
+content is judged alone, by the share of the place's pages that carry it (0 if all do, 1 if one does),
+whatever the size of the host.
+
+Presentation counts too: elements that stand for navigation, headers, footers, sidebars and forms have no
+importance whatever they contain; a header inside an article or main element belongs to it. A class or id, taken whole,
+that stands for such a part, for adverts, notices or reader comments removes its branch, unless the branch
+is a wrapper by its place: it encloses the main element or, on a page without one, the article with the most text. If no
+text is left, the name of the largest branch is ignored. Names of reader comments and adverts have no such way out. Marked articles
+weigh by their share of the page's text: importances inside them are raised by it, those outside
+lowered, so a teaser decides nothing and a whole article much.
 
 Entropy speaks only where a host has at least ``MIN_PAGES`` pages with the place. Pages with equal texts
 count once, so copies of one page stay whole.
@@ -53,18 +57,26 @@ INLINE = frozenset(
 )
 SKIPPED = frozenset("head nav header footer aside form dialog menu".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-SKIPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
-    "subscribe signup login comment comments disqus replies respond share sharing social related recommended widget toolbar "
-    "pagination pager copyright legal disclaimer".split()
+#: Reader comments and adverts: their names speak against a branch of any size.
+READER_NAMES = frozenset("comment comments commentlist disqus replies respond reviews discussion".split())
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion".split())
+HEADER_NAMES = frozenset("header masthead banner".split())
+SKIPPED_NAMES = READER_NAMES | ADVERT_NAMES | HEADER_NAMES | frozenset(
+    "menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices alert popup "
+    "modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager "
+    "copyright legal disclaimer".split()
 )
 #: Words that may stand beside a skipped one in a compound name, such as site-footer.
 BESIDE_NAMES = frozenset(
     "site page main top bottom left right global primary secondary area section list box bar block wrapper container inner "
     "links buttons posts".split()
 )
-MOST = 0.5  # share of a page's text that makes a branch more than its name
+#: Words that may stand beside a name of reader comments or adverts, such as post-comments or ad-slot.
+BESIDE_READER = BESIDE_NAMES | frozenset("post article user users reader readers customer visitor thread slot unit space".split())
+#: Names of a single comment that is marked up as an article.
+COMMENT_ARTICLES = frozenset("comment reply".split())
+BESIDE_COMMENT = frozenset("body item content".split())
+COMMENT_TYPES = ("schema.org/comment", "schema.org/usercomments")
 ARTICLE = frozenset(("article", "main"))
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
@@ -80,29 +92,61 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NAMES = re.compile(r"[a-z0-9]+")
 
 
-def unimportant(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether the presentation of an element tells that it holds no main text."""
-    if tag in SKIPPED or attributes.get("role", "").lower() in SKIPPED_ROLES:
+def unimportant(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether the presentation of an element tells that it holds no main text; ``inside``: a marked article."""
+    role = attributes.get("role", "").lower()
+    if (tag in SKIPPED or role in SKIPPED_ROLES) and not (inside and tag == "header"):
+        return True
+    if role == "comment" or attributes.get("itemtype", "").lower().rstrip("/").endswith(COMMENT_TYPES):
         return True
     return "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
-def named(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether a class or id of an element, taken whole, speaks against it; articles, html and body are exempt."""
-    if tag in ARTICLE or tag in ("html", "body"):
-        return False
+def named(tag: str, attributes: dict[str, str], inside: bool) -> str | None:
+    """What a class or id of an element, taken whole, says against it: ``reader`` (comments, adverts), ``part`` or nothing.
+
+    Main, html and body are exempt, articles but for single comments; a header of a marked article (``inside``) is its own.
+    """
+    if tag in ("main", "html", "body"):
+        return None
+    found = None
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = set(_NAMES.findall(name))
-        if parts & SKIPPED_NAMES and parts <= SKIPPED_NAMES | BESIDE_NAMES:
-            return True
-    return False
+        if tag == "article":
+            if parts & COMMENT_ARTICLES and parts <= COMMENT_ARTICLES | BESIDE_COMMENT:
+                return "reader"
+            continue
+        reader = READER_NAMES | ADVERT_NAMES
+        if parts & reader and parts <= reader | BESIDE_READER:
+            return "reader"
+        skipped = SKIPPED_NAMES - HEADER_NAMES if inside else SKIPPED_NAMES
+        if parts & skipped and parts <= SKIPPED_NAMES | BESIDE_NAMES:
+            found = "part"
+    return found
+
+
+def _unnamed(blocks: list, branches: list[frozenset[int]], kinds: dict[int, str], wrappers: set[int]) -> list:
+    """The blocks that no name speaks against."""
+    against = [frozenset(i for i in b if i not in wrappers) for b in branches]
+    if blocks and all(against):
+        held: Counter[int] = Counter()
+        for block, names in zip(blocks, against):
+            held.update({i: len(block[2]) for i in names if kinds[i] == "part"})
+        if held:
+            largest = max(held, key=lambda i: (held[i], -i))
+            against = [b - {largest} for b in against]
+    return [block for block, names in zip(blocks, against) if not names]
 
 
 def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
     """Blocks of a page in order: (place in the style tree, inside a marked article, text)."""
     blocks: list[tuple[str, bool, str]] = []
     branches: list[frozenset[int]] = []  # of each block: its branches whose name speaks against them
-    n_branches = 0
+    kinds: dict[int, str] = {}  # of each such branch: what its name says
+    enclosing: dict[int, frozenset[int]] = {}  # of each article and main element: the branches around it
+    mains: set[int] = set()
+    held_by: list[frozenset[int]] = []  # of each block: the articles and main elements around it
+    around: list[tuple[int, int]] = []  # open articles and main elements: depth, number
     stack: list[tuple[str, str, bool, bool, frozenset[int], bool]] = []  # tag, label, unimportant, in article, branches, muted
     text: list[str] = []
 
@@ -115,11 +159,14 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
                 place = "/".join(s[1] for s in stack if s[0] not in INLINE and not s[5])
                 blocks.append((place, bool(stack) and stack[-1][3], joined))
                 branches.append(stack[-1][4] if stack else frozenset())
+                held_by.append(frozenset(number for _, number in around))
 
     def close_to(depth: int) -> None:
         if any(s[0] not in INLINE and not s[5] for s in stack[depth:]):
             flush()
         del stack[depth:]
+        while around and around[-1][0] >= depth:
+            around.pop()
 
     def close_open(tags: set[str], barrier: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -168,23 +215,29 @@ def read_blocks(page: str | None) -> list[tuple[str, bool, str]]:
             close_open({"p"}, {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS and not muted:
             close_open(SIBLINGS[tag], SCOPES[tag])
-        low = (stack[-1][2] if stack else False) or unimportant(tag, attributes)
-        inside = (stack[-1][3] if stack else False) or tag in ARTICLE
+        inside = stack[-1][3] if stack else False
+        low = (stack[-1][2] if stack else False) or unimportant(tag, attributes, inside)
         label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())])
         against = stack[-1][4] if stack else frozenset()
-        if named(tag, attributes):
-            n_branches += 1
-            against |= {n_branches}
+        if kind := named(tag, attributes, inside):
+            kinds[len(kinds)] = kind
+            against |= {len(kinds) - 1}
         if not found[0].endswith("/>"):
             muted = bool(stack) and stack[-1][5]
-            stack.append((tag, label, low, inside, against, muted))
+            if tag in ARTICLE and not muted:
+                around.append((len(stack), len(enclosing)))
+                if tag == "main":
+                    mains.add(len(enclosing))
+                enclosing[len(enclosing)] = against
+            stack.append((tag, label, low, inside or tag in ARTICLE, against, muted))
     flush()
-    held: Counter[int] = Counter()
-    for block, against in zip(blocks, branches):
-        held.update(dict.fromkeys(against, len(block[2])))
-    most = MOST * sum(len(b[2]) for b in blocks)
-    blocks = [b for b, against in zip(blocks, branches) if all(held[i] > most for i in against)]
-    return blocks
+    sizes: Counter[int] = Counter()
+    for block, names, held in zip(blocks, branches, held_by):
+        if not any(kinds[i] == "reader" for i in names):
+            sizes.update(dict.fromkeys(held, len(block[2])))
+    marked = mains or set(sorted(sizes, key=lambda i: (-sizes[i], i))[:1])
+    wrappers = {i for m in marked for i in enclosing[m] if kinds[i] == "part"}
+    return _unnamed(blocks, branches, kinds, wrappers)
 
 
 def digest(*parts: str) -> int:
@@ -213,10 +266,10 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def low_places(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, lows): the places of a host whose lists repeat over its pages, and the contents that do.
+    """(host, lows): contents of a host (digests of place and text) that repeat over its pages, and their importance.
 
-    Pages with equal texts count once. Importances are 0 for what every page with the place repeats and 1
-    for what one page has alone, however many contents a page has at the place.
+    Pages with equal texts count once. The importance is the content's own, 0 for what every page with the
+    place carries and 1 for what one page has alone, or that of its place if more than one page carries it and the place's is less.
     """
     names = ["host", "node", "key", "variant"]
     rows = pages.select("host", "html").mapInPandas(_contents, "host string, node long, key long, variant long, version long")
@@ -227,12 +280,9 @@ def low_places(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES
         .agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s")).filter(F.col("pages") >= max(min_pages, 2))
     )
     of_node = (F.log2("pages") - F.col("s") / F.col("pages")) / F.log2("pages")
-    of_content = (F.log2("pages") - F.log2("n")) / F.log2("pages")
+    of_content = 1 - (F.col("n") - 1) / (F.col("pages") - 1)
     contents = counted.filter("key != node AND n > 1").join(nodes, ["host", "node"])
-    both = nodes.select("host", F.col("node").alias("key"), of_node.alias("importance")).union(
-        contents.select("host", "key", of_content.alias("importance"))
-    )
-    low = both.filter(F.col("importance") < threshold)
+    low = contents.select("host", "key", F.least(of_content, of_node).alias("importance")).filter(F.col("importance") < threshold)
     return low.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", "importance"))).alias("lows"))
 
 
@@ -245,7 +295,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             marked = sum(len(b[2]) for b in blocks if b[1]) / max(sum(len(b[2]) for b in blocks), 1)
             kept = []
             for place, inside, text in blocks:
-                importance = min(low.get(digest(place), 1.0), low.get(digest(place, text), 1.0)) if low else 1.0
+                importance = low.get(digest(place, text), 1.0) if low else 1.0
                 if importance * (1 + marked if inside else 1 - marked) >= LOW_IMPORTANCE:
                     kept.append(text)
             texts.append(" ".join(kept))
