@@ -12,6 +12,7 @@ Two NULL rules live here and are never mixed:
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -30,6 +31,9 @@ from tidesync.operators.sizing import Size, fits_broadcast, hinted, key_size, me
 HIT = "__src_hit"
 SRC = "__src_"
 
+#: Heavy keys that a split merge sets apart, at most.
+MOST_HEAVY = 1000
+
 # Outcome labels (the HTTP codes of a row-at-a-time service become labels of a batch).
 UPDATE, INSERT, STALE = "update", "insert", "stale"
 APPLIED, NO_FIELDS, NOT_FOUND, CONFLICT_EXISTS, CONFLICT_DUP = (
@@ -59,7 +63,7 @@ def _align(df: DataFrame, target: DataFrame, fill: dict[str, Column] | None = No
 class MergeResult:
     result: DataFrame        # new state of the target
     classes: DataFrame       # one row per source key: key..., match_class ('update' | 'insert' | 'stale')
-    strategy: str            # 'broadcast' or 'shuffle'
+    strategy: str            # 'broadcast', 'shuffle' or 'split' (heavy keys by broadcast, the rest by shuffle)
     source_size: Size
     deleted: DataFrame | None = None   # target keys removed (only with delete_missing)
     observations: list[Observation] = field(default_factory=list)   # with merge(observe=True)
@@ -72,9 +76,9 @@ class MergeResult:
         job of their own. Call only after an action on ``result`` (e.g. its write) has finished."""
         if not self.observations:
             raise ValueError("pass observe=True to merge()")
-        got: dict[str, int] = {}
+        got: Counter[str] = Counter()
         for o in self.observations:
-            got.update(o.get)
+            got.update(o.get)                            # adds; a split merge counts in both of its parts
         upd, ins = int(got.get("num_updated_rows", 0)), int(got.get("num_inserted_rows", 0))
         dele = int(got.get("num_deleted_rows", 0))
         return {"num_affected_rows": upd + ins + dele, "num_updated_rows": upd,
@@ -99,7 +103,7 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
           strategy: str | None = None, newer_than: str | None = None,
           delete_missing: bool = False,
           pin: Callable[[DataFrame], DataFrame] | None = None,
-          observe: bool = False) -> MergeResult:
+          observe: bool = False, heavy_rows: int | None = None) -> MergeResult:
     """Upsert ``source`` into ``target`` by ``key``.
 
     Matched: every source column overwrites the target's (NULL included). Not matched: the source
@@ -126,6 +130,12 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     ``result`` (``DataFrame.observe``), in the stage that writes it, and read with
     ``observed_metrics()`` after that write. No job of their own, and in the shuffle plan no second
     pass over the target's keys.
+
+    ``heavy_rows=n``: for targets that repeat keys, where the shuffle plan would bring all rows of a key to
+    one task (AQE splits no full outer join). Keys with n target rows or more are measured by one aggregate (at most
+    MOST_HEAVY of them: the limit is raised to a share of the target). Their target rows stay where they are
+    and meet their source rows, one per key, by a broadcast of checked size; the rest takes the shuffle plan. Both
+    parts are decided by the same null-safe key test, so a row is in exactly one.
     """
     key = list(key)
     extra = [c for c in source.columns if c not in target.columns]
@@ -143,6 +153,20 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     spark = source.sparkSession
     if strategy is None:
         strategy = "broadcast" if fits_broadcast(spark, size) else "shuffle"
+    if strategy == "shuffle" and heavy_rows is not None:
+        heavy = heavy_keys(target, key, heavy_rows)
+        mine = None if heavy is None else with_keys(source, heavy, key, True)
+        heavy_size = None if mine is None else measure(mine)
+        if fits_broadcast(spark, heavy_size):
+            options = dict(on_duplicate="trust", newer_than=newer_than, delete_missing=delete_missing, pin=pin, observe=observe)
+            parts = [
+                merge(with_keys(target, heavy, key, False), with_keys(source, heavy, key, False), key,
+                      source_size=size, strategy="shuffle", **options),
+                merge(with_keys(target, heavy, key, True), mine, key, source_size=heavy_size, strategy="broadcast", **options),
+            ]
+            a, b = parts
+            return MergeResult(a.result.unionByName(b.result), a.classes.unionByName(b.classes), "split", size,
+                               a.deleted.unionByName(b.deleted) if delete_missing else None, a.observations + b.observations)
 
     value_cols = [c for c in target.columns if c not in key and c in source.columns]
     flagged = source.select(*key, *[F.col(c).alias(SRC + c) for c in value_cols], F.lit(True).alias(HIT))
@@ -216,6 +240,25 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], *, on_duplic
     return MergeResult(result, classes, strategy, size, deleted, observations)
 
 
+def heavy_keys(target: DataFrame, key: Sequence[str], heavy_rows: int) -> DataFrame | None:
+    """Keys with at least ``heavy_rows`` rows of the target, or None; at most MOST_HEAVY, since a key counts as heavy
+    only if it also holds that share of the rows. Rows are counted per key with partial sums before the shuffle."""
+    least = max(heavy_rows, -(-target.count() // MOST_HEAVY))
+    counts = target.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+    found = counts.collect()
+    return target.sparkSession.createDataFrame(found, counts.schema) if found else None
+
+
+def with_keys(rows: DataFrame, few: DataFrame, key: Sequence[str], inside: bool) -> DataFrame:
+    """Rows whose key is (or is not) among ``few`` keys, NULL counted as a value; ``few`` is small by a proven bound."""
+    names = {k: f"__few_{k}" for k in key}
+    cond = None
+    for k, n in names.items():
+        same = rows[k].eqNullSafe(F.col(n))
+        cond = same if cond is None else cond & same
+    return rows.join(F.broadcast(few.withColumnsRenamed(names)), cond, "left_semi" if inside else "left_anti")
+
+
 def merge_metrics(classes: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """One row: affected, updated, deleted and inserted rows (deleted is 0 without delete_missing)."""
     counts = classes.agg(

@@ -266,6 +266,21 @@ SELECT count(*) AS num_affected_rows,
        CAST(0 AS BIGINT) AS num_deleted_rows,
        count(*) FILTER (WHERE match_class = 'insert') AS num_inserted_rows
 FROM classes"""),
+        "merge_split": _with(LAKE, """,
+skewed AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS o_custkey) FROM lake),
+clerks AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN 'Clerk#' || lpad(CAST(c_custkey % 50 AS VARCHAR), 9, '0') END AS clerk
+  FROM customer
+)
+""" + f"""SELECT {", ".join({"o_custkey": "CAST(COALESCE(t.o_custkey, s.c_custkey) AS BIGINT) AS o_custkey",
+                   "o_clerk": "CASE WHEN s.c_custkey IS NOT NULL THEN s.clerk ELSE t.o_clerk END AS o_clerk"}.get(c, f"t.{c}") for c in COLS)}
+FROM skewed t FULL JOIN clerks s ON t.o_custkey = s.c_custkey"""),
+        "page_ranked": _with(MERGED, f"SELECT * FROM merged ORDER BY o_orderkey LIMIT {Q.PAGE_LIMIT} OFFSET {Q.RANKED_OFFSET}"),
+        "insert_sketched": _with(INSERT_BATCH, """
+SELECT * FROM lake UNION ALL SELECT * FROM uniq WHERE o_orderkey NOT IN (SELECT o_orderkey FROM lake)"""),
+        "insert_sketched_conflicts": _with(INSERT_BATCH, """
+SELECT o_orderkey, 'duplicate_in_batch' AS reason FROM dups
+UNION ALL SELECT o_orderkey, 'exists' AS reason FROM uniq WHERE o_orderkey IN (SELECT o_orderkey FROM lake)"""),
         "merge_twice": _with(MERGED, "SELECT * FROM merged"),
         "merge_shuffle": _with(MERGED, "SELECT * FROM merged"),
         "merge_latest": _with(MERGED_LATEST, "SELECT * FROM merged"),

@@ -213,6 +213,11 @@ def apply(spark: SparkSession, table: BucketedTable, changes: DataFrame,
     return touched
 
 
+def count_files(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Rows in committed Parquet folders, from the files' footers."""
+    return spark.read.parquet(*paths).count() if paths else 0
+
+
 def partition_locations(spark: SparkSession, name: str) -> dict[int, str]:
     """Bucket id → folder, from the catalog (one call per partition, at most B)."""
     out = {}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, TableContract
-from tidesync.operators.changes import MergeResult, merge, prepare_source
+from tidesync.operators.changes import merge, prepare_source
 from tidesync.operators.dedupe import DuplicateKeyError
 from tidesync.operators.load import reject_reason, typed
 from tidesync.operators.sizing import Size, measure, measure_keyed
@@ -134,17 +134,25 @@ def forward_merge_buckets(spark: SparkSession, staging: DataFrame, table: bucket
 
 def merge_staged_buckets(spark: SparkSession, staged: Staged, table: bucketed.BucketedTable,
                          contract: TableContract = ORDERS) -> ForwardRun:
-    """Merge rows already staged into the buckets that hold their keys."""
+    """Merge rows already staged into the buckets that hold their keys.
+
+    The metrics are taken from committed files: a MERGE removes no row, so the buckets' new files hold as many rows
+    more than the old ones as were inserted, and the other staged rows (one per key) are updates of the contract's
+    unique key. A map stage that runs again after a lost executor cannot count twice, as an accumulator below
+    the bucket exchange could."""
     if staged.size is None:
         return ForwardRun("no_rows", rejects=staged.rejects)
     key = list(contract.key)
-    merges: list[MergeResult] = []
 
     def change(current: DataFrame, changes: DataFrame) -> DataFrame:
-        merges.append(merge(current, changes, key, on_duplicate="trust", source_size=staged.size, observe=True))
-        return merges[-1].result
-
-    touched = bucketed.apply(spark, table, staged.source, change)         # writes the result once
-    metrics = merges[-1].observed_metrics() if merges else {}
+        return merge(current, changes, key, on_duplicate="trust", source_size=staged.size).result
+
+    before = bucketed.partition_locations(spark, table.name)
+    touched = bucketed.apply(spark, table, staged.source, change)
+    after = bucketed.partition_locations(spark, table.name)
+    held, holds = (bucketed.count_files(spark, [at[b] for b in touched if b in at]) for at in (before, after))
+    inserted = holds - held
+    metrics = {"num_affected_rows": staged.size.rows, "num_updated_rows": staged.size.rows - inserted,
+               "num_deleted_rows": 0, "num_inserted_rows": inserted}
     counts = {"touched_buckets": len(touched), "fetched_rows": staged.fetched, "rejected_rows": staged.rejected}
     return ForwardRun("merged", {**metrics, **counts}, table.root, "buckets", staged.rejects)

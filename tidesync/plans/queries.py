@@ -17,7 +17,7 @@ from tidesync.functions.values import with_defaults
 from tidesync.operators import changes, checks, diff, query
 from tidesync.operators.keys import KeyJoin
 from tidesync.operators.load import typed
-from tidesync.plans import bucketed, changelog, clone, forward, incremental, publish, search_index
+from tidesync.plans import bucketed, changelog, clone, forward, incremental, key_sketch, publish, rank_index, search_index
 from tidesync.session import scratch_path
 from tidesync.sources import fixtures, ingest, tables
 from tidesync.streaming import sync
@@ -35,6 +35,8 @@ CUSTOMER_LIMIT, CUSTOMER_OFFSET = 100, 200
 KEYSET_AFTER = 149
 DEEP_OFFSET, DEEP_MAX_REST = 12_345, 1_000
 SEED_SIZE = 100
+RANKED_OFFSET = 1_234
+HEAVY_ROWS = 200
 BUCKETS = 16
 SEARCH_FILES = 16
 RANGES = 8
@@ -235,6 +237,14 @@ def merge_shuffle(spark, d):
     return changes.merge(i.lake, i.staging, KEY, strategy="shuffle").result
 
 
+def merge_split(spark, d):
+    """Customers' clerks merged into the orders by customer key, where one customer holds a third of the
+    orders: the heavy key is split off and merged by broadcast, the rest by the sort-merge plan."""
+    lake = fixtures.skewed_orders(_lake(spark, d))
+    return changes.merge(lake, fixtures.customer_clerks(tables.read_table(spark, d, "customer")), ["o_custkey"],
+                         strategy="shuffle", heavy_rows=HEAVY_ROWS).result
+
+
 def merge_latest(spark, d):
     """MERGE of a staging batch that repeats keys, keeping the latest row per key (by price)."""
     i = _Inputs(spark, d)
@@ -342,6 +352,29 @@ def insert_strict(spark, d):
     return changes.insert_strict(i.staging, i.insert_batch(), KEY).result
 
 
+def _sketched_insert(spark, d):
+    """A strict insert into the whole lake orders, kept in buckets with key sketches."""
+    root = scratch_path(spark, "sketch")
+    name = "tidesync_sketch_" + root.rsplit("-", 1)[-1]
+    i = _Inputs(spark, d)
+    table = bucketed.create(spark, name, i.lake, KEY, BUCKETS, root)
+    sketch = key_sketch.KeySketch(spark, table, f"{root}/sketches")
+    sketch.refresh()
+    done = sketch.insert_strict(i.insert_batch(), pin=lambda df: publish.materialize(df, scratch_path(spark, "judged")))
+    return table, done.insert
+
+
+def insert_sketched(spark, d):
+    """The lake orders after the insert; only buckets that may hold a key of the batch were looked at."""
+    table, done = _sketched_insert(spark, d)
+    key_sketch.publish_inserts(spark, table, done.inserted)
+    return table.read(spark)
+
+
+def insert_sketched_conflicts(spark, d):
+    return _sketched_insert(spark, d)[1].conflicts
+
+
 def insert_conflicts(spark, d):
     i = _Inputs(spark, d)
     return changes.insert_strict(i.staging, i.insert_batch(), KEY).conflicts
@@ -581,6 +614,20 @@ def page_synced_customers(spark, d):
     return query.page(sync.read_log(spark, root), "c_custkey", CUSTOMER_VIEW_COLUMNS, CUSTOMER_LIMIT, CUSTOMER_OFFSET)
 
 
+def page_ranked(spark, d):
+    """A deep page of the live orders of a change-file copy, from the ranges that the row counts point to: a snapshot
+    and a batch of changes, of which only the touched ranges are counted again."""
+    root = scratch_path(spark, "ranked")
+    i = _Inputs(spark, d)
+    first = i.lake.withColumns({"seq": F.lit(0).cast("long"), "op": F.lit(None).cast("string")})
+    log = changelog.create_from(spark, root, first, KEY, RANGES)
+    index = rank_index.RankIndex(spark, root)
+    index.refresh()
+    batch = i.staging.withColumns({"seq": F.lit(1).cast("long"), "op": F.lit(None).cast("string")})
+    log.append(batch, changelog.measure(batch))
+    return index.page(PAGE_LIMIT, RANKED_OFFSET).rows
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_clone": snapshot_clone,
     "clone_row_counts": clone_row_counts,
@@ -605,12 +652,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_deep": page_deep,
     "page_customers": page_customers,
     "page_keyset": page_keyset,
+    "page_ranked": page_ranked,
     "merge_orders": merge_orders,
     "merge_match_classes": merge_match_classes,
     "merge_metrics": merge_metrics,
     "merge_twice": merge_twice,
     "merge_shuffle": merge_shuffle,
     "merge_latest": merge_latest,
+    "merge_split": merge_split,
     "forward_merge": forward_merge,
     "forward_merge_buckets": forward_merge_buckets,
     "forward_with_bad_rows": forward_with_bad_rows,
@@ -621,6 +670,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forward_incremental_metrics": forward_incremental_metrics,
     "insert_strict": insert_strict,
     "insert_conflicts": insert_conflicts,
+    "insert_sketched": insert_sketched,
+    "insert_sketched_conflicts": insert_sketched_conflicts,
     "insert_returning": insert_returning,
     "patch_returning": patch_returning,
     "json_out": json_out,

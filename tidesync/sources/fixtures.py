@@ -108,6 +108,18 @@ def insert_batch(lake: DataFrame, span: int | None = None) -> DataFrame:
     return base.unionByName(again)
 
 
+def skewed_orders(lake: DataFrame) -> DataFrame:
+    """The lake orders with every third order given to customer 1."""
+    return lake.withColumn("o_custkey", F.when(_k() % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("o_custkey")).cast("long"))
+
+
+def customer_clerks(customer: DataFrame) -> DataFrame:
+    """A clerk for each customer, by key arithmetic; customers = 0 mod 7 have none."""
+    clerk = F.concat(F.lit("Clerk#"), F.lpad((F.col("c_custkey") % 50).cast("string"), 9, "0"))
+    return customer.select(F.col("c_custkey").cast("long").alias("o_custkey"),
+                           F.when(F.col("c_custkey") % 7 != 0, clerk).alias("o_clerk"))
+
+
 def json_records(staged: DataFrame) -> DataFrame:
     """Staged orders as JSON text, spoiled by key: non-numeric price (key = 0 mod 70), missing key
     (0 mod 110), two-letter status (0 mod 130), empty status (0 mod 170; accepted as it is)."""
