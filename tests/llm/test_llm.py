@@ -311,6 +311,20 @@ def test_html_places_inside_articles(spark):
     assert out.to_dict() == {**want, 10: own.format(10).strip() + " teaser"}
 
 
+def test_exact_groups_from_run_leaders(spark):
+    """A third of the rows share one text, with repeated and null ids, longer originals and different numbers of runs."""
+    rows = [(i if i % 7 else None, "a  b" if i == 50 else "ab", "", "", 0) for i in range(120)]
+    rows += [(i, f"own {i}", "", "", 0) for i in range(200, 440)] + [(10, "a b", "", "", 0), (10, "ab", "", "", 0)] + [(3, None, "", "", 0), (1, " ", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for slices in (1, 5, None):
+        out = exact_dedup.exact_groups(spark, docs, slices).toPandas()
+        hot = out[out["group_size"] == 122]
+        assert len(out) == len(rows) and len(hot) == 122 and set(hot["keep_id"]) == {50} and hot["kept"].sum() == 1
+        assert out["kept"].sum() == 242 and set(out[out["group_size"] == 2]["keep_id"]) == {1}
+    assert exact_dedup.drop_copies(spark, docs).count() == 242
+    assert exact_dedup.exact_groups(spark, docs.limit(0)).count() == 0
+
+
 def kept_text(page):
     return " ".join(b[2] for b in html_extract.read_blocks(page))
 

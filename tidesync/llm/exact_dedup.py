@@ -2,10 +2,10 @@
 
 Method: sampled splitters range-partition the rows on their normalised text, an external sort
 places equal texts next to each other, and the run of equal neighbours (full comparison) is
-numbered, best row first. A text that many rows share would fill one range, so the range key
-carries a slice of the row's id: the sampled splitters cut a hot text into up to ``slices`` runs.
-Each row leaves the sort with the SHA-256 of its normalised text; one aggregate over these digests
-(partial sums before its shuffle) merges the runs of a text and gives the row that stays.
+numbered, best row first; its first row also carries the number of its rows. A text that many rows share would
+fill one range, so the range key carries a slice of the row's id: the sampled splitters cut a hot text into up
+to ``slices`` runs, whose number follows the number of rows (``RUN_ROWS``). The first rows of the runs, and only these,
+meet by the SHA-256 of their normalised text: the best of them stays and the run lengths add up.
 
 Only the first 64 characters serve as splitter key, so the sample on the driver stays small
 whatever the text lengths; the sort and the runs compare whole texts.
@@ -28,9 +28,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + "+", "")
 
 
-def exact_groups(spark: SparkSession, docs: DataFrame, slices: int = 64) -> DataFrame:
+#: Slices of a text that all rows share: at least LEAST_SLICES, beyond that one per RUN_ROWS rows of the table.
+LEAST_SLICES, RUN_ROWS = 64, 100_000
+
+
+def exact_groups(spark: SparkSession, docs: DataFrame, slices: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     text = text_of()
+    slices = slices or max(LEAST_SLICES, docs.count() // RUN_ROWS)
     rows = (
         docs.select("doc_id", F.length(text).alias("n_code_points"), normalised(text).alias("norm"))
         .withColumn("head", F.substring("norm", 1, 64))
@@ -39,19 +44,25 @@ def exact_groups(spark: SparkSession, docs: DataFrame, slices: int = 64) -> Data
     run = Window.partitionBy("head", "norm", "slice").orderBy(
         F.desc("n_code_points"), F.asc_nulls_last("doc_id")
     )
-    sorted_rows = rows.repartitionByRange("head", "slice").withColumn("rank", F.row_number().over(run))
+    sorted_rows = rows.repartitionByRange("head", "slice").select(
+        "*", F.row_number().over(run).alias("rank"), F.count("*").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("run_size")
+    )
+    first = F.col("rank") == 1
     rows = pinned(
         spark,
-        sorted_rows.select("doc_id", "n_code_points", "rank", F.sha2("norm", 256).alias("text_sha256")),
+        sorted_rows.select(
+            "doc_id", "n_code_points", "slice", first.alias("first"), F.when(first, F.col("run_size")).alias("run_size"),
+            F.sha2("norm", 256).alias("text_sha256"),
+        ),
         "exact-rows",
     )
-    best = F.struct((-F.col("n_code_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    best = F.struct((-F.col("n_code_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "slice")
     groups = pinned(
         spark,
-        rows.groupBy("text_sha256")
-        .agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
+        rows.filter("first").groupBy("text_sha256")
+        .agg(F.sum("run_size").alias("group_size"), F.min(best).alias("best"))
         .filter("group_size > 1")
-        .select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id")),
+        .select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.slice").alias("best_slice")),
         "exact-groups",
     )
     alone = F.col("group_size").isNull()
@@ -60,7 +71,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, slices: int = 64) -> Data
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == 1))).alias("kept"),
+        (alone | (F.col("first") & (F.col("slice") == F.col("best_slice")))).alias("kept"),
         "text_sha256",
     )
 
