@@ -366,6 +366,48 @@ def test_html_shared_paragraphs_stay(spark):
         assert out[f"http://out/{i}"] == want + ("" if i else " a note of this page")
 
 
+def plain_tree(pages):
+    """Main texts by a plain reading of the rules: (page_id, host, html) in, page_id to text out."""
+    read = {i: html_extract.read_blocks(page) for i, _, page in pages}
+    places = {}  # (host, place) -> {page's whole text: its list there}
+    for i, host, _ in pages:
+        lists = {}
+        for place, _, text in read[i]:
+            lists.setdefault(place, []).append(text)
+        for place, texts in lists.items():
+            places.setdefault((host, place), {})[tuple(b[2] for b in read[i])] = tuple(texts)
+    out = {}
+    for i, host, _ in pages:
+        total = max(sum(len(b[2]) for b in read[i]), 1)
+        marked = sum(len(b[2]) for b in read[i] if b[1]) / total
+        kept = []
+        for place, inside, text in read[i]:
+            lists = list(places[host, place].values())
+            n, carry, importance = len(lists), sum(text in x for x in lists), 1.0
+            if n >= html_extract.MIN_PAGES and carry > 1:
+                entropy = -sum(lists.count(x) / n * np.log2(lists.count(x) / n) for x in set(lists))
+                low = min(1 - (carry - 1) / (n - 1), entropy / np.log2(n))
+                importance = low if low < html_extract.LOW_IMPORTANCE else 1.0
+            if importance * (1 + marked if inside else 1 - marked) >= html_extract.LOW_IMPORTANCE:
+                kept.append(text)
+        out[i] = " ".join(kept)
+    return out
+
+
+def test_html_equals_a_plain_reading_of_the_tree(spark):
+    rng = np.random.RandomState(5)
+    rows = []
+    for i in range(120):
+        tag, host = rng.choice(["article", "section"]), f"h{rng.randint(4)}"
+        parts = [f"<p>{w}</p>" for w in (f"own {i}", f"rare {rng.randint(30)}", f"common {rng.randint(2)}", "always")]
+        menu = "".join(f"<div class='x'>item {k}</div>" for k in range(rng.randint(1, 3)))
+        rows.append((i, f"http://{host}/{i}", f"{menu}<{tag}>{''.join(rng.permutation(parts))}</{tag}><div>{rng.choice(['note', 'other'])}</div>", ""))
+    got = html_extract.main_text(spark, spark.createDataFrame(rows, PAGES)).toPandas().set_index("page_id")["text"].to_dict()
+    want = plain_tree([(i, url.split("/")[2], page) for i, url, page, _ in rows])
+    assert got == want
+    assert any("common" not in t for t in want.values()) or any("item" not in t for t in want.values())
+
+
 def test_html_empty_repeated_and_long(spark):
     empty = html_extract.main_text(spark, spark.createDataFrame([], PAGES))
     assert empty.columns == ["page_id", "url", "text", "n_chars"] and empty.count() == 0
