@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidesync.llm import (
     common, exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, queries, substring_dedup, toxicity, url_filter,
@@ -251,6 +253,20 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark):
     assert none[0]["score"] == 0.0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # rows beyond the first 3,000 of a class, by the hash of the id, have a word that no other row has
+    ids = spark.range(18_000).withColumn("y", (F.col("id") % 2).cast("int")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))).collect()
+    rows = [(r["id"], " ".join(words(r["id"], 6)) + ("" if not r["y"] else " vilestuff" if r["place"] <= 3000 else " badthing")) for r in ranked]
+    labels = spark.createDataFrame([(r["id"], r["y"]) for r in ranked], "doc_id long, toxic int")
+    assert sum("badthing" in text for _, text in rows) > 3000
+    docs = docs_of(spark, rows)
+    out = toxicity.toxicity(docs, labels).toPandas().set_index("doc_id")["predicted"]
+    for word in ("vilestuff", "badthing"):
+        assert out[[i for i, text in rows if word in text]].mean() > 0.95
+    assert out[[i for i, text in rows if "vilestuff" not in text and "badthing" not in text]].mean() < 0.05
+
+
 def test_quality_counts(spark):
     eight = "a b c d e f g h"
     out = quality.quality_rules(docs_of(spark, [f"{eight} x {eight} y z.", None, "line one.\nline one.\n\n" + "good words here. " * 10])).toPandas().set_index("doc_id")

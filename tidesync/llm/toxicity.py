@@ -7,9 +7,12 @@ and a logistic layer gives the score. Per-language thresholds are fitted on rows
 training and folded into the score, so that 0.5 is the threshold in every language. The language is
 guessed from function words of the text itself; lang, source, ids and labels are never inputs.
 
-The sample of labelled rows is bounded (``SAMPLE_ROWS`` per class, ``SAMPLE_CHARS`` in all), drawn by
-a hash of the id over all labelled rows outside the held-out fold. Only that sample reaches the
-driver; the model (about 4 MB, whatever the data) goes to the tasks, which score whole texts.
+Every labelled row outside the held-out fold is learnt from, where it is. Letter groups are counted by the
+tasks and added up by bucket. The rows are dealt by hash into shards of about ``SHARD_ROWS``; in each round every shard
+goes on from the same model with all its rows, and the shards' changes are averaged by bucket, weighted by their rows.
+One row in ten is kept out of the rounds and sets the thresholds, by counts of the scores in steps of 1 / ``STEPS``.
+The driver holds the model (about 4 MB, as much again for the step sizes) and these counts, whatever the data; the
+model goes to the tasks, which score whole texts.
 
 Cases: null and empty texts have the score of a text without any word. Labels that are null, or whose
 document is missing, are ignored; a document labelled twice counts as toxic if any label says so.
@@ -25,21 +28,32 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesync.llm.common import text_of
+from tidesync.operators.sizing import fits_broadcast, hinted, measure
 
-# Bounds of the training sample, and the folds of the contract.
-SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 24_000_000
+# Folds of the contract.
 FOLDS = 5
+#: Rows that one task learns from in a round, about; rounds where there are several such shards; least row visits of one shard.
+SHARD_ROWS = 4000
+ROUNDS = 3
+LEAST_VISITS = 9600
+BATCH, RATE = 32, 0.1
+#: Words of a batch, about; a batch of long texts has fewer rows.
+BATCH_WORDS = 200_000
+#: Steps of the counted logits, and where they are cut (the score is 0 or 1 to 13 digits there).
+STEPS, FARTHEST = 100, 30.0
+#: Fixed point in which the shards' changes are added, so that the sum does not depend on the order.
+UNIT = 1 << 24
 
 BUCKETS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Letter groups of fewer sample documents have no vector, so no text is judged by words seen once.
+#: Letter groups of fewer labelled documents have no vector, so no text is judged by words seen once.
 LEAST_DOCUMENTS = 4
 #: Words whose projections a task keeps at hand; beyond, it starts anew.
 VOCABULARY = 200_000
@@ -171,126 +185,281 @@ def raw_score(words: Words, text: str) -> tuple[float, int]:
     return float(features @ m.out + m.out_bias), lang
 
 
-def train(texts: list[str], labels: list[int], steps: int = 300, batch: int = 32, rate: float = 0.1, seed: int = 5) -> Model:
-    """Fit the classifier by Adagrad on nine tenths of the rows; the rest sets the thresholds."""
+class Grams(dict):
+    """Word to row number; rows hold the buckets of the word, 0 for those that are not ``known``."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        super().__init__()
+        self.known = None if known is None else known.tolist()
+        self.rows = np.zeros((VOCABULARY, 4), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        grams = word_grams(word)
+        self.rows[n] = grams if self.known is None else [g if self.known[g] else 0 for g in grams]
+        return n
+
+    def buckets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the distinct words of a text, and for each word of the text the number of its distinct word."""
+        if len(self) > VOCABULARY:
+            self.clear()
+        used, local = np.unique(np.fromiter(map(self.__getitem__, text.split()), np.int64), return_inverse=True)
+        return self.rows[used], local
+
+
+COUNTED = "bucket int, seen long, toxic long"
+
+
+def count_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows and toxic rows by bucket, of the rows of a task."""
+    grams, seen, toxic = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["y"]):
+            here = np.unique(grams.buckets(text)[0])
+            seen[here] += 1
+            toxic[here] += label
+    found = np.flatnonzero(seen)
+    yield pd.DataFrame({"bucket": found.astype(np.int32), "seen": seen[found], "toxic": toxic[found]})
+
+
+def start(seen: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int, seed: int = 5) -> Model:
+    """The model before the first round: random filters, and vectors that begin with the log-odds of a letter group."""
     rng = np.random.RandomState(seed)
-    y = np.asarray(labels, float)
     model = Model(
         rng.normal(0, 0.2, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (len(_OFFSETS), DIM, FILTERS)).astype(np.float32),
         np.zeros((len(WIDTHS), FILTERS), np.float32), rng.normal(0, 0.1, len(WIDTHS) * FILTERS), 0.0,
     )
-    if len(set(labels)) < 2:
-        model.constant = float(y.mean()) if len(y) else 0.0
-        return model
-    vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int64) for t in texts]
-    grams = np.array([word_grams(w) for w in vocabulary] or [(0, 0, 0, 0)])
-    seen, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for ids, label in zip(docs, labels):
-        seen[np.unique(grams[ids])] += 1
-        toxic[np.unique(grams[ids])] += label
-    # start: the first dimension holds the log-odds of a letter group, and every filter listens to it
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((seen - toxic + 0.5) / (len(y) - y.sum() + 1))
+    # the first dimension holds the log-odds, and every filter listens to it
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((seen - toxic + 0.5) / (n_clean + 1))
     model.embedding[:, 0] = np.clip(odds / 2, -2, 2)
     model.filters[:, 0, :] = np.abs(model.filters[:, 0, :]) + 0.5
     model.out = np.abs(model.out)
     model.embedding[seen < LEAST_DOCUMENTS] = 0
     model.embedding[0] = 0
-    grams[seen[grams] < LEAST_DOCUMENTS] = 0
-    order = rng.permutation(len(y))
-    check, fit = order[: max(2, len(y) // 10)], order[max(2, len(y) // 10) :]
-    sums = {n: np.full(np.shape(v), 1e-2) for n, v in vars(model).items() if n in ("embedding", "filters", "bias", "out")}
-
-    def step(name: str, grad: np.ndarray, rows=...) -> None:
-        sums[name][rows] += grad**2
-        getattr(model, name)[rows] -= rate * grad / np.sqrt(sums[name][rows])
-
-    filter_offset = np.repeat([sum(WIDTHS[:k]) for k in range(len(WIDTHS))], FILTERS)
-    filter_width = np.repeat(WIDTHS, FILTERS)
-    column = np.tile(np.arange(FILTERS), len(WIDTHS))
-    weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    epochs = max(3, -(-steps * batch // len(fit)))
-    for _ in range(epochs):
-        fit = rng.permutation(fit)
-        for start in range(0, len(fit), batch):
-            rows = fit[start : start + batch]
-            used, local = np.unique(np.concatenate([docs[r] for r in rows] or [[]]).astype(np.int64), return_inverse=True)
-            if not len(used):
-                continue
-            vectors = model.embedding[grams[used]].mean(axis=1)
-            projections = np.tensordot(vectors, model.filters, ([1], [1]))
-            g_vec, g_fil = np.zeros_like(vectors), np.zeros_like(model.filters)
-            g_bias, g_out, g_ob, at = np.zeros_like(model.bias), np.zeros_like(model.out), 0.0, 0
-            for r in rows:
-                ids = local[at : at + len(docs[r])]
-                at += len(ids)
-                features, places = pooled(projections[ids], model.bias)
-                z = features @ model.out + model.out_bias
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r]) * weight[r] / len(rows)
-                g_out += d * features
-                g_ob += d
-                df = d * model.out * (features > 0)
-                g_bias += df.reshape(g_bias.shape)
-                for j in range(WIDTHS[-1]):
-                    live = (filter_width > j) & (places >= 0) & (df != 0)
-                    if live.any():
-                        w = ids[places[live] + j]
-                        o, c = filter_offset[live] + j, column[live]
-                        np.add.at(g_fil, (o, slice(None), c), df[live, None] * vectors[w])
-                        np.add.at(g_vec, w, df[live, None] * model.filters[o, :, c])
-            hit = np.flatnonzero(np.abs(g_vec).sum(axis=1))
-            if len(hit):
-                buckets = grams[used[hit]].ravel()
-                shares = np.repeat(g_vec[hit] / grams.shape[1], grams.shape[1], axis=0)
-                touched, where = np.unique(buckets, return_inverse=True)
-                g_emb = np.zeros((len(touched), DIM))
-                np.add.at(g_emb, where, shares)
-                step("embedding", g_emb, touched)
-                model.embedding[0] = 0
-            step("filters", g_fil)
-            step("bias", g_bias)
-            step("out", g_out)
-            model.out_bias -= rate * g_ob
-    words = Words(model)
-    held = [raw_score(words, texts[r]) for r in check]
-    z, lang = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-    overall = best_threshold(z, y[check], 0.0)
-    model.shift = np.array([best_threshold(z[lang == k], y[check][lang == k], overall) for k in range(len(LANGUAGES) + 1)])
     return model
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The middle of the gap between scores with the fewest wrong rows (a clean row counts twice); ``default`` if few rows."""
-    if len(z) < 20 or y.min() == y.max():
+DENSE = ("filters", "bias", "out", "out_bias")
+
+
+def packed(model: Model) -> np.ndarray:
+    """All values of a model as rows of DIM numbers: the vectors by bucket, then the rest."""
+    rest = np.concatenate([np.ravel(getattr(model, n)).astype(float) for n in DENSE])
+    return np.concatenate([model.embedding.astype(float), np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)])
+
+
+def unpacked(values: np.ndarray, like: Model) -> Model:
+    rest, at, out = values[BUCKETS:].ravel(), 0, {}
+    for n in DENSE:
+        old = getattr(like, n)
+        part = rest[at : at + np.size(old)]
+        out[n] = float(part[0]) if np.ndim(old) == 0 else part.reshape(np.shape(old)).astype(old.dtype)
+        at += np.size(old)
+    return Model(values[:BUCKETS].astype(np.float32), **out)
+
+
+_FILTER_OFFSET = np.repeat([sum(WIDTHS[:k]) for k in range(len(WIDTHS))], FILTERS)
+_FILTER_WIDTH = np.repeat(WIDTHS, FILTERS)
+_COLUMN = np.tile(np.arange(FILTERS), len(WIDTHS))
+
+
+def pooled_text(projections: np.ndarray, ids: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pooled`` over the words ``ids``, by pieces that overlap."""
+    features, places = pooled(projections[ids[: PIECE + WIDTHS[-1] - 1]], bias)
+    for i in range(PIECE, len(ids), PIECE):
+        more, where = pooled(projections[ids[i : i + PIECE + WIDTHS[-1] - 1]], bias)
+        places = np.where(more > features, where + i, places)
+        features = np.maximum(features, more)
+    return features, places
+
+
+class Learner:
+    """Adagrad over the rows of one shard, from a common model and its sums of squared gradients."""
+
+    def __init__(self, model: Model, sums: Model, weights: tuple[float, float], grams: Grams):
+        self.begun = packed(model), packed(sums)
+        self.model, self.sums = unpacked(self.begun[0], model), unpacked(self.begun[1], sums)
+        self.weights, self.grams = weights, grams
+        self.rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.n_words = self.n_rows = 0
+
+    def add(self, text: str, label: int) -> None:
+        buckets, local = self.grams.buckets(text)
+        self.rows.append((buckets, local, label))
+        self.n_words += len(local)
+        self.n_rows += 1
+        if len(self.rows) >= BATCH or self.n_words >= BATCH_WORDS:
+            self.learn()
+
+    def step(self, name: str, grad, rows=...) -> None:
+        if name == "out_bias":
+            self.model.out_bias -= RATE * grad
+            return
+        sums, values = getattr(self.sums, name), getattr(self.model, name)
+        sums[rows] += grad**2
+        values[rows] -= RATE * grad / np.sqrt(sums[rows])
+
+    def learn(self) -> None:
+        rows, self.rows, self.n_words = self.rows, [], 0
+        model = self.model
+        g_fil, g_bias, g_out, g_ob = np.zeros_like(model.filters), np.zeros_like(model.bias), np.zeros_like(model.out), 0.0
+        touched, shares = [], []
+        for buckets, ids, label in rows:
+            vectors = model.embedding[buckets].mean(axis=1)
+            features, places = pooled_text(np.tensordot(vectors, model.filters, ([1], [1])), ids, model.bias)
+            z = features @ model.out + model.out_bias
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * self.weights[label] / len(rows)
+            g_out += d * features
+            g_ob += d
+            df = d * model.out * (features > 0)
+            g_bias += df.reshape(g_bias.shape)
+            for j in range(WIDTHS[-1]):
+                live = (_FILTER_WIDTH > j) & (places >= 0) & (df != 0)
+                if live.any():
+                    w = ids[places[live] + j]
+                    o, c = _FILTER_OFFSET[live] + j, _COLUMN[live]
+                    np.add.at(g_fil, (o, slice(None), c), df[live, None] * vectors[w])
+                    touched.append(buckets[w].ravel())
+                    share = df[live, None] * model.filters[o, :, c] / buckets.shape[1]
+                    shares.append(np.repeat(share, buckets.shape[1], axis=0))
+        if touched:
+            which, where = np.unique(np.concatenate(touched), return_inverse=True)
+            g_emb = np.zeros((len(which), DIM))
+            np.add.at(g_emb, where, np.concatenate(shares))
+            self.step("embedding", g_emb, which)
+            model.embedding[0] = 0
+        for name, grad in (("filters", g_fil), ("bias", g_bias), ("out", g_out), ("out_bias", g_ob)):
+            self.step(name, grad)
+
+    def changes(self) -> pd.DataFrame:
+        """What the shard changed, in fixed point and times its rows: only places that it touched, and all dense ones."""
+        if self.rows:
+            self.learn()
+        value, square = packed(self.model) - self.begun[0], packed(self.sums) - self.begun[1]
+        place = np.flatnonzero((value != 0).any(axis=1) | (np.arange(len(value)) >= BUCKETS))
+        numbers = np.rint(np.concatenate([value[place], square[place]], axis=1) * UNIT).astype(np.int64) * self.n_rows
+        out = pd.DataFrame(numbers, columns=NUMBERS)
+        out.insert(0, "place", place.astype(np.int32))
+        out.insert(1, "n", np.int64(self.n_rows))
+        return out
+
+
+NUMBERS = [f"{kind}{i}" for kind in "vs" for i in range(DIM)]
+CHANGED = "place int, n long, " + ", ".join(f"{c} long" for c in NUMBERS)
+
+
+def learn_shards(model: Model, sums: Model, known: np.ndarray, weights: tuple[float, float]):
+    """Task function: rows in the order of their shards to the changes of each shard."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, learner, shard = Grams(known), None, None
+        for batch in batches:
+            for here, text, label in zip(batch["shard"], batch["text"], batch["y"]):
+                if learner is None or here != shard:
+                    if learner is not None:
+                        yield learner.changes()
+                    learner, shard = Learner(model, sums, weights, grams), here
+                learner.add(text, label)
+        if learner is not None:
+            yield learner.changes()
+
+    return learn
+
+
+COUNTED_SCORES = "lang int, step int, y int"
+
+
+def score_steps(model: Model):
+    """Task function: rows to guessed language, logit in steps, label."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(model)
+        for batch in batches:
+            found = [raw_score(words, t) for t in batch["text"]]
+            z = np.clip(np.array([f[0] for f in found], float), -FARTHEST, FARTHEST)
+            lang = np.array([f[1] for f in found], np.int32)
+            yield pd.DataFrame({"lang": lang, "step": np.rint(z * STEPS).astype(np.int32), "y": batch["y"].to_numpy(np.int32)})
+
+    return score
+
+
+def train(rows: DataFrame) -> Model:
+    """Fit the classifier by Adagrad on nine tenths of ``rows`` (doc_id, y, text); the rest sets the thresholds."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    n, n_toxic = int(total["n"]), int(total["toxic"])
+    if n_toxic in (0, n):
+        nothing = start(np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0)
+        nothing.constant = n_toxic / n if n else 0.0
+        return nothing
+    shards = -(-n // SHARD_ROWS)
+    passes = max(ROUNDS, -(-LEAST_VISITS // n)) if shards == 1 else 1
+    drawn = F.xxhash64(F.lit("draw"), "doc_id", "text")
+    dealt = (
+        rows.withColumns({"check": F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(10)) == 0, "shard": F.pmod(drawn, F.lit(shards))})
+        .withColumn("pass", F.explode(F.when(F.col("check"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(passes - 1)))))
+        .repartition(shards, "shard")
+        .sortWithinPartitions("shard", "pass", F.xxhash64("pass", "doc_id", "text"), "doc_id")
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    try:
+        counted = (
+            dealt.where("pass = 0").select("text", "y").mapInPandas(count_letters, COUNTED)
+            .groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()      # at most BUCKETS rows
+        )
+        seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        where = counted["bucket"].to_numpy()
+        seen[where], toxic[where] = counted["seen"].to_numpy(), counted["toxic"].to_numpy()
+        model, known = start(seen, toxic, n_toxic, n - n_toxic), seen >= LEAST_DOCUMENTS
+        sums = unpacked(np.full_like(packed(model), 1e-2), model)
+        weights = n / (2 * (n - n_toxic)), n / (2 * n_toxic)
+        for _ in range(1 if shards == 1 else ROUNDS):
+            changed = (
+                dealt.where("NOT check").select("shard", "text", "y").mapInPandas(learn_shards(model, sums, known, weights), CHANGED)
+                .groupBy("place").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in NUMBERS]).toArrow()     # as many rows as the model
+            )
+            place, share = changed["place"].to_numpy(), changed["n"].to_numpy() * float(UNIT)
+            mean = np.stack([changed[c].to_numpy() / share for c in NUMBERS], axis=1)
+            values, squares = packed(model), packed(sums)
+            values[place] += mean[:, :DIM]
+            squares[place] += mean[:, DIM:]
+            model, sums = unpacked(values, model), unpacked(squares, sums)
+        scores = (
+            dealt.where("check").select("text", "y").mapInPandas(score_steps(model), COUNTED_SCORES)
+            .groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).toArrow()     # at most 6001 a language
+        )
+    finally:
+        dealt.unpersist()
+    lang, step, rows_of, toxic_of = (scores[c].to_numpy() for c in ("lang", "step", "n", "toxic"))
+    overall = best_threshold(step / STEPS, rows_of, toxic_of, 0.0)
+    model.shift = np.array([best_threshold(step[lang == k] / STEPS, rows_of[lang == k], toxic_of[lang == k], overall) for k in range(len(LANGUAGES) + 1)])
+    return model
+
+
+def best_threshold(z: np.ndarray, n: np.ndarray, toxic: np.ndarray, default: float) -> float:
+    """The middle of the gap between scores with the fewest wrong rows (a clean row counts twice); ``default`` if few rows.
+
+    ``n`` and ``toxic`` count the rows at each score; a score may come more than once."""
+    if n.sum() < 20 or toxic.sum() in (0, n.sum()):
         return default
-    points = np.sort(z)
+    points, at = np.unique(z, return_inverse=True)
+    below_toxic = np.concatenate(([0], np.cumsum(np.bincount(at, toxic))))
+    below_clean = np.concatenate(([0], np.cumsum(np.bincount(at, n - toxic))))
     middles = np.concatenate(([points[0] - 1], (points[1:] + points[:-1]) / 2, [points[-1] + 1]))
-    wrong = np.array([2 * ((z >= m) & (y == 0)).sum() + ((z < m) & (y > 0)).sum() for m in middles])
+    wrong = 2 * (below_clean[-1] - below_clean) + below_toxic
     good = middles[wrong == wrong.min()]
     return float(good[np.argmin(np.abs(good - np.median(good)))])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """A bounded sample of (text, label) outside the held-out fold, drawn by a hash of the id, per class."""
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with a usable label outside the held-out fold: doc_id, y, text."""
     usable = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold("doc_id") != 0)
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     )
-    drawn = [
-        usable.filter(F.col("y") == y).withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(SAMPLE_ROWS)
-        for y in (0, 1)
-    ]
-    sample = drawn[0].union(drawn[1]).select(F.col("doc_id").alias("__id"), "y", "draw")  # at most 2 * SAMPLE_ROWS ids
-    texts = docs.select("doc_id", text_of().alias("text"))
-    joined = texts.join(F.broadcast(sample), texts["doc_id"] == sample["__id"])
-    sized = joined.select("__id", "y", "draw", "text")
-    out, total = [], 0
-    for row in sized.toLocalIterator():
-        if total + len(row["text"]) <= SAMPLE_CHARS:
-            out.append((row["draw"], row["__id"], row["text"], row["y"]))
-            total += len(row["text"])
-    out.sort(key=lambda r: r[:3])
-    return [r[2] for r in out], [r[3] for r in out]
+    small = fits_broadcast(docs.sparkSession, measure(usable))
+    return docs.select("doc_id", text_of().alias("text")).join(hinted(usable, small), "doc_id").select("doc_id", "y", "text")
 
 
 def fold(column: str):
@@ -298,7 +467,7 @@ def fold(column: str):
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*labelled_sample(docs, labels))
+    return train(labelled_rows(docs, labels))
 
 
 def score_udf(model: Model):
