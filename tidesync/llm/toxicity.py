@@ -186,19 +186,17 @@ def raw_score(words: Words, text: str) -> tuple[float, int]:
 
 
 class Grams(dict):
-    """Word to row number; rows hold the buckets of the word, 0 for those that are not ``known``."""
+    """Word to row number; rows hold the buckets of the word."""
 
-    def __init__(self, known: np.ndarray | None = None):
+    def __init__(self):
         super().__init__()
-        self.known = None if known is None else known.tolist()
-        self.rows = np.zeros((VOCABULARY, 4), np.int64)
+        self.rows = np.zeros((VOCABULARY, 4), np.int32)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         if n >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        grams = word_grams(word)
-        self.rows[n] = grams if self.known is None else [g if self.known[g] else 0 for g in grams]
+        self.rows[n] = word_grams(word)
         return n
 
     def buckets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +204,26 @@ class Grams(dict):
         if len(self) > VOCABULARY:
             self.clear()
         used, local = np.unique(np.fromiter(map(self.__getitem__, text.split()), np.int64), return_inverse=True)
-        return self.rows[used], local
+        return self.rows[used], local.astype(np.int32)
+
+
+PREPARED = "shard long, pass int, check boolean, y int, text string, buckets binary, ids binary"
+
+
+def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with the buckets of their words as bytes; only the rows that set the thresholds keep their text."""
+    grams = Grams()
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            part = batch.iloc[at : at + 1000]
+            found = [grams.buckets(t) for t in part["text"]]
+            yield part.assign(
+                text=part["text"].where(part["check"], ""), buckets=[f[0].tobytes() for f in found], ids=[f[1].tobytes() for f in found],
+            )[["shard", "pass", "check", "y", "text", "buckets", "ids"]]
+
+
+def buckets_of(prepared: bytes) -> np.ndarray:
+    return np.frombuffer(prepared, np.int32).reshape(-1, 4)
 
 
 COUNTED = "bucket int, seen long, toxic long"
@@ -214,10 +231,10 @@ COUNTED = "bucket int, seen long, toxic long"
 
 def count_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows and toxic rows by bucket, of the rows of a task."""
-    grams, seen, toxic = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, label in zip(batch["text"], batch["y"]):
-            here = np.unique(grams.buckets(text)[0])
+        for prepared, label in zip(batch["buckets"], batch["y"]):
+            here = np.unique(buckets_of(prepared))
             seen[here] += 1
             toxic[here] += label
     found = np.flatnonzero(seen)
@@ -278,17 +295,16 @@ def pooled_text(projections: np.ndarray, ids: np.ndarray, bias: np.ndarray) -> t
 class Learner:
     """Adagrad over the rows of one shard, from a common model and its sums of squared gradients."""
 
-    def __init__(self, model: Model, sums: Model, weights: tuple[float, float], grams: Grams):
+    def __init__(self, model: Model, sums: Model, known: np.ndarray, weights: tuple[float, float]):
         self.begun = packed(model), packed(sums)
         self.model, self.sums = unpacked(self.begun[0], model), unpacked(self.begun[1], sums)
-        self.weights, self.grams = weights, grams
+        self.known, self.weights = known, weights
         self.rows: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.n_words = self.n_rows = 0
 
-    def add(self, text: str, label: int) -> None:
-        buckets, local = self.grams.buckets(text)
-        self.rows.append((buckets, local, label))
-        self.n_words += len(local)
+    def add(self, buckets: np.ndarray, ids: np.ndarray, label: int) -> None:
+        self.rows.append((np.where(self.known[buckets], buckets, 0), ids, label))
+        self.n_words += len(ids)
         self.n_rows += 1
         if len(self.rows) >= BATCH or self.n_words >= BATCH_WORDS:
             self.learn()
@@ -354,14 +370,14 @@ def learn_shards(model: Model, sums: Model, known: np.ndarray, weights: tuple[fl
     """Task function: rows in the order of their shards to the changes of each shard."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, learner, shard = Grams(known), None, None
+        learner, shard = None, None
         for batch in batches:
-            for here, text, label in zip(batch["shard"], batch["text"], batch["y"]):
+            for here, prepared, ids, label in zip(batch["shard"], batch["buckets"], batch["ids"], batch["y"]):
                 if learner is None or here != shard:
                     if learner is not None:
                         yield learner.changes()
-                    learner, shard = Learner(model, sums, weights, grams), here
-                learner.add(text, label)
+                    learner, shard = Learner(model, sums, known, weights), here
+                learner.add(buckets_of(prepared), np.frombuffer(ids, np.int32), label)
         if learner is not None:
             yield learner.changes()
 
@@ -401,11 +417,12 @@ def train(rows: DataFrame) -> Model:
         .withColumn("pass", F.explode(F.when(F.col("check"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(passes - 1)))))
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "pass", F.xxhash64("pass", "doc_id", "text"), "doc_id")
+        .select("shard", "pass", "check", "y", "text").mapInPandas(prepare, PREPARED)
         .persist(StorageLevel.DISK_ONLY)
     )
     try:
         counted = (
-            dealt.where("pass = 0").select("text", "y").mapInPandas(count_letters, COUNTED)
+            dealt.where("pass = 0").select("buckets", "y").mapInPandas(count_letters, COUNTED)
             .groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()      # at most BUCKETS rows
         )
         seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -416,7 +433,7 @@ def train(rows: DataFrame) -> Model:
         weights = n / (2 * (n - n_toxic)), n / (2 * n_toxic)
         for _ in range(1 if shards == 1 else ROUNDS):
             changed = (
-                dealt.where("NOT check").select("shard", "text", "y").mapInPandas(learn_shards(model, sums, known, weights), CHANGED)
+                dealt.where("NOT check").select("shard", "buckets", "ids", "y").mapInPandas(learn_shards(model, sums, known, weights), CHANGED)
                 .groupBy("place").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in NUMBERS]).toArrow()     # as many rows as the model
             )
             place, share = changed["place"].to_numpy(), changed["n"].to_numpy() * float(UNIT)
