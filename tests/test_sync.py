@@ -173,3 +173,14 @@ def test_backfill_lost_halfway_is_applied_on_replay(spark, monkeypatch):
     monkeypatch.undo()
     writer(batch, 0)
     assert sync.live_rows(spark.table(name)).count() == 29
+
+
+def test_change_files_are_computed_by_many_tasks(spark):
+    rows = orders_df(spark, [order(k) for k in range(400)]).repartition(8)
+    one = fixtures.change_files(rows, KEY)
+    # the tasks of the source stay, and one task writes the shuffled part
+    assert one.rdd.getNumPartitions() == 1 and "Coalesce" not in one._jdf.queryExecution().toString()
+    assert "Exchange" in one._jdf.queryExecution().executedPlan().toString()
+    several = fixtures.change_files(rows, KEY, most_bytes=fixtures.measure(rows).bytes // 3)
+    assert several.rdd.getNumPartitions() == 4
+    assert sorted(several.collect()) == sorted(rows.collect()) == sorted(one.collect())

@@ -516,7 +516,7 @@ def _sync(spark, d, layout: str):
     i.lake.withColumn("seq", F.lit(0).cast("long")).select(*schema_cols).write.mode("append").parquet(feed)
     parts = fixtures.change_feed_parts(i.staging, 4)
     for part in parts[1:] + parts[:1]:
-        part.select(*schema_cols).coalesce(1).write.mode("append").parquet(feed)
+        fixtures.change_files(part.select(*schema_cols), KEY).write.mode("append").parquet(feed)
     name = "tidesync_sync_" + root.rsplit("-", 1)[-1]
     schema = spark.read.parquet(feed).schema
     q = sync.sync_files(spark, feed, schema, name, f"{root}/table", KEY, f"{root}/checkpoint",

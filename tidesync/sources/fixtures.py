@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesync.contracts import ORDERS, STAMP_COLUMN
+from tidesync.operators.sizing import measure
 
 KEY = "o_orderkey"
 # The as-of stamp and date used where the operators take "now" as an argument.
 AS_OF_TIMESTAMP = "2024-06-30 12:00:00"
 AS_OF_DATE = "2024-06-30"
+#: Estimated in-memory bytes of a change file, at most.
+CHANGE_FILE_BYTES = 512 * 1024 * 1024
 
 
 def _k() -> Column:
@@ -197,3 +200,10 @@ def change_feed_parts(staged: DataFrame, n_parts: int = 4) -> list[DataFrame]:
             part = part.unionByName(stale)
         parts.append(part.withColumn("seq", F.lit(i + 1).cast("long")))
     return parts
+
+
+def change_files(part: DataFrame, key, most_bytes: int = CHANGE_FILE_BYTES) -> DataFrame:
+    """A change part dealt out to its files: one, or as many as its bytes ask for. The part is computed by as many
+    tasks as its sources have and then shuffled, so a file's task reads that file's rows and never the lake."""
+    files = max(1, -(-measure(part).bytes // most_bytes))
+    return part.repartition(files, *key)
