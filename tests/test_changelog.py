@@ -383,3 +383,23 @@ def test_a_group_shows_one_cut(spark, monkeypatch):
     assert seen() == {"one": [(1, "b"), (11, "b")], "two": [(1, "b"), (11, "b")]}
     assert {len(log.state["changes"]) for log in changelog.open_group(spark, root).values()} == {1}
     assert [log.read().count() for log in changelog.open_group(spark, root, 1).values()] == [10, 10]
+
+
+@pytest.mark.parametrize("repeats", [1, 5000])
+def test_key_bounds_sample_is_cut_before_the_top_k(spark, monkeypatch, repeats):
+    monkeypatch.setattr(ranges, "SAMPLE_KEYS", 200)
+    df = spark.range(0, 20_000, 1, 16).select((F.col("id") / repeats).cast("long").alias("k"))
+    every = df.select(F.col("k").alias("v"), F.xxhash64("k").alias("h")).orderBy("h", "v").limit(200).collect()
+    values = sorted(r["v"] for r in every)
+    wanted = sorted({values[len(values) * i // 8] for i in range(1, 8)})
+    asked = []
+    taken = type(df).limit
+
+    def limit(self, n):
+        asked.append(self.count())
+        return taken(self, n)
+
+    monkeypatch.setattr(type(df), "limit", limit)
+    assert ranges.key_bounds(df, ["k"], 8) == [str(v) for v in wanted if v != values[0]]
+    # what the top-k is taken from, and may send from every task, follows the sample and not the table
+    assert asked and max(asked) <= 1000

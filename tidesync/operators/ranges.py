@@ -27,15 +27,29 @@ def range_value(column: str, dtype: T.DataType) -> tuple[Column, T.DataType]:
 def key_bounds(df: DataFrame, key: Sequence[str], n: int) -> list[str]:
     """At most ``n - 1`` bounds that cut the keys of ``df`` into about equal ranges.
 
-    The sample is the SAMPLE_KEYS rows with the smallest key hash: a top-k per task, at most that many
-    values to the driver, and the same choice in every run.
+    The sample is the SAMPLE_KEYS rows with the smallest key hash, the same choice in every run. A top-k sends
+    its first rows from every task to the driver, so the hash is cut first: about twice that many rows pass,
+    whatever the number of rows and tasks; if too few do, as where keys repeat, the cut is raised.
     """
     value, dtype = range_value(key[0], df.schema[key[0]].dataType)
-    rows = (
+    keyed = (
         df.where(F.col(key[0]).isNotNull())
         .select(value.alias("v"), value.cast("string").alias("t"), F.xxhash64(*key).alias("h"))
-        .orderBy("h", "v").limit(SAMPLE_KEYS).collect()
     )
+    total, found = keyed.count(), []
+    share = min(1.0, 2 * SAMPLE_KEYS / max(1, total))
+    while True:
+        # only hashes below the cut go on, equal keys as one row with their count
+        cut = int(-(2**63) + share * 2**64) - 1 if share < 1 else 2**63 - 1
+        near = keyed.where(F.col("h") <= F.lit(cut)).groupBy("h", "v", "t").agg(F.count(F.lit(1)).alias("n"))
+        found = near.orderBy("h", "v").limit(SAMPLE_KEYS).collect()
+        if share >= 1 or sum(r["n"] for r in found) >= SAMPLE_KEYS:
+            break
+        share = min(1.0, 4 * share)
+    rows, left = [], SAMPLE_KEYS
+    for r in found:
+        rows += [r] * min(left, r["n"])
+        left -= min(left, r["n"])
     text = {r["v"]: r["t"] for r in rows}
     values = sorted(r["v"] for r in rows)
     cuts = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
